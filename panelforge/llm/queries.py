@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, wavelet
 from .common import table
 
+IDS_FILE, END_ID = "byte_bpe_50k.json", 2
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -19,7 +20,14 @@ def op10_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as ids in wavelet shards, and what the files hold of each document."""
+    manifest = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(IDS_FILE), END_ID)
+    return wavelet.read_shards(manifest)
+
+
 QUERIES = {
+    "op8_wavelet_shards": op8_wavelet_shards,
     "op10_bpe_monoid": op10_bpe_monoid,
 }
 ORACLE: dict[str, str] = {}
