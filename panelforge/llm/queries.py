@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, wavelet
+from . import bpe, sharding, warc, wavelet
 from .common import table
 
+SHARDS = 40
 IDS_FILE, END_ID = "byte_bpe_50k.json", 2
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +21,17 @@ def op10_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, read back by byte ranges."""
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of near-equal bytes."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as ids in wavelet shards, and what the files hold of each document."""
     manifest = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(IDS_FILE), END_ID)
@@ -27,7 +39,18 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op4_kk_shards": op4_kk_shards,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op10_bpe_monoid": op10_bpe_monoid,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_bytes, payload_digest) ELSE page_id END AS kept FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> kept THEN kept END AS refers_to
+        FROM g""",
+}
