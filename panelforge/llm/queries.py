@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, warc, wavelet
+from . import bpe, langid, pii, sharding, topk, warc, wavelet
 from .common import table
 
 SHARDS = 40
@@ -32,6 +32,30 @@ def op4_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all other vectors for every hundredth."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def held_out() -> Column:
+    """Whether a document is kept from learning."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, by prototypes of those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    judged = langid.identify(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), langid.learn(docs, ~held_out()))
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as ids in wavelet shards, and what the files hold of each document."""
     manifest = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(IDS_FILE), END_ID)
@@ -41,6 +65,9 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op4_kk_shards": op4_kk_shards,
+    "op5_topk": op5_topk,
+    "op6_langid": op6_langid,
+    "op7_pii": op7_pii,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op10_bpe_monoid": op10_bpe_monoid,
 }
