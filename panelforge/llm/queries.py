@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, sharding, topk, warc, wavelet
+from . import bpe, decontaminate, langid, pii, sharding, topk, warc, wavelet
 from .common import table
 
 SHARDS = 40
@@ -27,6 +27,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, with the place of its longest stretch."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards of near-equal bytes."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
@@ -64,6 +69,7 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_decontamination": op3_decontamination,
     "op4_kk_shards": op4_kk_shards,
     "op5_topk": op5_topk,
     "op6_langid": op6_langid,
