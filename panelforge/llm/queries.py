@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pii, sharding, topk, warc, wavelet
+from . import bpe, decontaminate, langid, linededup, pii, sharding, topk, warc, wavelet
 from .common import table
 
 SHARDS = 40
@@ -67,6 +67,11 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(manifest)
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line to drop, with the earliest line that it matches."""
+    return linededup.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
@@ -75,6 +80,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_pii": op7_pii,
     "op8_wavelet_shards": op8_wavelet_shards,
+    "op9_linededup": op9_linededup,
     "op10_bpe_monoid": op10_bpe_monoid,
 }
 ORACLE: dict[str, str] = {
