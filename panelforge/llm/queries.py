@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, linededup, pii, sharding, topk, warc, wavelet
+from . import bpe, decontaminate, jaccard, langid, linededup, pii, sharding, topk, warc, wavelet
 from .common import table
 
 SHARDS = 40
@@ -21,6 +21,11 @@ def op10_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by the similarity of their 5-word shingles."""
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of an archive, read back by byte ranges."""
     records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
@@ -73,6 +78,7 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
     "op4_kk_shards": op4_kk_shards,
