@@ -1,11 +1,66 @@
-"""The corpus pipeline: stages over documents, each calling one operator."""
+"""The corpus pipeline: stages over documents, each calling one operator of panelforge.llm.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents; the last returns the token ids of the texts that remain.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import bpe, decontaminate, jaccard, langid, linededup
+from panelforge.llm.common import table, written
+from panelforge.llm.queries import BPE_FILE, held_out
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told, with it as lang where that was null; those without a letter go."""
+    judged = langid.identify(docs, langid.learn(docs, ~held_out()))
+    named = judged.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return named.select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line matches; those of which no word is left, as all was there before, go."""
+    kept = linededup.without(docs, linededup.find(docs)).where(F.col("text").rlike(r"\S"))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-equal documents that with the smallest doc_id; of rows with one doc_id, one."""
+    found = jaccard.cluster(docs)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of the texts that remain."""
+    return bpe.encode_documents(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", tokens),
+]
+#: Language profiles, edit distances of lines and byte-level merges are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
