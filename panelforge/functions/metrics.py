@@ -1,0 +1,103 @@
+"""How well columns foretell a target: correlations by date, returns of the best, and their summaries."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.registry import CODE, DATE
+from .ieee import clean
+
+YEAR = 252
+
+
+def both(x: Column, y: Column) -> Column:
+    return x.isNotNull() & y.isNotNull()
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson over the rows with both values: the co-moment itself where a side hardly varies, 0 without a pair."""
+    a, b = F.when(both(x, y), x), F.when(both(x, y), y)
+    flat = (F.stddev_pop(a) < 1e-3) | (F.stddev_pop(b) < 1e-3)
+    scale = F.when(flat, F.lit(1.0)).otherwise(F.stddev_pop(a) * F.stddev_pop(b))
+    return F.coalesce(clean(F.covar_pop(a, b) / scale), F.lit(0.0))
+
+
+def clamped_pearson(x: Column, y: Column) -> Column:
+    """Pearson with a least denominator, between -1 and 1; 0 with fewer than two pairs."""
+    a, b = F.when(both(x, y), x), F.when(both(x, y), y)
+    scale = F.greatest(F.stddev_pop(a) * F.stddev_pop(b), F.lit(1e-8))
+    value = F.least(F.greatest(F.covar_pop(a, b) / scale, F.lit(-1.0)), F.lit(1.0))
+    return F.when(F.count_if(both(x, y)) < 2, F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
+
+
+def long(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
+    """date, code, factor, x and y: a row for each factor."""
+    return frame.select(DATE, CODE, F.col(target).alias("y"), *factors).unpivot([DATE, CODE, "y"], list(factors), "factor", "x")
+
+
+def daily_ic(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
+    """date and a column for each factor, in one pass; nothing is sent but partial sums by date."""
+    return frame.groupBy(DATE).agg(*(pearson(F.col(f), F.col(target)).alias(f) for f in factors))
+
+
+def daily_rank_ic(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
+    """date, factor and ic of ranks with ties averaged, ranked among the pairs."""
+    keys = [DATE, "factor"]
+    pairs = long(frame, factors, target).where(both(F.col("x"), F.col("y")))
+
+    def ranked(c: str) -> Column:
+        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
+
+    return pairs.select(*keys, ranked("x").alias("rx"), ranked("y").alias("ry")).groupBy(*keys).agg(pearson(F.col("rx"), F.col("ry")).alias("ic"))
+
+
+def daily_top_return(frame: DataFrame, factors: Sequence[str], target: str, share: float = 0.2) -> DataFrame:
+    """date, factor and ret: the mean target of the best share by factor, one row at least."""
+    keys = [DATE, "factor"]
+    pairs = long(frame, factors, target).where(both(F.col("x"), F.col("y")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("x"), CODE))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    best = pairs.select(*keys, "y", place.alias("place"), n.alias("n")).where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))
+    return best.groupBy(*keys).agg(F.avg("y").alias("ret"))
+
+
+def summary(series: DataFrame, value: str, by: Sequence[str] = (), epsilon: float = 0.0) -> DataFrame:
+    """mean, std and ir (mean over sample deviation), and t = ir * sqrt(n), of a series by date."""
+    mean, std = F.avg(value), F.stddev_samp(value)
+    ir = mean / F.nullif(std + epsilon, F.lit(0.0))
+    return series.groupBy(*by).agg(mean.alias("mean"), std.alias("std"), ir.alias("ir"), (ir * F.sqrt(F.count(value))).alias("t"))
+
+
+def sharpe(value: Column, risk_free: float = 0.0) -> Column:
+    """Yearly mean excess return over its deviation; 0 if that is tiny."""
+    std = F.stddev_samp(value)
+    return F.when(std < 1e-8, F.lit(0.0)).otherwise((F.avg(value) - risk_free / YEAR) / std * YEAR**0.5)
+
+
+def max_drawdown(series: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """The largest fall of 1 plus the sum of returns below its highest so far, as a share of that."""
+    past = Window.partitionBy(*by).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+    equity = series.select(*by, DATE, (1 + F.sum(value).over(past)).alias("equity"))
+    falls = equity.select(*by, (F.col("equity") / F.nullif(F.max("equity").over(past), F.lit(0.0)) - 1).alias("fall"))
+    return falls.groupBy(*by).agg((-F.min("fall")).alias("mdd"))
+
+
+def factor_summary(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """For each factor: range, ranges of 99 and 95 % of the values, missing rate and kurtosis (population, not excess)."""
+    rows = frame.select(*factors).unpivot([], list(factors), "factor", "x")
+    points = F.percentile("x", F.array(*map(F.lit, (0.005, 0.995, 0.025, 0.975))))
+    wide = rows.groupBy("factor").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), points.alias("p"), F.avg(F.col("x").isNull().cast("int")).alias("missing_rate"), (F.kurtosis("x") + 3).alias("kurtosis"))
+    named = {"lo_99": 0, "hi_99": 1, "lo_95": 2, "hi_95": 3}
+    return wide.select("factor", "lo", "hi", *(F.col("p")[i].alias(c) for c, i in named.items()), "missing_rate", "kurtosis")
+
+
+def mutual_ic(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """a, b and ic: the mean over dates of the correlation of each pair of factors, all in one pass."""
+    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+    daily = frame.groupBy(DATE).agg(*(pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
+    means = daily.agg(*(F.avg(f"_{i}").alias(f"_{i}") for i in range(len(pairs))))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("ic")) for i, (a, b) in enumerate(pairs)))
+    return means.select(F.inline(rows))
