@@ -317,7 +317,9 @@ def ts_cov(x, y, d):
 def ts_corr(x, y, d):
     """Pearson; the sum of products itself where either side hardly varies."""
     flat = (F.var_samp(x).over(last(d)) * (d - 1) < 1e-6) | (F.var_samp(y).over(last(d)) * (d - 1) < 1e-6)
-    return rolled(d, F.when(flat, F.covar_samp(x, y).over(last(d)) * (d - 1)).otherwise(F.corr(x, y).over(last(d))), x, y)
+    scale = F.stddev_samp(x).over(last(d)) * F.stddev_samp(y).over(last(d))
+    # corr() itself fails in ANSI mode where a side doesn't vary
+    return rolled(d, F.when(flat, F.covar_samp(x, y).over(last(d)) * (d - 1)).otherwise(divide(F.covar_samp(x, y).over(last(d)), scale)), x, y)
 
 
 #: Operators that a search draws from, with windows and constants to try.

@@ -51,14 +51,15 @@ def week_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales by week and supplier: close, vol, disc, tax and n."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     week = F.to_date(F.date_trunc("week", "l_shipdate"))
+    # sums of whole cents, which come out the same in any order
     made = items.groupBy(week.alias(DATE), F.col("l_suppkey").alias(CODE)).agg(
-        F.sum("l_extendedprice").alias("price"),
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
         F.sum("l_quantity").alias("vol"),
-        F.avg("l_discount").alias("disc"),
-        F.avg("l_tax").alias("tax"),
+        F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc"),
+        F.sum(F.round(F.col("l_tax") * 100).cast("long")).alias("tax"),
         F.count("*").cast("double").alias("n"),
     )
-    return made.select(DATE, CODE, r5(F.col("price") / F.col("vol")).alias("close"), "vol", r5(F.col("disc")).alias("disc"), r5(F.col("tax")).alias("tax"), "n")
+    return made.select(DATE, CODE, r5(F.col("cents") / F.col("vol") / 100).alias("close"), "vol", r5(F.col("disc") / F.col("n") / 100).alias("disc"), r5(F.col("tax") / F.col("n") / 100).alias("tax"), "n")
 
 
 def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +67,9 @@ def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROWS = f"""
-WITH sums AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_suppkey AS code, sum(l_extendedprice) / sum(l_quantity) AS price,
-  sum(l_quantity) AS vol, avg(l_discount) AS d, avg(l_tax) AS t, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL),
-rows_ AS (SELECT date, code, {s5("price")} AS close, vol, {s5("d")} AS disc, {s5("t")} AS tax, n FROM sums)"""
+WITH sums AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_suppkey AS code, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents,
+  sum(l_quantity) AS vol, sum(CAST(round(l_discount * 100) AS BIGINT)) AS d, sum(CAST(round(l_tax * 100) AS BIGINT)) AS t, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL),
+rows_ AS (SELECT date, code, {s5("cents / vol / 100")} AS close, vol, {s5("d / n / 100")} AS disc, {s5("t / n / 100")} AS tax, n FROM sums)"""
 CALENDAR = f"""{ROWS},
 cal AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM rows_) AS x),
 uni AS (SELECT DISTINCT code FROM rows_),
@@ -125,7 +126,7 @@ FORMULAS: dict[str, tuple[str, str]] = {
     "ts_minmaxdiff": ("TsMinMaxDiff($close,6)", full(6, f"max(close) OVER {w(6)} - min(close) OVER {w(6)}", "close")),
     "ts_maxdiff": ("TsMaxDiff($close,6)", full(6, f"close - max(close) OVER {w(6)}", "close")),
     "ts_mindiff": ("TsMinDiff($close,6)", full(6, f"close - min(close) OVER {w(6)}", "close")),
-    "ts_var": ("TsVar($disc,6)", full(6, f"var_samp(disc) OVER {w(6)}", "disc")),
+    "ts_var": ("TsVar(Log($close),6)", full(6, f"var_samp(ln(close)) OVER {w(6)}", "close")),
     "ts_skew": ("TsSkew($close,6)", full(6, f"list_avg(list_transform({LIST}, lambda v: pow(v - list_avg({LIST}), 3))) / pow(list_avg(list_transform({LIST}, lambda v: pow(v - list_avg({LIST}), 2))), 1.5)", "close")),
     "ts_kurt": ("TsKurt($close,6)", full(6, f"(kurtosis_pop(close) OVER {w(6)} + 3) * pow(5.0 / 6, 2) - 3", "close")),
     "ts_max": ("TsMax($close,6)", full(6, f"max(close) OVER {w(6)}", "close")),
@@ -138,7 +139,7 @@ FORMULAS: dict[str, tuple[str, str]] = {
     "ts_pctchange": ("TsPctChange($close,4)", f"(close - lag(close, 3) OVER {O_}) / lag(close, 3) OVER {O_}"),
     "ts_wma": ("TsWMA($close,6)", weights(6, [float(k) for k in range(6)])),
     "ts_ema": ("TsEMA($close,6)", weights(6, [EMA ** (6 - k) for k in range(6)])),
-    "ts_cov": ("TsCov($disc,$tax,8)", full(8, f"covar_samp(disc, tax) OVER {w(8)}", "disc", "tax")),
+    "ts_cov": ("TsCov($close,$disc,8)", full(8, f"covar_samp(close, disc) OVER {w(8)}", "close", "disc")),
     "ts_corr": ("TsCorr($close,$vol,8)", full(8, f"CASE WHEN var_samp(close) OVER {w(8)} * 7 < 1e-6 OR var_samp(vol) OVER {w(8)} * 7 < 1e-6 THEN covar_samp(close, vol) OVER {w(8)} * 7 ELSE corr(close, vol) OVER {w(8)} END", "close", "vol")),
     "zscore_by_day": ("ZScore($close)", f"coalesce((close - avg(close) OVER {D_}) / nullif(stddev_pop(close) OVER {D_}, 0), 0)"),
     "average_rank": ("AvgRank($n)", "CASE WHEN n IS NULL THEN 0 ELSE rank() OVER (PARTITION BY date ORDER BY n NULLS LAST) - 1 + (count(*) OVER (PARTITION BY date, n) - 1) / 2.0 END"),
@@ -473,30 +474,30 @@ def adaptive_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("expr"), F.col("p_size").alias("score"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("expr"), F.col("p_size").alias("score"))
 
 
-@query("SELECT p_type AS expr, p_size AS score FROM part WHERE p_size > 40 UNION ALL SELECT p_type, p_size FROM part WHERE p_size < 10")
+@query("SELECT p_brand || ' ' || p_type AS expr, p_size AS score FROM part WHERE p_size > 40 UNION ALL SELECT p_brand || ' ' || p_type, p_size FROM part WHERE p_size < 10")
 def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of candidates on end."""
     own = offers(spark, sf_dir).select("expr", "score")
     return candidates.union(own.where("score > 40"), own.where("score < 10"))
 
 
-@query("SELECT p_type AS expr, p_size AS score FROM part WHERE p_size > 20 AND p_type NOT IN (SELECT p_type FROM part WHERE p_size < 3)")
+@query("SELECT p_brand || ' ' || p_type AS expr, p_size AS score FROM part WHERE p_size > 20 AND p_brand || ' ' || p_type NOT IN (SELECT p_brand || ' ' || p_type FROM part WHERE p_size < 3)")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that another batch has not."""
     own = offers(spark, sf_dir).select("expr", "score")
     return candidates.difference(own.where("score > 20"), own.where("score < 3"))
 
 
-@query("SELECT id, expr, score FROM (SELECT p_partkey AS id, p_type AS expr, p_size AS score, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k FROM part) AS x WHERE k = 1")
+@query("SELECT id, expr, score FROM (SELECT p_partkey AS id, p_brand || ' ' || p_type AS expr, p_size AS score, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS k FROM part) AS x WHERE k = 1")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of equal candidates."""
     return candidates.first_of(offers(spark, sf_dir), "expr", "id")
 
 
-@query("SELECT id, expr, score FROM (SELECT p_partkey AS id, p_type AS expr, p_size AS score, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part) AS x WHERE k = 1")
+@query("SELECT id, expr, score FROM (SELECT p_partkey AS id, p_brand || ' ' || p_type AS expr, p_size AS score, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part) AS x WHERE k = 1")
 def first_per_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate of each score."""
     return candidates.first_of(offers(spark, sf_dir), "score", "id")
