@@ -90,6 +90,39 @@ QUERIES = {
     "op10_bpe_monoid": op10_bpe_monoid,
 }
 ORACLE: dict[str, str] = {
+    "op1_jaccard": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+        n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM g),
+        t AS (SELECT doc_id, md5(unnest(g)) AS t FROM g),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM t AS a JOIN t AS b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT doc_id, any_value(n) AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = doc_id GROUP BY doc_id""",
+    "op5_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+              WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10""",
+    "op9_linededup": """
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d),
+        w AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, list_filter(regexp_split_to_array(lower(t[i]), '\\s+'), lambda x: x <> '') AS w FROM i),
+        s AS (SELECT doc_id, line, len(w) AS n, w, md5(array_to_string(w, ' ')) AS h FROM w WHERE len(w) >= 3),
+        f AS (SELECT h, min((doc_id, line)) AS first FROM s GROUP BY h),
+        e AS (SELECT doc_id, line, first, 0 AS distance FROM s JOIN f USING (h) WHERE (doc_id, line) <> first),
+        u AS (SELECT s.* FROM s JOIN f USING (h) WHERE (doc_id, line) = first AND n >= 8),
+        k AS (SELECT doc_id, line, w, unnest(range(1, n + 1)) AS i FROM u),
+        v AS (SELECT doc_id, line, i, md5(array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) AS h FROM k),
+        m AS (SELECT a.doc_id, a.line, (b.doc_id, b.line) AS other FROM v AS a JOIN v AS b ON a.h = b.h AND a.i = b.i
+              UNION ALL SELECT a.doc_id, a.line, (b.doc_id, b.line) FROM v AS a JOIN u AS b ON a.h = b.h
+              UNION ALL SELECT b.doc_id, b.line, (a.doc_id, a.line) FROM v AS a JOIN u AS b ON a.h = b.h),
+        x AS (SELECT doc_id, line, min(other) AS first FROM m WHERE other < (doc_id, line) GROUP BY ALL),
+        y AS (SELECT * FROM e UNION ALL SELECT doc_id, line, first, 1 FROM x)
+        SELECT doc_id, line, first[1] AS kept_doc_id, first[2] AS kept_line, distance FROM y""",
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
