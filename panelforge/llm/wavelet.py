@@ -32,10 +32,10 @@ from .common import batches, fresh_path, open_fs, out_batch, parallelism, write_
 
 MAGIC = b"PFWM0001"
 #: Ids in a shard before it is closed, and entries of the word table before it starts anew.
-SHARD_IDS, TABLE = 1 << 22, 600_000
+SHARD_IDS, TABLE = 1 << 22, 1_500_000
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
-#: Where a text needs the search for cuts, as a space or newline follows another space.
-UNEVEN = re.compile(r"\s[ \n]|\0")
+#: Where a text may need the search for cuts, as a space or newline may follow another space.
+UNEVEN = ["  ", " \n", "\n ", "\n\n", "\0", *(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n")]
 
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -203,7 +203,7 @@ class Encoder:
     @staticmethod
     def _words(text: str) -> list[str]:
         """Keys of the stretches of a text between cuts: "\\0x" is x, "\\nx" is itself, and x is " x"."""
-        if UNEVEN.search(text):
+        if any(x in text for x in UNEVEN):
             return ["\0" + x for x in CUT.split(text)]
         words = text.replace("\n", " \n").split(" ")
         words[0] = "\0" + words[0]
