@@ -95,7 +95,8 @@ def independent(gram: np.ndarray, tolerance: float = 1e-10) -> list[int]:
 def inflation(gram: np.ndarray) -> np.ndarray:
     """The variance inflation factor of each column, from the products of columns with mean 0."""
     scale = np.sqrt(np.diag(gram))
-    return np.diag(np.linalg.pinv(gram / np.outer(scale, scale)))
+    values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
+    return (vectors**2 / np.maximum(values, 1e-12)).sum(axis=1)
 
 
 def without_collinear(gram: np.ndarray, most: float = 10.0) -> list[int]:
