@@ -17,11 +17,19 @@ from panelforge.llm.common import table, written
 from panelforge.llm.queries import BPE_FILE, held_out
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it differ from all columns."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with it as lang where that was null; those without a letter go."""
-    judged = langid.identify(docs, langid.learn(docs, ~held_out()))
-    named = judged.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return named.select(*docs.columns)
+    label, score = unused(docs, "lang_pred"), unused(docs, "score")
+    judged = langid.identify(docs, langid.learn(docs, ~held_out()), label, score)
+    return judged.where(F.col(label) != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", label)).drop(label, score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

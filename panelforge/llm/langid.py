@@ -125,15 +125,15 @@ def judge(texts: list[str | None], prototypes: Prototypes) -> tuple[list[str], l
     return languages, scores
 
 
-def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
-    """All columns of docs with lang_pred and score in place of any such columns."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, prototypes: Prototypes, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of docs, with the language and its score under these names in place of any such columns."""
+    docs = docs.drop(label, score)
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 1 << 20):
             languages, scores = judge(batch.column(at).to_pylist(), prototypes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, label, score])
 
     return docs.mapInArrow(run, schema)

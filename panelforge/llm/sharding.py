@@ -6,7 +6,7 @@ buckets of bounded size; each is differenced in a task of its own, then buckets
 by level, until one partial partition is left. Going back down the levels, each bucket's bins get their shards.
 
 A group is all rows with equal texts and stays in one shard; null texts are a group. A group of more bytes than a shard's
-part makes its shard larger than the others. An empty table gives an empty result. Slots number the rows of a shard by
+part has a shard for itself, which is larger than the others. An empty table gives an empty result. Slots number the rows of a shard by
 bucket of doc_id, doc_id, size and CRC. Other columns are ignored, whatever their names.
 """
 
@@ -100,8 +100,18 @@ def group_shards(groups: DataFrame, keys: list[str], shards: int) -> DataFrame:
     """A shard for each row of groups (keys, size); the result is a written table of keys and shard."""
     spark = groups.sparkSession
     groups = written(groups.select(*keys, "size"), "groups")
-    buckets = max(1, -(-groups.count() // BUCKET))
     key_types = ", ".join(f"{k} {t}" for k, t in groups.dtypes if k in keys)
+    count, left = groups.agg(F.count("*"), F.sum("size")).first()
+    # fewer than `shards` groups can be as large as a shard's part of what smaller ones leave; each gets a shard for itself
+    alone = []
+    for row in groups.orderBy(F.desc("size"), *keys).limit(shards - 1).collect():
+        if row["size"] * (shards - len(alone)) < left:
+            break
+        alone.append((*(row[k] for k in keys), shards - 1 - len(alone)))
+        left -= row["size"]
+    by_itself = spark.createDataFrame(alone, f"{key_types}, shard int")
+    groups, shards = groups.join(F.broadcast(by_itself), keys, "left_anti"), shards - len(alone)
+    buckets = max(1, -(-count // BUCKET))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         sums, bins = difference_items(pdf["size"].to_numpy(np.int64), shards)
@@ -126,7 +136,8 @@ def group_shards(groups: DataFrame, keys: list[str], shards: int) -> DataFrame:
     to_shard = spark.createDataFrame([(r["node"], b) for r, b in zip(top, bins.tolist(), strict=True)], "node long, shards array<long>")
     for up in reversed(ups):
         to_shard = up.join(to_shard.withColumnRenamed("node", "up"), "up").select("node", F.transform("bins", lambda b: F.col("shards")[b.cast("int")]).alias("shards"))
-    return written(placed.join(to_shard, "node").select(*keys, F.col("shards")[F.col("bin")].cast("int").alias("shard")), "shards")
+    found = placed.join(to_shard, "node").select(*keys, F.col("shards")[F.col("bin")].cast("int").alias("shard"))
+    return written(found.unionByName(by_itself), "shards")
 
 
 def shard_documents(docs: DataFrame, shards: int) -> DataFrame:

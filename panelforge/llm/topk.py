@@ -8,7 +8,8 @@ dropped and the columns compacted. The k best of each group meet by query.
 
 Vectors that are null or hold a null or non-finite component, or have not the most common length of the table, take no
 part. A query skips every row with its own vec_id. Repeated vec_ids are candidates each; ties go to the smaller vec_id.
-Null vec_ids take no part. Empty tables give empty results. Other columns are ignored, whatever their names.
+Null vec_ids take no part. Integers and scores beyond 64 bits count as the
+nearest such number. Empty tables give empty results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _best(query: np.ndarray, own: int, ids: np.ndarray, columns: np.ndarray, res
     for step, lo in enumerate(range(0, len(columns), STEP)):
         part = columns[lo : lo + STEP]
         score = score + query[lo : lo + STEP] @ (part if len(alive) == len(ids) else part[:, alive])
-        if len(alive) <= k:
+        if len(alive) <= k or exact is object:
             continue
         bound = (rest[step + 1][alive] * query_rest[step + 1]) * (1 + 1e-9) + 1
         best, worst = score + bound, score - bound
@@ -42,13 +43,14 @@ def _best(query: np.ndarray, own: int, ids: np.ndarray, columns: np.ndarray, res
         keep = np.flatnonzero(best >= at_least)
         if len(keep) < len(alive):
             alive, score = alive[keep], score[keep]
+    score = (np.clip(score, -(2**63) + 1, 2**63 - 1) if exact is object else score).astype(np.int64)
     order = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive][order], score[order].astype(np.int64)
+    return ids[alive][order], score[order]
 
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list, list, list]:
     """The k best of a candidate block (rows of integers) for each query."""
-    top = float(max(np.abs(queries).max(initial=0), 1)) * float(max(np.abs(vectors).max(initial=0), 1)) * vectors.shape[1]
+    top = max(np.abs(queries.astype(float)).max(initial=0), 1) * max(np.abs(vectors.astype(float)).max(initial=0), 1) * vectors.shape[1]
     exact = np.float64 if top < 2**52 else np.int64 if top < 2**62 else object
     order = np.argsort(-(vectors.astype(np.float64) ** 2).sum(axis=0), kind="stable")
     columns = np.ascontiguousarray(vectors[:, order].T)
