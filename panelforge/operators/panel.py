@@ -18,8 +18,9 @@ def calendar(rows: DataFrame) -> DataFrame:
 
 
 def broadcast_checked(days: DataFrame) -> DataFrame:
-    """A calendar, sent to all executors if it is as small as calendars are."""
-    return F.broadcast(days) if days.limit(MOST_DATES + 1).count() <= MOST_DATES else days
+    """Rows by date, worked out once and sent to all executors if they are as few as dates are; else as they were."""
+    rows = days.limit(MOST_DATES + 1).collect()
+    return F.broadcast(days.sparkSession.createDataFrame(rows, days.schema)) if len(rows) <= MOST_DATES else days
 
 
 def densify(rows: DataFrame, days: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
@@ -28,11 +29,11 @@ def densify(rows: DataFrame, days: DataFrame | None = None, codes: DataFrame | N
     Each code is repeated for all positions and takes the dates from the calendar, so nothing but the calendar is
     broadcast, and that after a check of its size.
     """
-    days = calendar(rows) if days is None else days
+    days = broadcast_checked(calendar(rows) if days is None else days)
     count = days.count()
     codes = rows.select(CODE).distinct() if codes is None else codes.select(CODE)
     cells = codes.select(CODE, F.explode(F.sequence(F.lit(1), F.lit(max(count, 1)))).alias(POS))
-    cells = cells.join(broadcast_checked(days), POS)
+    cells = cells.join(days, POS)
     return cells.join(rows, [DATE, CODE], "left")
 
 
@@ -104,13 +105,6 @@ def static_universe(rows: DataFrame, codes: DataFrame) -> DataFrame:
     return rows.join(codes.select(CODE).distinct(), CODE, "left_semi")
 
 
-def pool_periods(pools: DataFrame) -> DataFrame:
-    """Pools (rebal_date, code) with the date from which the next one holds."""
-    dates = pools.select("rebal_date").distinct()
-    dates = dates.select("rebal_date", F.lead("rebal_date").over(Window.orderBy("rebal_date")).alias("until"))
-    return pools.select("rebal_date", CODE).distinct().join(broadcast_checked(dates), "rebal_date")
-
-
 def dynamic_mask(panel: DataFrame, pools: DataFrame, columns: list[str]) -> DataFrame:
     """The panel with columns null where the code isn't in the pool of the latest rebalance date up to the row's date."""
     active = pools.select("rebal_date").distinct()
