@@ -12,11 +12,15 @@ REQUIRED = ("name", "frequency", "feature_path", "date_column", "code_column")
 FREQUENCIES = ("daily", "30min", "5min")
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The registry with lower-case column names, and status active or inactive."""
+def read_registry(spark: SparkSession, path: str, admitted: str | None = None) -> DataFrame:
+    """The registry with lower-case column names, and status active or inactive by a column of 1 and 0.
+
+    That column is the first whose name begins with allow_in_, if none is given; without one all are active.
+    """
     raw = spark.read.csv(path, header=True)
     raw = raw.toDF(*(c.lower() for c in raw.columns))
-    return raw.withColumn("status", F.when(F.col("allow_in_alphaprobe").cast("int") == 1, "active").otherwise("inactive")) if "allow_in_alphaprobe" in raw.columns else raw.withColumn("status", F.lit("active"))
+    admitted = admitted or next((c for c in raw.columns if c.startswith("allow_in_")), None)
+    return raw.withColumn("status", F.when(F.col(admitted).cast("int") == 1, "active").otherwise("inactive") if admitted else F.lit("active"))
 
 
 def features(registry: DataFrame, domain: str, status: str = "active") -> list[str]:

@@ -202,7 +202,7 @@ def test_scan_is_pruned_and_filtered(spark, files):
 
 
 def test_settings(spark, tmp_path):
-    (tmp_path / "r.csv").write_text("Domain,feature_name,allow_in_alphaprobe\nA,Ret_1d,1\nA,gap,0\nB,flow,1\n")
+    (tmp_path / "r.csv").write_text("Domain,feature_name,allow_in_search\nA,Ret_1d,1\nA,gap,0\nB,flow,1\n")
     own = registry.read_registry(spark, str(tmp_path / "r.csv"))
     assert registry.features(own, "A") == ["ret_1d"] and registry.features(own, "A", "inactive") == ["gap"]
     (tmp_path / "t.json").write_text(json.dumps({"data": {"window": 5, "path": "x"}, "pool": 7}))
