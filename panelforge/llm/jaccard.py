@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, out_batch, parallelism, written
@@ -41,11 +41,13 @@ SHINGLE = 5
 #: Eighths of all shingles that the first support step looks at.
 EIGHTHS = 4
 #: Shingles and documents of a batch that is dealt to buckets.
-PACK, PACK_DOCS = 2_000_000, 60_000
+PACK, PACK_DOCS = 1_000_000, 60_000
 #: Sets and shingles of a block in a sorted run, and how many sets it has in common with the next.
-BLOCK, BLOCK_SHINGLES, OVERLAP = 1024, 1_500_000, 48
+BLOCK, BLOCK_SHINGLES, OVERLAP = 1024, 1_000_000, 48
 #: Children of a node, and words of 64 bits of a hashed bitmap.
 FAN, SIGNATURE = 8, 32
+#: Sets of either side of a group in the completion.
+SIDE = 1024
 #: Ratio of sizes of a band.
 BAND = 1.07
 PASSES = 3
@@ -360,7 +362,17 @@ def completion(rest: DataFrame) -> DataFrame:
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pa.Table.from_batches([out_batch(PAIRS, [np.minimum(a, b), np.maximum(a, b)])])
 
-    pairs = probes.mapInArrow(keys, PROBES).groupBy("token", "band").applyInArrow(meet, PAIRS).distinct()
+    # a key under which very many sets meet is dealt out as pairs of parts of either side
+    made = written(probes.mapInArrow(keys, PROBES), "probes")
+    sizes = made.groupBy("token", "band").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("probes"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    sizes = written(sizes.where("homes > 0 and probes > 0 and lo <> hi").select("token", "band", *(F.ceil(F.col(c) / SIDE).cast("int").alias(c) for c in ("homes", "probes"))), "sizes")
+
+    def parts(side: Column, n: str) -> Column:
+        own = F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        return F.explode(F.when(side, F.array(own)).otherwise(F.sequence(F.lit(0), F.col(n) - 1)))
+
+    dealt = made.join(sizes, ["token", "band"]).withColumn("home_part", parts(F.col("home"), "homes")).withColumn("probe_part", parts(~F.col("home"), "probes"))
+    pairs = dealt.drop("homes", "probes").groupBy("token", "band", "home_part", "probe_part").applyInArrow(meet, PAIRS).distinct()
     sides = rest.select("id", "shingles")
     both = pairs.join(sides.toDF("a", "left"), "a").join(sides.toDF("b", "right"), "b").select("a", "b", "left", "right")
 

@@ -144,7 +144,8 @@ def find(docs: DataFrame, min_words: int = 3, edit_words: int = 8) -> DataFrame:
     shared = written(halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "halves")
     chosen = halves.join(shared, "k", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("chosen"))
     # 3: variants of these
-    candidates = rows.join(written(chosen, "chosen"), "doc_id")
+    # the texts are dealt out by doc_id at any size, and only the lists are held
+    candidates = rows.join(written(chosen, "chosen").hint("shuffle_hash"), "doc_id")
 
     def words(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batched, 1 << 20):
@@ -197,7 +198,7 @@ def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     columns = docs.columns
     lists = written(drops.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone")).withColumnRenamed("doc_id", "of"), "drops")
     place = docs.columns.index("text")
-    joined = docs.join(lists, docs["doc_id"] == lists["of"], "left").select(*(docs[c] for c in columns), lists["gone"])
+    joined = docs.join(lists.hint("shuffle_hash"), docs["doc_id"] == lists["of"], "left").select(*(docs[c] for c in columns), lists["gone"])
 
     def run(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batched):

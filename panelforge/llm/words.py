@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words kept in a worker's table before it starts anew.
-TABLE = 400_000
+TABLE = 150_000
 
 
 class WordHashes(dict):

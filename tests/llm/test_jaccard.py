@@ -52,12 +52,13 @@ def corpus(seed, n):
     return rows + [(9000, None), (9001, ""), (9002, " \n"), (9003, "one two"), (9004, "One  TWO"), (9005, "É b c d e f"), (9006, "é b c d e f"), (9007, "x y z " * 20_000)]
 
 
-@pytest.mark.parametrize("block,passes", [(J.BLOCK, J.PASSES), (8, 1)])
-def test_equals_brute_force(spark, monkeypatch, block, passes):
+@pytest.mark.parametrize("block,passes,side", [(J.BLOCK, J.PASSES, J.SIDE), (8, 1, 5)])
+def test_equals_brute_force(spark, monkeypatch, block, passes, side):
     rows = corpus(3, 500)
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "OVERLAP", min(J.OVERLAP, block // 4))
     monkeypatch.setattr(J, "PASSES", passes)
+    monkeypatch.setattr(J, "SIDE", side)
     monkeypatch.setattr(J, "SETS", "id long, n int, shingles binary, " + ", ".join(f"a{i} long, b{i} long" for i in range(passes)))
     docs = spark.createDataFrame([(*r, 1) for r in rows + rows[:2] + [(None, "a b c d e f")]], "doc_id long, text string, n int")
     found = J.cluster(docs).collect()
