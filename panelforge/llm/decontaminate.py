@@ -3,10 +3,13 @@
 A seed is the hash of the words at the fixed places that a mask looks at; the places it ignores may hold other words. The
 seeds of the benchmark's items are looked up at every word of every document. A hit puts an item beside the document; along
 that alignment the longest stretch of which at least the share `least` of words are equal is taken, and it counts if it has
-min_words words (or the whole item, if that is shorter).
+min_words words (or the whole item, if that is shorter). The place given is that stretch without unequal words at its ends.
 
-Words are runs of letters, digits and underscores in lower case. Items with fewer words than the shortest mask can't be
-found. Null texts and items count as empty, an empty table on either side finds nothing, repeated items are found each,
+No passage is missed. A stretch of 2 * min_words or more can be halved, and one half is a passage too, so the masks need to
+hit those below (tested for all placements of unequal words). A shorter item is cut into one part more than words of it may
+differ, so that one part is equal; each part is a seed.
+
+Words are runs of letters, digits and underscores in lower case. Items without a word can't be found. Null texts and items count as empty, an empty table on either side finds nothing, repeated items are found each,
 repeated rows of documents give a row each. Each document and item give their longest stretch, of equal ones the first.
 Other columns are ignored in find() and kept in clean(), whatever their names.
 
@@ -27,11 +30,13 @@ from pyspark.sql import functions as F
 from .common import batches, out_batch
 from .words import FACTORS, hashed, mixed
 
-#: Places looked at (1) and ignored (0).
-MASKS = ("1111111", "11011001011", "1100101011001")
+#: Places looked at (1) and ignored (0); they hit every stretch of 13 words or more with 80 % equal.
+MASKS = ("11111", "111011")
 WORD = re.compile(r"\w+")
 #: Bytes of benchmark text in a block.
 BLOCK = 16 << 20
+#: Hits, or words beside each other, that are worked on at once.
+AT_ONCE = 1 << 21
 FOUND = "doc_id long, item_id long, n_words int, n_equal int, doc_word int, item_word int"
 
 
@@ -46,6 +51,25 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mixed(total)
 
 
+def unequal(n: int, least: float) -> int:
+    """How many of n words may differ."""
+    return int(n * (1 - least) + 1e-9)
+
+
+def masks_for(min_words: int, least: float) -> tuple[str, ...]:
+    """Masks of which one hits every stretch of min_words words or more with that share of equal ones."""
+    if min_words >= 13 and least >= 0.8:
+        return MASKS
+    runs = (-(-(n - unequal(n, least)) // (unequal(n, least) + 1)) for n in range(min_words, 2 * min_words))
+    return ("1" * min(len(FACTORS), *runs, min_words),)
+
+
+def parts(n: int, least: float) -> list[tuple[int, int]]:
+    """Start and size of the parts of a short item, one of which is equal where the item is found."""
+    ends = [n * k // (unequal(n, least) + 1) for k in range(unequal(n, least) + 2)]
+    return [(a, min(b - a, len(FACTORS))) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def words_of(text: str | None) -> np.ndarray:
     return hashed(WORD.findall(text.lower())) if text else np.zeros(0, np.uint64)
 
@@ -58,15 +82,28 @@ def joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Seeds:
     """The items of a block and their seeds."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], min_words: int = 13, least: float = 0.8):
+        if min_words < 1 or not 0 < least <= 1:
+            raise ValueError("a passage needs a word, and a share of equal words above 0 and up to 1")
         self.ids = [i for i, _ in items]
         self.words, self.starts = joined([words_of(text) for _, text in items])
+        self.sizes = np.diff(self.starts)
+        self.need = np.minimum(self.sizes, min_words)
+        self.equal = np.ceil(self.need * least - 1e-9).astype(np.int64)
+        places: dict[str, list[np.ndarray]] = {}
+        for mask in masks_for(min_words, least):
+            at = np.arange(max(0, len(self.words) - len(mask) + 1))
+            owner = self.owner(at)
+            places[mask] = [at[(owner == self.owner(at + len(mask) - 1)) & (self.sizes[owner] >= min_words)]]
+        for n in set(self.sizes[(self.sizes > 0) & (self.sizes < min_words)].tolist()):
+            for a, size in parts(n, least):
+                places.setdefault("1" * size, []).append(self.starts[:-1][self.sizes == n] + a)
         self.tables = []
-        for mask in MASKS:
-            own = seeds(self.words, mask)
-            at = np.arange(len(own))
-            inside = self.owner(at) == self.owner(at + len(mask) - 1)
-            own, at = own[inside], at[inside]
+        for mask, found in places.items():
+            at = np.concatenate(found)
+            if not len(at):
+                continue
+            own = seeds(self.words, mask)[at]
             order = np.argsort(own, kind="stable")
             bits = max(16, min(26, int(len(own) * 32).bit_length()))
             seen = np.zeros(1 << bits, bool)
@@ -77,24 +114,50 @@ class Seeds:
         return np.searchsorted(self.starts, at, side="right") - 1
 
     def look_up(self, docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Document, item and item start less document start of each alignment that has a hit."""
-        found = []
+        """Document, item and item start less document start of each alignment with a hit and enough equal words."""
+        span, found = np.int64(len(docs) + len(self.words) + 1), []
         for mask, own, at, seen, shift in self.tables:
             here = seeds(docs, mask)
             place = np.flatnonzero(seen[here >> shift])
             lo, hi = np.searchsorted(own, here[place], "left"), np.searchsorted(own, here[place], "right")
-            place, lo, n = place[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if not len(place):
-                continue
-            item_at = at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            place = np.repeat(place, n)
             doc = np.searchsorted(starts, place, side="right") - 1
-            inside = place + len(mask) <= starts[doc + 1]
-            item = self.owner(item_at)
-            shift_by = (item_at - self.starts[item]) - (place - starts[doc])
-            found.append(np.stack([doc, item, shift_by], axis=1)[inside])
+            inside = (hi > lo) & (place + len(mask) <= starts[doc + 1])
+            every, lo, number, docs_of = place[inside], lo[inside], (hi - lo)[inside], doc[inside]
+            for i, j in cuts(number):
+                n = number[i:j]
+                item_at = at[np.repeat(lo[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                doc, item = np.repeat(docs_of[i:j], n), self.owner(item_at)
+                by = (item_at - self.starts[item]) - (np.repeat(every[i:j], n) - starts[doc])
+                keys = np.unique((doc * len(self.ids) + item) * span + (by + len(docs)))
+                found.append(self.kept(keys, span, docs, starts))
         if found:
-            yield from map(tuple, np.unique(np.concatenate(found), axis=0).tolist())
+            keys = np.unique(np.concatenate(found))
+            pair, by = keys // span, keys % span - len(docs)
+            yield from zip((pair // len(self.ids)).tolist(), (pair % len(self.ids)).tolist(), by.tolist(), strict=True)
+
+    def kept(self, keys: np.ndarray, span: np.int64, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The alignments that have as many words beside each other, and equal ones, as a passage needs."""
+        pair, by = keys // span, keys % span - len(docs)
+        doc, item = pair // len(self.ids), pair % len(self.ids)
+        lo, hi = np.maximum(0, by), np.minimum(self.sizes[item], starts[doc + 1] - starts[doc] + by)
+        enough = np.flatnonzero(hi - lo >= self.need[item])
+        keys, doc, item, by, lo, n = keys[enough], doc[enough], item[enough], by[enough], lo[enough], (hi - lo)[enough]
+        out = [keys[:0]]
+        for i, j in cuts(n):
+            first = np.cumsum(n[i:j]) - n[i:j]
+            along = np.arange(n[i:j].sum())
+            theirs = np.repeat(self.starts[item[i:j]] + lo[i:j] - first, n[i:j]) + along
+            ours = np.repeat(starts[doc[i:j]] + lo[i:j] - by[i:j] - first, n[i:j]) + along
+            same = np.add.reduceat(docs[ours] == self.words[theirs], first, dtype=np.int64)
+            out.append(keys[i:j][same >= self.equal[item[i:j]]])
+        return np.concatenate(out)
+
+
+def cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of entries of about AT_ONCE in all (one entry at least)."""
+    if len(sizes):
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE, prepend=-1))
+        yield from zip(edges.tolist(), [*edges[1:].tolist(), len(sizes)], strict=True)
 
 
 def stretch(equal: np.ndarray, least: float) -> tuple[int, int]:
@@ -122,13 +185,14 @@ def overlaps(texts: list[str | None], own: Seeds, min_words: int, least: float)
         lo, hi = max(0, by), min(len(theirs), len(words) + by)  # in the item
         equal = words[lo - by : hi - by] == theirs[lo:hi]
         i, j = stretch(equal, least)
+        if j - i < min(min_words, len(theirs)):
+            continue
         while i < j and not equal[i]:
             i += 1
         while i < j and not equal[j - 1]:
             j -= 1
-        if j - i >= min(min_words, len(theirs)):
-            made = (j - i, int(equal[i:j].sum()), -(lo - by + i), -(lo + i))
-            best[doc, item] = max(best.get((doc, item), made), made)
+        made = (j - i, int(equal[i:j].sum()), -(lo - by + i), -(lo + i))
+        best[doc, item] = max(best.get((doc, item), made), made)
     return [(doc, item, n, same, -a, -b) for (doc, item), (n, same, a, b) in sorted(best.items())]
 
 
@@ -147,7 +211,7 @@ def find(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, least: floa
     for items in blocks(benchmark):
 
         def run(batched: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            own = Seeds(items)
+            own = Seeds(items, min_words, least)
             for batch in batches(batched, 1 << 20):
                 out = overlaps(batch.column(1).to_pylist(), own, min_words, least)
                 if out:
@@ -165,7 +229,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, least: flo
     for items in blocks(benchmark):
 
         def run(batched: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            own = Seeds(items)
+            own = Seeds(items, min_words, least)
             for batch in batches(batched, 1 << 20):
                 bad = {doc for doc, *_ in overlaps(batch.column(at).to_pylist(), own, min_words, least)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch

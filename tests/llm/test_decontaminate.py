@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -72,3 +73,52 @@ def test_equals_brute_force_at_every_alignment():
                 lo, hi = max(0, by), min(len(w), len(theirs) + by)
                 best = max(best, longest(theirs[lo - by : hi - by] == w[lo:hi], 0.8)) if hi - lo >= 13 else best
             assert (found.get(i, 0) >= 13) == (best >= 13)
+
+
+def hit(equal, mask):
+    return any(all(equal[i + k] for k, c in enumerate(mask) if c == "1") for i in range(len(equal) - len(mask) + 1))
+
+
+@pytest.mark.parametrize("n", [13, 15, 20, 25])
+def test_masks_hit_every_stretch(n):
+    """Other lengths below 26 hold one of these, as they allow no more unequal words."""
+    for gone in itertools.combinations(range(n), n // 5):
+        equal = [i not in gone for i in range(n)]
+        assert any(hit(equal, mask) for mask in d.MASKS)
+
+
+@pytest.mark.parametrize("min_words,least", [(6, 0.5), (8, 0.75), (10, 0.8), (9, 1.0)])
+def test_masks_of_other_rules(min_words, least):
+    for n in range(min_words, 2 * min_words):
+        for gone in itertools.combinations(range(n), d.unequal(n, least)):
+            assert any(hit([i not in gone for i in range(n)], mask) for mask in d.masks_for(min_words, least))
+
+
+def items_found(words, text):
+    return [item for _, item, *_ in d.overlaps([text], d.Seeds([(0, " ".join(words))]), 13, 0.8)]
+
+
+@pytest.mark.parametrize("n", [15, 20, 40, 200])
+@pytest.mark.parametrize("first", range(5))
+def test_finds_passages_with_every_fifth_word_replaced(n, first):
+    words = [f"w{i}" for i in range(n)]
+    text = " ".join("zz" if i % 5 == first else w for i, w in enumerate(words))
+    assert items_found(words, text) == [0] and items_found(words, f"a b {text} c d") == [0]
+
+
+@pytest.mark.parametrize("n", range(1, 14))
+def test_finds_whole_short_items_with_replaced_words(n):
+    words = [f"w{i}" for i in range(n)]
+    for k in range(n // 5 + 2):
+        for gone in itertools.combinations(range(n), k):
+            text = "a b " + " ".join("zz" if i in gone else w for i, w in enumerate(words)) + " c d"
+            assert items_found(words, text) == ([0] if k <= n // 5 else [])
+
+
+def test_equal_runs_and_small_blocks_of_work(monkeypatch):
+    items = [(i, "a a a a a a a a a a a a a a a") for i in range(3)] + [(3, "a b c d e")]
+    text = "a " * 50 + "x b c d e"
+    want = d.overlaps([text, None, text], d.Seeds(items), 13, 0.8)
+    monkeypatch.setattr(d, "AT_ONCE", 7)
+    assert [(doc, item) for doc, item, *_ in want] == [(doc, item) for doc in (0, 2) for item in range(4)]
+    assert d.overlaps([text, None, text], d.Seeds(items), 13, 0.8) == want
