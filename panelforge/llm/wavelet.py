@@ -7,6 +7,7 @@ next plane. Access, counts, ranks, and the place of the k-th occurrence need onl
 
 Encoding looks words up in a bounded table of what the tokenizer made of them: between a non-space and a space the
 pattern of these vocabularies always splits, so stretches between such cuts can be encoded apart.
+Texts that hold an added token (none has a space) get its id, as from the library's plain call.
 
 Null texts count as empty: the end id alone. An empty table gives no shard and an empty result. Repeated doc_ids get a
 place each, in the order of their texts. Other columns are ignored, whatever their names.
@@ -159,7 +160,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.levels = max(vocab.values()).bit_length()
         self.kind = np.uint16 if self.levels <= 16 else np.uint32

@@ -5,11 +5,13 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from panelforge.llm import wavelet
 from panelforge.llm.common import open_fs
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+FRESH = Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("n,top", [(0, 5), (1, 1), (63, 3), (64, 300), (5000, 50_000)])
@@ -56,3 +58,33 @@ def test_shards(spark):
     with files.open_input_file(at) as f:
         assert wavelet.load(f.read())[2].count(2) >= 1
     assert wavelet.read_shards(wavelet.write_shards(docs.limit(0), PATH, 2)).count() == 0
+
+
+def library(texts, end_id):
+    return [x.ids + [end_id] for x in FRESH.encode_batch(texts, add_special_tokens=False)]
+
+
+END = "<|endoftext|>"
+HOLDING = [f"a {END} b", END, f"{END}{END} {END}", f"the{END}, it's{END}'s.{END}.", f"é{END}\n\n {END}\t漢 {END}  ", f"x  {END}  y\n{END}\nz", "<|endoftext <|ENDOFTEXT|> |>", " ".join(f"w{i}{END} {END}v{i}" for i in range(200))]
+
+
+def test_added_tokens_in_texts():
+    want = library(HOLDING, 2)
+    assert want[0] == [64, 220, 50256, 275, 2]
+    ids, sizes = wavelet.Encoder(PATH).encode(HOLDING, 2)
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([END, "<|", "|>", "a", "the", "'s", "é", "漢", ".", ",", " ", "  ", "\n", "\t", "\x00"]), max_size=40).map("".join), max_size=4))
+def test_encoder_equals_a_fresh_tokenizer(texts):
+    want = library(texts, 2)
+    ids, sizes = wavelet.encoder(PATH).encode(texts, 2)
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+def test_shards_of_texts_with_added_tokens(spark):
+    docs = spark.createDataFrame(list(enumerate(HOLDING)), "doc_id long, text string")
+    want, found = library(HOLDING, 2), sorted(wavelet.read_shards(wavelet.write_shards(docs, PATH, 2)).collect(), key=lambda r: r["start"])
+    assert [r["n_tokens"] for r in found] == list(map(len, want)) and [r["start"] for r in found] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+    assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
