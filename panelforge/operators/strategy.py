@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -45,9 +46,28 @@ class TopK:
         return frame.assign(portfolio=pdf["portfolio"].iloc[0])[["portfolio", "date", "code", "days_held", "bought"]]
 
 
+def contenders(signals: DataFrame, rule: TopK) -> DataFrame:
+    """The rows of all codes that can ever be held, and a row at least of each date of a portfolio.
+
+    At most `size` codes are held, so one that is bought is among the best size + swaps buyable codes of its date; codes
+    that never are among these change nothing.
+    """
+    signal = F.col("signal")
+    known = signal.isNotNull() & ~F.isnan(signal.cast("double"))
+    # + 0.0 as 0.0 and -0.0 are equal signals; in decimals and integers there is only one zero
+    level = signal + F.lit(0.0) if dict(signals.dtypes)["signal"] in ("double", "float") else signal
+    can = F.coalesce(F.col("buyable"), F.lit(False)) & known
+    day = Window.partitionBy("portfolio", "date").orderBy(can.desc(), level.desc(), F.col("code").asc_nulls_last())
+    ranked = signals.withColumns({"_best": can & (F.dense_rank().over(day) <= rule.size + rule.swaps), "_first": F.row_number().over(day) == 1})
+    ever = F.max("_best").over(Window.partitionBy("portfolio", "code"))
+    return ranked.withColumn("_ever", ever).where("_ever or _first").drop("_best", "_first", "_ever")
+
+
 def simulate(signals: DataFrame, rule: TopK, code_type: str = "string") -> DataFrame:
     """Holdings by date for each portfolio of signals (portfolio, date, code, signal, buyable, sellable).
 
-    A portfolio's dates must follow one another, so each is one group; portfolios run beside each other.
+    A portfolio's dates must follow one another, so each is one group; portfolios run beside each other. Only rows of
+    codes that can be held reach a group.
     """
-    return signals.groupBy("portfolio").applyInPandas(lambda pdf: rule.run(pdf), f"portfolio string, date date, code {code_type}, days_held int, bought boolean")
+    rows = contenders(signals.select("portfolio", "date", "code", "signal", "buyable", "sellable"), rule)
+    return rows.groupBy("portfolio").applyInPandas(lambda pdf: rule.run(pdf), f"portfolio string, date date, code {code_type}, days_held int, bought boolean")

@@ -3,8 +3,10 @@
 import datetime
 import json
 import math
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from panelforge.functions import metrics
 from panelforge.functions.catalogue import clipped, price_features
 from panelforge.operators import combine, panel, universe
 from panelforge.operators.pool import Pool, distance_reward, lasso_weights, neighbours, score
-from panelforge.operators.strategy import TopK, simulate
+from panelforge.operators.strategy import TopK, contenders, simulate
 from panelforge.plans.compiler import evaluate
 from panelforge.sources import features, pools, registry, sinks
 from panelforge.streaming.bars import bars, grow
@@ -246,6 +248,25 @@ def test_strategy(spark):
     assert (START + DAY, "c") not in patient
 
 
+def test_strategy_folds_contenders_alone(spark):
+    draw = random.Random(3)
+    rows = []
+    for portfolio in ("p", "q", None):
+        for day in range(25):
+            for k in range(60):
+                if draw.random() < 0.9:
+                    value = draw.choice([None, math.nan, -0.0, 0.0, 50.0 + day, draw.gauss(0, 1)]) if k < 8 else draw.choice([-5.0, -6.0, None])
+                    rows.append((portfolio, START + DAY * day, f"c{k:02d}", value, draw.random() < 0.8, draw.random() < 0.8))
+        rows += [(portfolio, START + DAY * 25, f"c{k:02d}", None, True, True) for k in range(40, 45)]
+    schema = "portfolio string, date date, code string, signal double, buyable boolean, sellable boolean"
+    frame, pdf = spark.createDataFrame(rows, schema), pd.DataFrame(rows, columns=["portfolio", "date", "code", "signal", "buyable", "sellable"])
+    for rule in (TopK(2, 1, 1), TopK(1, 1, 3), TopK(2, 0, 1)):
+        want = [tuple(r) for _, own in pdf.groupby("portfolio", dropna=False) for r in rule.run(own).itertuples(index=False)]
+        plain = lambda r: (None if r[0] is None or r[0] != r[0] else r[0], *r[1:])
+        assert sorted((plain(r) for r in simulate(frame, rule).collect()), key=str) == sorted(map(plain, want), key=str)
+        assert contenders(frame, rule).count() < len(rows) / 2
+
+
 def test_stream_of_bars_equals_batch(spark, tmp_path):
     t = datetime.datetime(2020, 1, 1)
     rows = [(i, t + datetime.timedelta(hours=i), i % 2, float(i % 5)) for i in range(72)]
