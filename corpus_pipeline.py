@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import bpe, decontaminate, jaccard, langid, linededup
@@ -39,10 +39,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-equal documents that with the smallest doc_id; of rows with one doc_id, one."""
+    """Of each group of near-equal documents that with the smallest doc_id; of rows with one doc_id, that with the first text. Rows without a doc_id all stay."""
     found = jaccard.cluster(docs)
     gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    kept = docs.where("doc_id is not null").join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    place = unused(docs, "place")
+    order = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    once = kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

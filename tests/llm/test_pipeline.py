@@ -59,3 +59,15 @@ def test_decontamination(spark, steps):
 def test_tokens(steps):
     own = bpe.codec(corpus_pipeline.public_tokenizers.path(BPE_FILE), corpus_pipeline.public_tokenizers.PATTERN)
     assert {r["doc_id"]: bytes(r["ids"]) for r in steps[5]} == {i: b"".join(x.to_bytes(4, "little") for x in own.encode(t)) for i, t in texts(steps[4]).items()}
+
+
+def test_repeated_rows(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    words = lambda name: " ".join(f"{name}{i}" for i in range(12))
+    rows = [(1, words("a")), (1, words("a")), (1, words("a")), (2, words("c")), (2, words("b")), (3, words("d")), (4, words("d")), (4, words("d")), (None, words("e")), (None, words("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    want = sorted([(1, words("a")), (2, words("b")), (3, words("d")), (None, words("e")), (None, words("f"))], key=str)
+    left = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert left.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == want
+    whole = corpus_pipeline.near_duplicates(spark, written(corpus_pipeline.lines(spark, docs, SF), "t"), SF)
+    assert sorted(r["doc_id"] for r in whole.collect() if r["doc_id"]) == [1, 2, 3]
