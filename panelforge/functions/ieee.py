@@ -14,7 +14,7 @@ def null() -> Column:
 
 def clean(x: Column) -> Column:
     """x, with NaN as NULL."""
-    return F.when(~F.isnan(x), x)
+    return F.nanvl(x, null())
 
 
 def divide(a: Column, b: Column) -> Column:

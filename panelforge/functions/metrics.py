@@ -1,4 +1,7 @@
-"""How well columns foretell a target: correlations by date, returns of the best, and their summaries."""
+"""How well columns foretell a target: correlations by date, returns of the best, and their summaries.
+
+A date without pairs counts with 0, so a series has a value for every date of the frame.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.registry import CODE, DATE
+from .gram import daily_correlations
 from .ieee import clean
+from .ranking import percentiles
 
 YEAR = 252
 
@@ -25,12 +30,18 @@ def pearson(x: Column, y: Column) -> Column:
     return F.coalesce(clean(F.covar_pop(a, b) / scale), F.lit(0.0))
 
 
+def pearson_of_targets(x: Column, y: Column) -> Column:
+    """Pearson over the rows with a target: null if one of these has no x, 0 without a target."""
+    return F.when(F.count_if(y.isNotNull() & x.isNull()) == 0, pearson(x, y))
+
+
 def clamped_pearson(x: Column, y: Column) -> Column:
     """Pearson with a least denominator, between -1 and 1; 0 with fewer than two pairs."""
     a, b = F.when(both(x, y), x), F.when(both(x, y), y)
-    scale = F.greatest(F.stddev_pop(a) * F.stddev_pop(b), F.lit(1e-8))
-    value = F.least(F.greatest(F.covar_pop(a, b) / scale, F.lit(-1.0)), F.lit(1.0))
-    return F.when(F.count_if(both(x, y)) < 2, F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
+    n = F.count_if(both(x, y))
+    scale = F.greatest(F.stddev_pop(a) * F.stddev_pop(b) * n, F.lit(1e-8))
+    value = F.least(F.greatest(F.covar_pop(a, b) * n / scale, F.lit(-1.0)), F.lit(1.0))
+    return F.when(n < 2, F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
 
 
 def long(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
@@ -43,25 +54,54 @@ def daily_ic(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame
     return frame.groupBy(DATE).agg(*(pearson(F.col(f), F.col(target)).alias(f) for f in factors))
 
 
-def daily_rank_ic(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
-    """date, factor and ic of ranks with ties averaged, ranked among the pairs."""
-    keys = [DATE, "factor"]
-    pairs = long(frame, factors, target).where(both(F.col("x"), F.col("y")))
+KEYS = [DATE, "factor"]
+
+
+def _pairs(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
+    return long(frame, factors, target).withColumn("pair", both(F.col("x"), F.col("y")))
+
+
+def _ordered(*columns) -> Window:
+    """Rows of a date and factor, pairs first; one partitioning serves every rank and the sums by date after them."""
+    return Window.partitionBy(*KEYS).orderBy(F.desc("pair"), *columns)
+
+
+def daily_metrics(frame: DataFrame, factors: Sequence[str], target: str, share: float = 0.2) -> DataFrame:
+    """date, factor, ic, ric (ranks with ties averaged) and ret (the mean target of the best share, one row at least)."""
+    pairs = _pairs(frame, factors, target)
 
     def ranked(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "pair", c)) - 1
+        return F.when(F.col("pair"), F.rank().over(_ordered(c)) + ties / 2)
 
-    return pairs.select(*keys, ranked("x").alias("rx"), ranked("y").alias("ry")).groupBy(*keys).agg(pearson(F.col("rx"), F.col("ry")).alias("ic"))
+    n = F.count_if("pair").over(Window.partitionBy(*KEYS))
+    place = F.row_number().over(_ordered(F.desc("x"), CODE))
+    best = F.col("pair") & (place <= F.greatest(F.lit(1), F.floor(n * share)))
+    rows = pairs.select(*KEYS, "x", "y", ranked("x").alias("rx"), ranked("y").alias("ry"), best.alias("best"))
+    x, y, rx, ry = map(F.col, ("x", "y", "rx", "ry"))
+    ret = F.coalesce(F.avg(F.when(F.col("best"), y)), F.lit(0.0))
+    return rows.groupBy(*KEYS).agg(pearson(x, y).alias("ic"), pearson(rx, ry).alias("ric"), ret.alias("ret"))
+
+
+def daily_rank_ic(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
+    """date, factor and ic of ranks with ties averaged, ranked among the pairs."""
+    return daily_metrics(frame, factors, target).select(*KEYS, F.col("ric").alias("ic"))
 
 
 def daily_top_return(frame: DataFrame, factors: Sequence[str], target: str, share: float = 0.2) -> DataFrame:
     """date, factor and ret: the mean target of the best share by factor, one row at least."""
-    keys = [DATE, "factor"]
-    pairs = long(frame, factors, target).where(both(F.col("x"), F.col("y")))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("x"), CODE))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    best = pairs.select(*keys, "y", place.alias("place"), n.alias("n")).where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))
-    return best.groupBy(*keys).agg(F.avg("y").alias("ret"))
+    return daily_metrics(frame, factors, target, share).select(*KEYS, "ret")
+
+
+def daily_safe_ic(frame: DataFrame, factors: Sequence[str], target: str, ranks: bool = True) -> DataFrame:
+    """date, factor and ic, clamped: of places (ties by code), or of the values themselves in place of ranks."""
+    pairs = _pairs(frame, factors, target)
+
+    def own(c: str) -> Column:
+        return F.when(F.col("pair"), F.row_number().over(_ordered(c, CODE)).cast("double") if ranks else F.col(c))
+
+    rows = pairs.select(*KEYS, own("x").alias("a"), own("y").alias("b"))
+    return rows.groupBy(*KEYS).agg(clamped_pearson(F.col("a"), F.col("b")).alias("ic"))
 
 
 def summary(series: DataFrame, value: str, by: Sequence[str] = (), epsilon: float = 0.0) -> DataFrame:
@@ -71,6 +111,35 @@ def summary(series: DataFrame, value: str, by: Sequence[str] = (), epsilon: floa
     return series.groupBy(*by).agg(mean.alias("mean"), std.alias("std"), ir.alias("ir"), (ir * F.sqrt(F.count(value))).alias("t"))
 
 
+def factor_metrics(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
+    """A row for each factor: ic, ric and ret, their deviations and ratios, and t of ic; one job for all factors."""
+    daily = daily_metrics(frame, factors, target)
+    out = []
+    for name in ("ic", "ric", "ret"):
+        mean, std = F.avg(name), F.stddev_samp(name)
+        out += [mean.alias(name), std.alias(f"{name}_std"), (mean / F.nullif(std, F.lit(0.0))).alias("retir" if name == "ret" else f"{name}ir")]
+    t = F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(F.count("ic"))
+    return daily.groupBy("factor").agg(*out, t.alias("ic_ttest"))
+
+
+def prediction_metrics(frame: DataFrame, prediction: str, target: str, returns: str, share: float = 0.1, every: int = 3) -> DataFrame:
+    """One row on a prediction: ic, icir, ric and ricir (clamped; places as ranks), ret (the best share's mean return times
+    the number of dates over `every`), ret_sharpe and ret_mdd. Dates with fewer than two pairs count with 0."""
+    ic = daily_safe_ic(frame, [prediction], target, ranks=False).select(DATE, "ic")
+    ric = daily_safe_ic(frame, [prediction], target).select(DATE, F.col("ic").alias("ric"))
+    pairs = _pairs(frame, [prediction], returns)
+    n = F.count_if("pair").over(Window.partitionBy(*KEYS))
+    place = F.row_number().over(_ordered(F.desc("x"), CODE))
+    best = F.col("pair") & (n >= 2) & (place <= F.greatest(F.lit(1), F.floor(n * share)))
+    ret = pairs.select(DATE, "y", best.alias("best")).groupBy(DATE).agg(F.coalesce(F.avg(F.when(F.col("best"), F.col("y"))), F.lit(0.0)).alias("ret"))
+    daily = ic.join(ric, DATE).join(ret, DATE)
+    ratio = {name: F.avg(name) / (F.stddev_samp(name) + 1e-8) for name in ("ic", "ric")}
+    found = daily.agg(
+        F.avg("ic").alias("ic"), ratio["ic"].alias("icir"), F.avg("ric").alias("ric"), ratio["ric"].alias("ricir"), (F.avg("ret") * F.count("ret") / every).alias("ret"), sharpe(F.col("ret")).alias("ret_sharpe")
+    )
+    return found.withColumn("ret_mdd", max_drawdown(daily, "ret").scalar())
+
+
 def sharpe(value: Column, risk_free: float = 0.0) -> Column:
     """Yearly mean excess return over its deviation; 0 if that is tiny."""
     std = F.stddev_samp(value)
@@ -88,16 +157,14 @@ def max_drawdown(series: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
 def factor_summary(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
     """For each factor: range, ranges of 99 and 95 % of the values, missing rate and kurtosis (population, not excess)."""
     rows = frame.select(*factors).unpivot([], list(factors), "factor", "x")
-    points = F.percentile("x", F.array(*map(F.lit, (0.005, 0.995, 0.025, 0.975))))
-    wide = rows.groupBy("factor").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), points.alias("p"), F.avg(F.col("x").isNull().cast("int")).alias("missing_rate"), (F.kurtosis("x") + 3).alias("kurtosis"))
-    named = {"lo_99": 0, "hi_99": 1, "lo_95": 2, "hi_95": 3}
-    return wide.select("factor", "lo", "hi", *(F.col("p")[i].alias(c) for c, i in named.items()), "missing_rate", "kurtosis")
+    wide = rows.groupBy("factor").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg(F.col("x").isNull().cast("int")).alias("missing_rate"), (F.kurtosis("x") + 3).alias("kurtosis"))
+    named = {"lo_99": 0.005, "hi_99": 0.995, "lo_95": 0.025, "hi_95": 0.975}
+    points = percentiles(rows, "x", list(named.values()), ["factor"])
+    return wide.join(points, "factor", "left").select("factor", "lo", "hi", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(named)), "missing_rate", "kurtosis")
 
 
 def mutual_ic(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
-    """a, b and ic: the mean over dates of the correlation of each pair of factors, all in one pass."""
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    daily = frame.groupBy(DATE).agg(*(pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
-    means = daily.agg(*(F.avg(f"_{i}").alias(f"_{i}") for i in range(len(pairs))))
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("ic")) for i, (a, b) in enumerate(pairs)))
-    return means.select(F.inline(rows))
+    """a, b and ic: the mean over dates of the correlation of each pair of factors, from one pass over the rows."""
+    daily = daily_correlations(frame, F.unix_date(DATE), factors)
+    names = F.array(*map(F.lit, factors))
+    return daily.groupBy("a", "b").agg(F.avg("ic").alias("ic")).select(F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), "ic")

@@ -9,11 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.gram import arrays, correlations, pair_moments, sums_by
 from ..plans.ir import Call, Const, Feature, Node, key
-from ..plans.parser import FormulaError, check
+from ..plans.parser import FormulaError, check, parse
 from .registry import OPERATORS, SEARCH_OPERATORS, SEARCH_WINDOWS
 
 CONSTANTS = (-1.0, -0.5, 0.5, 1.0, 2.0, 5.0)
+#: Draws in a row without a new formula after which a search gives up.
+MOST_IDLE = 100_000
 
 
 def check_search(operators: Sequence[str]) -> list[str]:
@@ -53,15 +56,18 @@ def random_trees(features: Sequence[str], n: int, seed: int = 0, depth: int = 3,
             args[1] = Const(draw.choice(CONSTANTS))
         return Call(own.name, tuple(args), draw.choice(list(windows)) if own.windowed else None)
 
-    for _ in range(1000 * n):
-        if len(found) == n:
-            break
+    idle = 0
+    while len(found) < n:
+        idle += 1
+        if idle > MOST_IDLE:
+            raise FormulaError(f"only {len(found)} of {n} different formulas came up; allow more features, windows or depth")
         made = grow(depth)
         try:
             check(made)
         except FormulaError:
             continue
-        found.setdefault(key(made), made)
+        if found.setdefault(key(made), made) is made:
+            idle = 0
     return list(found.values())
 
 
@@ -97,14 +103,58 @@ def above(rows: DataFrame, bounds: dict[str, float]) -> DataFrame:
     return rows
 
 
+def by_place(rows: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1, place: str = "id") -> DataFrame:
+    """Rows whose place (from 0) a slice takes; from the front."""
+    at = F.col(place)
+    if (start or 0) < 0 or (stop or 0) < 0 or step < 1:
+        raise ValueError("places count from the front")
+    kept = rows.where((at >= (start or 0)) & (F.pmod(at - (start or 0), F.lit(step)) == 0))
+    return kept if stop is None else kept.where(at < stop)
+
+
+def among(rows: DataFrame, places: Sequence[int], place: str = "id") -> DataFrame:
+    """Rows at these places."""
+    return rows.where(F.col(place).isin(list(places)))
+
+
+def valid(rows: DataFrame) -> DataFrame:
+    """Rows whose expr is a formula that keeps the rules."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[[is_valid(x) for x in pdf["expr"]]]
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def is_valid(text: str | None) -> bool:
+    try:
+        parse(text or "")
+    except FormulaError:
+        return False
+    return True
+
+
+def with_scores(rows: DataFrame, metrics: DataFrame, by: str = "id", prefix: str = "") -> DataFrame:
+    """Candidates with the columns of their metrics, joined by their id; those without any keep nulls."""
+    named = metrics.select(by, *(F.col(c).alias(prefix + c) for c in metrics.columns if c != by))
+    return rows.join(named, by, "left")
+
+
+def scored(frame: DataFrame, rows: DataFrame, callback) -> DataFrame:
+    """Candidates with what a callback says of them: it takes the frame (date, code and a column c<id> for each) and returns rows by id."""
+    return with_scores(rows, callback(frame))
+
+
 def pairwise_correlation(series: DataFrame, names: Sequence[str]) -> np.ndarray:
-    """|correlation| of each pair of columns of a series, in one pass."""
+    """|correlation| of each pair of columns of a series, from one pass; 0 where a column doesn't vary."""
     k = len(names)
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    row = series.agg(*(F.abs(F.corr(names[i], names[j])).alias(f"c{i}_{j}") for i, j in pairs)).first() if pairs else {}
-    out = np.eye(k)
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"c{i}_{j}"] if row[f"c{i}_{j}"] is not None else 0.0
+    if not k:
+        return np.eye(0)
+    rows = series.select(F.lit(0).alias("day"), *(F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)))
+    found = arrays(sums_by(rows, pair_moments, 4 * k * k)).first()
+    out = abs(correlations(np.asarray(found["cells"], float), k, 1e-12)) if found else np.zeros((k, k))
+    np.fill_diagonal(out, 1.0)
     return out
 
 

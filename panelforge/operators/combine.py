@@ -14,51 +14,104 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.gram import sums_by
 from .registry import CODE, DATE, POS
 
+#: What may be done to the columns of a regression before it is solved.
+DEDUP = ("none", "cols", "vif")
+#: Defaults of the two modes.
+MODES = {
+    "local": {"solver": "ridge", "alpha": 1e-4, "dedup": "none", "window": 252, "interval": 5, "combine": "last", "ranks": True},
+    "cloud": {"solver": "ridge", "alpha": 1e-4, "dedup": "none", "window": 378, "interval": 5, "combine": "periodic", "ranks": True},
+}
+
+
+def settings(mode: str = "local", **given) -> dict:
+    """The settings of a mode, with those given in their place."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is not one of {', '.join(MODES)}")
+    return MODES[mode] | given
+
 
 def trailing(by: str, window: int | None, shift: int) -> WindowSpec:
-    """The window dates that end shift + 1 dates ago; all of them if window is None."""
-    first = Window.unboundedPreceding if window is None else -(window + shift)
+    """From `window` dates ago to shift + 1 dates ago: [present - window, present - shift); all up to there if window is None.
+
+    The rows must be one for each date of the calendar.
+    """
+    first = Window.unboundedPreceding if window is None else -window
+    if window is not None and window <= shift:
+        raise ValueError("the window ends before it begins: it must be longer than the shift")
     return Window.partitionBy(by).orderBy(POS).rowsBetween(first, -(shift + 1))
 
 
-def select_factors(daily: DataFrame, window: int | None, shift: int, most: int, least_mean: float, least_ir: float, order: str = "index") -> DataFrame:
-    """pos and factor of those chosen for each date, from daily rank correlations (pos, factor, index, ic).
+def select_factors(daily: DataFrame, window: int | None, shift: int, most: int, least_mean: float, least_ir: float, order: str = "index", epsilon: float = 1e-6) -> DataFrame:
+    """pos and factor of those chosen for each date, from daily rank correlations (pos, factor, index, ic) of every date.
 
     A factor is chosen if the size of its trailing mean and of its mean over deviation are beyond the bounds; the first
-    `most` of these by index (or the best by ratio), or the best by ratio alone if there is none.
+    `most` of these by index (or the best by ratio). If there is none, the best by ratio alone; where no ratio is known,
+    as at the start of the calendar, the first factor.
     """
     past = trailing("factor", window, shift)
-    stats = daily.select(POS, "factor", "index", F.abs(F.avg("ic").over(past)).alias("m"), F.abs(F.avg("ic").over(past) / F.nullif(F.stddev_samp("ic").over(past) + 1e-8, F.lit(0.0))).alias("ir")).where("ir is not null")
-    good = (F.col("m") > least_mean) & (F.col("ir") > least_ir)
+    stats = daily.select(POS, "factor", "index", F.abs(F.avg("ic").over(past)).alias("m"), F.abs(F.avg("ic").over(past) / (F.stddev_samp("ic").over(past) + epsilon)).alias("ir"))
+    good = F.coalesce((F.col("m") > least_mean) & (F.col("ir") > least_ir), F.lit(False))
     by = F.col("index").asc() if order == "index" else F.col("ir").desc()
-    place = F.row_number().over(Window.partitionBy(POS).orderBy(good.desc(), F.when(good, F.lit(0.0)).otherwise(-F.col("ir")), by, F.col("index")))
+    place = F.row_number().over(Window.partitionBy(POS).orderBy(good.desc(), F.when(good, F.lit(0.0)).otherwise(-F.col("ir")).asc_nulls_last(), by, F.col("index")))
     ranked = stats.select(POS, "factor", "index", good.alias("good"), place.alias("place"))
     return ranked.where((F.col("good") & (F.col("place") <= most)) | (~F.col("good") & (F.col("place") == 1))).select(POS, "factor", "index")
 
 
 def daily_products(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
-    """pos, i, j and value: sums over a date's rows of the products of factors (the last one the constant 1, then the target)."""
-    columns = [*factors, "_one", "_y"]
-    rows = frame.where(F.col(target).isNotNull() & (F.abs(target) < float("inf"))).select(POS, *(F.coalesce(f, F.lit(0.0)).alias(f) for f in factors), F.lit(1.0).alias("_one"), F.col(target).alias("_y"))
-    k = len(columns)
+    """pos, i, j and value: sums over a date's rows of the products of factors (the last one the constant 1, then the target).
 
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[columns].to_numpy(float)
-        i, j = np.triu_indices(k)
-        return pd.DataFrame({POS: pdf[POS].iloc[0], "i": i, "j": j, "value": (x.T @ x)[i, j]})
-
-    return rows.groupBy(POS).applyInPandas(products, f"{POS} int, i int, j int, value double")
-
-
-def coefficients(products: DataFrame, positions: DataFrame, chosen: DataFrame, factors: Sequence[str], window: int | None, shift: int, alpha: float) -> DataFrame:
-    """pos and betas (an array, the constant last) of each date's regression on its window."""
+    Rows without a finite target take no part, a missing factor counts as 0. Products are added up in each task, so what is
+    sent is a matrix for each date, however many rows it has.
+    """
+    k = len(factors) + 2
+    upper = np.triu_indices(k)
+
+    def products(x: np.ndarray) -> np.ndarray:
+        full = np.column_stack([np.nan_to_num(x[:, :-1], nan=0.0), np.ones(len(x)), x[:, -1]])
+        return (full.T @ full)[upper]
+
+    rows = frame.where(F.col(target).isNotNull() & (F.abs(target) < float("inf"))).select(F.col(POS).cast("int").alias("day"), *(F.col(f).cast("double").alias(f"c{i}") for i, f in enumerate(factors)), F.col(target).cast("double").alias("y"))
+    cells = sums_by(rows, products, len(upper[0]))
+    places = F.array(*(F.struct(F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j")) for i, j in zip(*upper, strict=True)))
+    return cells.withColumn("at", F.get(places, F.col("cell"))).select(F.col("day").alias(POS), "at.i", "at.j", "value")
+
+
+def solved(full: np.ndarray, picked: Sequence[int], alpha: float, dedup: str = "none") -> np.ndarray:
+    """Coefficients (the constant last, 0 for factors left out) from the sums of products; all 0 if there is no solution."""
+    k = len(full) - 2
+    own = list(picked)
+    gram = full[np.ix_(own, own)]
+    if dedup == "cols" and len(own) > 1:
+        own = [own[i] for i in independent(gram)] or own[:1]
+    elif dedup == "vif" and len(own) > 1 and full[k, k] > 1:
+        sums = full[own, k]
+        own = [own[i] for i in without_collinear(gram - np.outer(sums, sums) / full[k, k])]
+    use = [*own, k]
+    left, right, betas = full[np.ix_(use, use)], full[use, k + 1], np.zeros(k + 1)
+    try:
+        found = np.linalg.solve(left + alpha * np.eye(len(use)), right) if alpha > 0 else np.linalg.lstsq(left, right, rcond=None)[0]
+    except np.linalg.LinAlgError:
+        return betas
+    if np.isfinite(found).all():
+        betas[use] = found
+    return betas
+
+
+def coefficients(products: DataFrame, positions: DataFrame, chosen: DataFrame, factors: Sequence[str], window: int | None, shift: int, alpha: float, dedup: str = "none") -> DataFrame:
+    """pos and betas (an array, the constant last) of each date's regression on its window; 0 where it has no rows.
+
+    dedup: "none"; "cols" keeps as many of the first columns as are independent; "vif" takes out columns of large inflation.
+    """
+    if dedup not in DEDUP:
+        raise ValueError(f"dedup {dedup!r} is not one of {', '.join(DEDUP)}")
     k = len(factors)
     grid = positions.select(POS, F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in range(k + 2) for b in range(a, k + 2)))).alias("c")).select(POS, "c.i", "c.j")
     filled = grid.join(products, [POS, "i", "j"], "left").withColumn("cell", F.concat_ws(",", "i", "j"))
     past = trailing("cell", window, shift)
-    summed = filled.select(POS, "i", "j", F.sum("value").over(past).alias("value")).where("value is not null")
+    summed = filled.select(POS, "i", "j", F.coalesce(F.sum("value").over(past), F.lit(0.0)).alias("value"))
     matrices = summed.groupBy(POS).agg(F.collect_list(F.struct("i", "j", "value")).alias("cells"))
     picks = chosen.groupBy(POS).agg(F.sort_array(F.collect_list("index")).alias("picked"))
 
@@ -69,11 +122,7 @@ def coefficients(products: DataFrame, positions: DataFrame, chosen: DataFrame, f
                 full = np.zeros((k + 2, k + 2))
                 for c in cells:
                     full[c["i"], c["j"]] = full[c["j"], c["i"]] = c["value"]
-                use = [*picked, k]
-                left, right = full[np.ix_(use, use)], full[use, k + 1]
-                betas = np.zeros(k + 1)
-                betas[use] = np.linalg.solve(left + alpha * np.eye(len(use)), right) if alpha > 0 else np.linalg.lstsq(left, right, rcond=None)[0]
-                out.append((pos, betas.tolist()))
+                out.append((pos, solved(full, picked, alpha, dedup).tolist()))
             yield pd.DataFrame(out, columns=[POS, "betas"])
 
     return matrices.join(picks, POS).mapInPandas(solve, f"{POS} int, betas array<double>")
@@ -100,8 +149,8 @@ def inflation(gram: np.ndarray) -> np.ndarray:
 
 
 def without_collinear(gram: np.ndarray, most: float = 10.0) -> list[int]:
-    """Columns left after taking out that of the largest inflation until none is beyond the bound."""
-    left = list(range(len(gram)))
+    """Columns left after taking out that of the largest inflation until none is beyond the bound; flat columns go first."""
+    left = [i for i in range(len(gram)) if gram[i, i] > 0] or [0]
     while len(left) > 1:
         own = inflation(gram[np.ix_(left, left)])
         if own.max() <= most:

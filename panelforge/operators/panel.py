@@ -7,33 +7,21 @@ from pyspark.sql import functions as F
 
 from .registry import CODE, DATE, POS, day, ordered
 
-#: Dates that may be sent to all executors: some 2,700 years of days.
+#: Dates that a calendar may have: some 2,700 years of days.
 MOST_DATES = 1_000_000
 
 
-def calendar(rows: DataFrame) -> DataFrame:
-    """date and pos, from 1, of all dates of rows."""
-    dates = rows.select(DATE).where(F.col(DATE).isNotNull()).distinct()
-    return dates.select(DATE, F.row_number().over(Window.orderBy(DATE)).alias(POS))
-
-
-def broadcast_checked(days: DataFrame) -> DataFrame:
-    """Rows by date, worked out once and sent to all executors if they are as few as dates are; else as they were."""
-    rows = days.limit(MOST_DATES + 1).collect()
-    return F.broadcast(days.sparkSession.createDataFrame(rows, days.schema)) if len(rows) <= MOST_DATES else days
-
-
 def densify(rows: DataFrame, days: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
-    """A row for each date of the calendar and each code, null where rows has none.
+    """A row for each date of the calendar and each code, null where rows has none; pos is the date's place from 1.
 
-    Each code is repeated for all positions and takes the dates from the calendar, so nothing but the calendar is
-    broadcast, and that after a check of its size.
+    days and codes are taken from rows where they aren't given (dates or codes may repeat in them). Each code is repeated
+    for the dates of one array, a scalar subquery that fails beyond MOST_DATES entries; nothing runs before the result is
+    asked for.
     """
-    days = broadcast_checked(calendar(rows) if days is None else days)
-    count = days.count()
-    codes = rows.select(CODE).distinct() if codes is None else codes.select(CODE)
-    cells = codes.select(CODE, F.explode(F.sequence(F.lit(1), F.lit(max(count, 1)))).alias(POS))
-    cells = cells.join(days, POS)
+    dates = (rows if days is None else days).select(DATE).where(F.col(DATE).isNotNull()).agg(F.sort_array(F.collect_set(DATE)).alias("dates"))
+    bounded = F.when(F.size("dates") <= MOST_DATES, F.col("dates")).otherwise(F.raise_error(F.lit(f"more than {MOST_DATES} dates")))
+    codes = (rows if codes is None else codes).select(CODE).distinct()
+    cells = codes.select(CODE, F.posexplode(dates.select(bounded).scalar()).alias(POS, DATE)).select(DATE, (F.col(POS) + 1).alias(POS), CODE)
     return cells.join(rows, [DATE, CODE], "left")
 
 
@@ -47,14 +35,6 @@ def between(rows: DataFrame, first: str, last: str) -> DataFrame:
     return rows.where(F.col(DATE).between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
 
 
-def with_margins(days: DataFrame, first: str, last: str, back: int, ahead: int) -> DataFrame:
-    """The part of a calendar from back dates before first to ahead dates after last."""
-    inside = days.where(F.col(DATE).between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).agg(F.min(POS), F.max(POS)).first()
-    if inside[0] is None:
-        raise ValueError(f"no date between {first} and {last}")
-    return days.where(F.col(POS).between(inside[0] - back, inside[1] + ahead))
-
-
 # Fills
 
 
@@ -107,11 +87,20 @@ def static_universe(rows: DataFrame, codes: DataFrame) -> DataFrame:
 
 def dynamic_mask(panel: DataFrame, pools: DataFrame, columns: list[str]) -> DataFrame:
     """The panel with columns null where the code isn't in the pool of the latest rebalance date up to the row's date."""
-    active = pools.select("rebal_date").distinct()
-    # dates take their pool by an interval join on the calendar alone; rows join by equality
-    days = panel.select(DATE).distinct()
-    periods = active.select("rebal_date", F.lead("rebal_date").over(Window.orderBy("rebal_date")).alias("until"))
-    held = days.join(broadcast_checked(periods), (F.col(DATE) >= F.col("rebal_date")) & (F.col("until").isNull() | (F.col(DATE) < F.col("until"))), "left").select(DATE, "rebal_date")
+    # each date takes the latest rebalance date up to it, by a window over the calendar alone; rows join by equality
+    days = panel.select(DATE).distinct().select(DATE, F.lit(None).cast("date").alias("rebal_date"))
+    marks = pools.select(F.col("rebal_date").alias(DATE), "rebal_date").distinct()
+    held = days.unionByName(marks).select(DATE, F.max("rebal_date").over(Window.orderBy(DATE)).alias("rebal_date")).distinct()
     members = pools.select("rebal_date", CODE).distinct().withColumn("in_pool", F.lit(True))
-    marked = panel.join(broadcast_checked(held), DATE, "left").join(members, ["rebal_date", CODE], "left")
+    marked = panel.join(held, DATE, "left").join(members, ["rebal_date", CODE], "left")
     return marked.select(*(F.when(F.col("in_pool"), F.col(c)).alias(c) if c in columns else F.col(c) for c in panel.columns))
+
+
+def listed(first: str) -> Column:
+    """Whether a row has the first feature, which stands for being listed."""
+    return F.col(first).isNotNull()
+
+
+def liberal(features: list[str]) -> Column:
+    """Whether a row has any feature."""
+    return F.coalesce(*(F.when(F.col(f).isNotNull(), F.lit(True)) for f in features), F.lit(False))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import pearson
+from ..functions.gram import arrays, daily_correlations, sums_by
 from .registry import DATE
 
 
@@ -28,15 +28,17 @@ class Scores:
 
 
 def score(frame: DataFrame, names: Sequence[str], target: str) -> Scores:
-    """One aggregation by date and one over dates, for all columns and pairs."""
+    """One pass over the rows for all columns and pairs, and one aggregation over the dates' correlations."""
     k = len(names)
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    daily = frame.groupBy(DATE).agg(*(pearson(F.col(n), F.col(target)).alias(f"s{i}") for i, n in enumerate(names)), *(pearson(F.col(names[i]), F.col(names[j])).alias(f"m{i}_{j}") for i, j in pairs))
-    means = daily.agg(*(F.avg(f"s{i}").alias(f"s{i}") for i in range(k)), *((F.avg(f"s{i}") / F.nullif(F.stddev_samp(f"s{i}") + 1e-6, F.lit(0.0))).alias(f"r{i}") for i in range(k)), *(F.avg(f"m{i}_{j}").alias(f"m{i}_{j}") for i, j in pairs)).first()
-    mutual = np.eye(k)
-    for i, j in pairs:
-        mutual[i, j] = mutual[j, i] = means[f"m{i}_{j}"]
-    return Scores(list(names), np.array([means[f"s{i}"] or 0.0 for i in range(k)]), np.array([means[f"r{i}"] or 0.0 for i in range(k)]), mutual)
+    daily = daily_correlations(frame, F.unix_date(DATE), [*names, target])
+    rows = daily.groupBy("a", "b").agg(F.avg("ic").alias("mean"), (F.avg("ic") / (F.stddev_samp("ic") + 1e-6)).alias("ratio")).collect()  # a row for each pair
+    ic, icir, mutual = np.zeros(k), np.zeros(k), np.eye(k)
+    for r in rows:
+        if r["b"] == k:
+            ic[r["a"]], icir[r["a"]] = r["mean"] or 0.0, r["ratio"] or 0.0
+        else:
+            mutual[r["a"], r["b"]] = mutual[r["b"], r["a"]] = r["mean"] or 0.0
+    return Scores(list(names), ic, icir, mutual)
 
 
 def lasso_weights(mutual: np.ndarray, ic: np.ndarray, alpha: float = 5e-3, rounds: int = 2000) -> np.ndarray:
@@ -113,6 +115,79 @@ class Pool:
     def to_json(self) -> str:
         return json.dumps({"exprs": self.exprs, "weights": self.weights.tolist(), "ics_ret": self.ics})
 
+    def restore(self, frame: DataFrame, columns: dict[str, str], target: str, weights: Sequence[float] | None = None) -> None:
+        """Take over a saved pool: formulas by the column of frame that has their values, scored in one job.
+
+        Given weights are kept, else they are worked out."""
+        own = score(frame, list(columns), target)
+        self.exprs, self.ics, self.mutual = list(columns.values()), own.ic.tolist(), own.mutual
+        if weights is None:
+            self._weigh()
+        else:
+            self.weights = np.asarray(weights, float)
+
+
+@dataclass
+class SinglePool:
+    """Scores of single formulas, each worked out once; -1 for those too close to one that is excluded."""
+
+    excluded: Sequence[str] = ()
+    most_mutual: float = 0.9
+    cache: dict[str, float] = field(default_factory=dict)
+
+    def add_batch(self, frame: DataFrame, columns: dict[str, str], target: str) -> list[float]:
+        """The scores of formulas by the column of frame that has their values; new ones in one job with the excluded columns."""
+        new = {c: e for c, e in columns.items() if e not in self.cache}
+        if new:
+            own = score(frame, [*new, *self.excluded], target)
+            for i, e in enumerate(new.values()):
+                close = own.mutual[i, len(new) :].max(initial=-1.0) > self.most_mutual
+                self.cache[e] = -1.0 if close else float(own.ic[i])
+        return [self.cache[e] for e in columns.values()]
+
+    @property
+    def best(self) -> float:
+        return max(self.cache.values())
+
+
+@dataclass
+class LeastSquaresPool:
+    """Formulas whose regression on the target is fitted anew with each; a candidate's score is what it adds to the mean correlation.
+
+    Columns and target are normalised by date. A fit reads the rows once (sums of products of all columns), and its
+    correlation with the target once more."""
+
+    names: list[str] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    best: float = 0.0
+
+    def fit(self, frame: DataFrame, names: Sequence[str], target: str) -> tuple[np.ndarray, float]:
+        """Weights (the constant first) of the regression, and the mean over dates of its correlation with the target."""
+        k = len(names)
+        rows = frame.where(F.col(target).isNotNull() & (F.abs(target) < float("inf")))
+        rows = rows.select(F.lit(0).alias("day"), F.lit(1.0).alias("one"), *(F.coalesce(F.col(n), F.lit(0.0)).alias(f"c{i}") for i, n in enumerate(names)), F.col(target).cast("double").alias("y"))
+        found = arrays(sums_by(rows, lambda x: (x.T @ x).ravel(), (k + 2) ** 2)).first()
+        if found is None:
+            return np.zeros(k + 1), 0.0
+        full = np.asarray(found["cells"], float).reshape(k + 2, k + 2)
+        weights = np.linalg.lstsq(full[:-1, :-1], full[:-1, -1], rcond=None)[0]
+        fitted = F.lit(float(weights[0]))
+        for n, w in zip(names, weights[1:], strict=True):
+            fitted = fitted + F.coalesce(F.col(n), F.lit(0.0)) * float(w)
+        mean = daily_correlations(frame.withColumn("_fit", fitted), F.unix_date(DATE), ["_fit", target]).agg(F.avg("ic")).first()[0]
+        return weights, float(mean or 0.0)
+
+    def gain(self, frame: DataFrame, name: str, target: str) -> float:
+        """What a candidate adds to the best score; 0 if nothing."""
+        return max(0.0, self.fit(frame, [*self.names, name], target)[1] - self.best)
+
+    def add(self, frame: DataFrame, name: str, target: str) -> float:
+        """Take a candidate in; the score afterwards."""
+        self.names = [*self.names, name]
+        self.weights, now = self.fit(frame, self.names, target)
+        self.best = max(self.best, now)
+        return now
+
 
 def neighbours(embeddings: DataFrame, query: Sequence[float], k: int = 3) -> DataFrame:
     """The k rows with the least Euclidean distance from a vector."""

@@ -69,6 +69,11 @@ def rolled(d: int, value: Column, *xs: Column) -> Column:
     return F.when(whole(d, *xs), clean(value))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def values(x: Column, d: int) -> Column:
     """The last d values as an array, oldest first."""
     return F.collect_list(x).over(last(d))
@@ -227,7 +232,8 @@ def ts_var(x, d):
 
 @operator("TsIr", windowed=True, rows="time")
 def ts_ir(x, d):
-    return F.when(whole(d, x), divide(F.avg(x).over(last(d)), F.stddev_samp(x).over(last(d))))
+    both = F.struct(F.avg(x).over(last(d)).alias("m"), F.stddev_samp(x).over(last(d)).alias("s"))
+    return F.when(whole(d, x), once(both, lambda b: divide(b["m"], b["s"])))
 
 
 @operator("TsMax", windowed=True, rows="time")
@@ -316,10 +322,14 @@ def ts_cov(x, y, d):
 @operator("TsCorr", 2, windowed=True, rows="time")
 def ts_corr(x, y, d):
     """Pearson; the sum of products itself where either side hardly varies."""
-    flat = (F.var_samp(x).over(last(d)) * (d - 1) < 1e-6) | (F.var_samp(y).over(last(d)) * (d - 1) < 1e-6)
-    scale = F.stddev_samp(x).over(last(d)) * F.stddev_samp(y).over(last(d))
-    # corr() itself fails in ANSI mode where a side doesn't vary
-    return rolled(d, F.when(flat, F.covar_samp(x, y).over(last(d)) * (d - 1)).otherwise(divide(F.covar_samp(x, y).over(last(d)), scale)), x, y)
+    moments = F.struct(F.var_samp(x).over(last(d)).alias("x"), F.var_samp(y).over(last(d)).alias("y"), F.covar_samp(x, y).over(last(d)).alias("xy"))
+
+    def value(m: Column) -> Column:
+        flat = (m["x"] * (d - 1) < 1e-6) | (m["y"] * (d - 1) < 1e-6)
+        # corr() itself fails in ANSI mode where a side doesn't vary
+        return F.when(flat, m["xy"] * (d - 1)).otherwise(divide(m["xy"], F.sqrt(m["x"]) * F.sqrt(m["y"])))
+
+    return rolled(d, once(moments, value), x, y)
 
 
 #: Operators that a search draws from, with windows and constants to try.

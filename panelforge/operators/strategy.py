@@ -71,3 +71,14 @@ def simulate(signals: DataFrame, rule: TopK, code_type: str = "string") -> DataF
     """
     rows = contenders(signals.select("portfolio", "date", "code", "signal", "buyable", "sellable"), rule)
     return rows.groupBy("portfolio").applyInPandas(lambda pdf: rule.run(pdf), f"portfolio string, date date, code {code_type}, days_held int, bought boolean")
+
+
+def orders(holdings: DataFrame) -> DataFrame:
+    """portfolio, date, code and direction (buy or sell) from holdings by date: what came in, and what is gone on the portfolio's next date."""
+    own = Window.partitionBy("portfolio", "code").orderBy("date")
+    days = holdings.select("portfolio", "date").distinct()
+    after = days.select("portfolio", "date", F.lead("date").over(Window.partitionBy("portfolio").orderBy("date")).alias("after"))
+    rows = holdings.join(after, ["portfolio", "date"]).withColumn("again", F.lead("date").over(own))
+    sold = rows.where(F.col("after").isNotNull() & ~F.col("again").eqNullSafe(F.col("after")))
+    bought = holdings.where("bought").select("portfolio", "date", "code", F.lit("buy").alias("direction"))
+    return bought.unionByName(sold.select("portfolio", F.col("after").alias("date"), "code", F.lit("sell").alias("direction")))

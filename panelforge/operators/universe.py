@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import with_rank
 from .registry import CODE, DATE
 
 
@@ -26,12 +27,11 @@ def quality(members: DataFrame, market: DataFrame, as_of: Column, days: int = 12
     return alive.join(traded, CODE)
 
 
-def size_bucket(x: Column, by: list[str] = ()) -> Column:
-    """small, mid or large, by the percentile rank: up to 35 %, up to 80 %, above."""
-    keys = [F.col(c) for c in by]
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    rank = (F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (ties - 1) / 2) / F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return F.when(rank <= 0.35, "small").when(rank <= 0.8, "mid").otherwise("large")
+def with_size_bucket(members: DataFrame, by: list[str] = (), size: str = "circ_mv") -> DataFrame:
+    """members with bucket: small, mid or large, by the percentile rank of size: up to 35 %, up to 80 %, above."""
+    ranked = with_rank(members, size, by, "_rank", "_ties", "_total")
+    share = (F.col("_rank") + (F.col("_ties") - 1) / 2) / F.col("_total")
+    return ranked.withColumn("bucket", F.when(share <= 0.35, "small").when(share <= 0.8, "mid").otherwise("large")).drop("_rank", "_ties", "_total")
 
 
 def quotas(members: DataFrame, target: int, base: int = 2, cap: int = 12, by: list[str] = ()) -> DataFrame:
@@ -44,13 +44,13 @@ def quotas(members: DataFrame, target: int, base: int = 2, cap: int = 12, by: li
 
 
 def stratified(members: DataFrame, target: int, seed: int = 42, base: int = 2, cap: int = 12, by: list[str] = ()) -> DataFrame:
-    """target members: by industry and size bucket, from the most traded twice the number, by a hash with a seed.
+    """target members: by industry and size bucket, from the most traded twice the number, by the MD5 of seed:code.
 
     Then, as rounding and caps leave gaps, the most traded of the others, or the last chosen left out.
     """
     by = list(by)
-    drawn = F.xxhash64(F.lit(seed), CODE)
-    cells = members.withColumn("bucket", size_bucket(F.col("circ_mv"), by)).join(quotas(members, target, base, cap, by), [*by, "industry"])
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(CODE).cast("string")))
+    cells = with_size_bucket(members, by).join(quotas(members, target, base, cap, by), [*by, "industry"])
     in_bucket = F.count(F.lit(1)).over(Window.partitionBy(*by, "industry", "bucket"))
     cells = cells.withColumn("k", F.greatest(F.lit(1), F.round(F.col("quota") * in_bucket / F.col("members"))).cast("long"))
     key = [*by, "industry", "bucket"]
@@ -58,7 +58,11 @@ def stratified(members: DataFrame, target: int, seed: int = 42, base: int = 2, c
     candidate = F.col("traded") <= 2 * F.col("k")
     cells = cells.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(candidate.desc(), drawn, CODE)))
     chosen = candidate & (F.col("place") <= F.col("k"))
-    order = F.row_number().over(Window.partitionBy(*by).orderBy(chosen.desc(), F.desc("avg_amount"), CODE))
+    cells = cells.withColumn("chosen", chosen)
+    best = [F.desc("chosen"), F.desc("avg_amount"), F.col(CODE)]
+    if not by:
+        cells = cells.orderBy(*best).limit(target)  # so that the numbering has target rows
+    order = F.row_number().over(Window.partitionBy(*by).orderBy(*best))
     return cells.withColumn("order", order).where(F.col("order") <= target).select(*by, CODE, "industry", "bucket", "avg_amount", "order")
 
 

@@ -26,17 +26,32 @@ def reach(x: Node) -> tuple[int, int]:
     return back + max(0, own), ahead + max(0, -own)
 
 
+class OutOfRange(ValueError):
+    """A formula looks further than the dates that were loaded."""
+
+
+def check_reach(trees: dict[str, Node], margins: tuple[int, int]) -> None:
+    """OutOfRange if a formula needs more rows of the past or the future than margins has."""
+    for name, tree in trees.items():
+        back, ahead = reach(tree)
+        if back > margins[0] or ahead > margins[1]:
+            raise OutOfRange(f"{name} = {tree} needs {back} dates before and {ahead} after; loaded are {margins[0]} and {margins[1]}")
+
+
 def features_of(trees: list[Node]) -> list[str]:
     """Names of all features, in order."""
     return sorted({p.name for x in trees for p in x.parts() if isinstance(p, Feature)})
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, str | Node], keep: list[str] | None = None) -> DataFrame:
+def evaluate(panel: DataFrame, formulas: dict[str, str | Node], keep: list[str] | None = None, margins: tuple[int, int] | None = None) -> DataFrame:
     """date, pos, code, the columns under keep and a column for each formula.
 
-    panel has a row for each date and code (see densify()), pos being the date's place in the calendar.
+    panel has a row for each date and code (see densify()), pos being the date's place in the calendar. margins are the
+    dates before and after those of interest that it has; OutOfRange if a formula looks further.
     """
     trees = {name: parse(x) if isinstance(x, str) else x for name, x in formulas.items()}
+    if margins is not None:
+        check_reach(trees, margins)
     keep = keep or []
     nodes: dict[str, Node] = {}
     for tree in trees.values():

@@ -1,6 +1,7 @@
 """Registered queries of the factor engine over the driver's tables, with the same in SQL.
 
-Results are rounded by floor(x * 1e5 + 0.5) / 1e5 on both sides, as sums may be added up in another order.
+Results are rounded by floor(x * 1e5 + HALF) / 1e5 on both sides, as sums may be added up in another order. HALF isn't one
+half exactly: quotients of round numbers often lie on that very edge, where the order of sums would decide.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+HALF = 0.50037
+
+
 def r5(x: Column) -> Column:
-    return F.floor(x * 1e5 + 0.5) / 1e5 + 0.0
+    return F.floor(x * 1e5 + HALF) / 1e5 + 0.0
 
 
 def s5(x: str) -> str:
-    return f"floor(({x}) * 1e5 + 0.5) / 1e5 + 0.0"
+    return f"floor(({x}) * 1e5 + {HALF}) / 1e5 + 0.0"
 
 
 def query(sql: str | None = None):
@@ -47,12 +51,15 @@ def query(sql: str | None = None):
 # Panels
 
 
+def week() -> Column:
+    return F.to_date(F.date_trunc("week", "l_shipdate"))
+
+
 def week_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales by week and supplier: close, vol, disc, tax and n."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    week = F.to_date(F.date_trunc("week", "l_shipdate"))
     # sums of whole cents, which come out the same in any order
-    made = items.groupBy(week.alias(DATE), F.col("l_suppkey").alias(CODE)).agg(
+    made = items.groupBy(week().alias(DATE), F.col("l_suppkey").alias(CODE)).agg(
         F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
         F.sum("l_quantity").alias("vol"),
         F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc"),
@@ -63,7 +70,9 @@ def week_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.densify(week_rows(spark, sf_dir))
+    # calendar and codes from two columns of the table itself, rather than from the sums
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return panel.densify(week_rows(spark, sf_dir), items.select(week().alias(DATE)), items.select(F.col("l_suppkey").alias(CODE)))
 
 
 ROWS = f"""
@@ -286,7 +295,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mcap_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size buckets by percentile rank."""
-    return members(spark, sf_dir).select(CODE, universe.size_bucket(F.col("circ_mv")).alias("bucket"))
+    return universe.with_size_bucket(members(spark, sf_dir)).select(CODE, "bucket")
 
 
 @query(
@@ -299,9 +308,20 @@ def industry_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.quotas(members(spark, sf_dir), 60).select("industry", "members", "quota")
 
 
-@query()
+@query(
+    """WITH m AS (SELECT s_suppkey AS code, s_nationkey AS industry, s_acctbal AS x, (SELECT avg(l_quantity) FROM lineitem WHERE l_suppkey = s_suppkey) AS amount FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)),
+    r AS (SELECT *, (rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0) / count(*) OVER () AS r FROM m),
+    b AS (SELECT code, industry, amount, CASE WHEN r <= 0.35 THEN 'small' WHEN r <= 0.8 THEN 'mid' ELSE 'large' END AS bucket FROM r),
+    c AS (SELECT industry, count(*) AS members FROM m GROUP BY 1),
+    q AS (SELECT industry, members, least(12, members, floor(2 + greatest(60 - 2 * count(*) OVER (), 0) * sqrt(members) / sum(sqrt(members)) OVER () + 0.5)) AS quota FROM c),
+    k AS (SELECT b.*, greatest(1, floor(quota * count(*) OVER (PARTITION BY b.industry, bucket) / members + 0.5)) AS k FROM b JOIN q ON q.industry = b.industry),
+    t AS (SELECT *, row_number() OVER (PARTITION BY industry, bucket ORDER BY amount DESC, code) <= 2 * k AS candidate FROM k),
+    d AS (SELECT *, candidate AND row_number() OVER (PARTITION BY industry, bucket ORDER BY candidate DESC, md5('42:' || code), code) <= k AS chosen FROM t),
+    o AS (SELECT *, row_number() OVER (ORDER BY chosen DESC, amount DESC, code) AS place FROM d)
+    SELECT code, industry, bucket, CAST(place AS INTEGER) AS "order" FROM o WHERE place <= 60"""
+)
 def stratified_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A universe of 60 by industry and size; the draw is by Spark's hash, so tests hold its size and quotas."""
+    """A universe of 60 by industry and size, drawn by a hash."""
     return universe.stratified(members(spark, sf_dir), 60).select(CODE, "industry", "bucket", "order")
 
 
@@ -338,9 +358,12 @@ def ic_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.select(DATE, *(r5(F.col(f)).alias(f) for f in FACTORS))
 
 
+#: Every date with every factor: a date without pairs counts with 0.
+EVERY = f"every_ AS (SELECT DISTINCT s.date, f.factor FROM s CROSS JOIN (VALUES {', '.join(f"('{f}')" for f in FACTORS)}) AS f(factor))"
 RANK_IC = f"""{LONG}, k AS (SELECT date, factor, rank() OVER (PARTITION BY date, factor ORDER BY x) + (count(*) OVER (PARTITION BY date, factor, x) - 1) / 2.0 AS rx,
   rank() OVER (PARTITION BY date, factor ORDER BY y) + (count(*) OVER (PARTITION BY date, factor, y) - 1) / 2.0 AS ry FROM l),
-ric AS (SELECT date, factor, {pearson_sql("rx", "ry")} AS ic FROM k GROUP BY date, factor)"""
+ric0 AS (SELECT date, factor, {pearson_sql("rx", "ry")} AS ic FROM k GROUP BY date, factor), {EVERY},
+ric AS (SELECT e.date, e.factor, coalesce(ic, 0) AS ic FROM every_ AS e LEFT JOIN ric0 ON ric0.date = e.date AND ric0.factor = e.factor)"""
 
 
 @query(f"{RANK_IC} SELECT date, factor, {s5('ic')} AS ic FROM ric")
@@ -363,7 +386,8 @@ def mutual_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOP = f"""{LONG}, o AS (SELECT *, row_number() OVER (PARTITION BY date, factor ORDER BY x DESC, code) AS k, count(*) OVER (PARTITION BY date, factor) AS n FROM l),
-top AS (SELECT date, factor, avg(y) AS ret FROM o WHERE k <= greatest(1, floor(n * 0.2)) GROUP BY date, factor)"""
+top0 AS (SELECT date, factor, avg(y) AS ret FROM o WHERE k <= greatest(1, floor(n * 0.2)) GROUP BY date, factor), {EVERY},
+top AS (SELECT e.date, e.factor, coalesce(ret, 0) AS ret FROM every_ AS e LEFT JOIN top0 ON top0.date = e.date AND top0.factor = e.factor)"""
 
 
 @query(f"{TOP} SELECT date, factor, {s5('ret')} AS ret FROM top")
@@ -416,8 +440,9 @@ def ensemble_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Walk-forward combination
 
-WINDOW, SHIFT = 26, 3
+WINDOW, SHIFT, ALPHA = 26, 3, 1.0
 NORMAL = f"{SCORED}, z AS (SELECT date, pos, code, y, {', '.join(f'{s5(_z(f))} AS {f}' for f in FACTORS)} FROM s)"
+PAST = f"ROWS BETWEEN {WINDOW} PRECEDING AND {SHIFT + 1} PRECEDING"
 
 
 def normal_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,40 +459,71 @@ def adaptive_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.col(POS).cast("long").alias(POS), *(r5(F.col(c)).alias(c) if c != "n" else F.col(c) for c in named))
 
 
-def daily_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pos, factor, index and rounded rank correlation."""
-    frame = normal_factors(spark, sf_dir)
-    daily = metrics.daily_rank_ic(frame, list(FACTORS), "y").join(frame.select(DATE, POS).distinct(), DATE)
+def daily_rank(frame: DataFrame) -> DataFrame:
+    """pos, factor, index and rounded rank correlation of every week."""
+    days = frame.select(DATE, POS).distinct()
+    daily = metrics.daily_safe_ic(frame, list(FACTORS), "y").join(days, DATE)
     return daily.select(POS, "factor", (F.substring("factor", 2, 1).cast("int") - 1).alias("index"), r5(F.col("ic")).alias("ic"))
 
 
-def choose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine.select_factors(daily_rank(spark, sf_dir), WINDOW, SHIFT, 2, 0.01, 0.05)
+def choose(frame: DataFrame) -> DataFrame:
+    return combine.select_factors(daily_rank(frame), WINDOW, SHIFT, 2, 0.01, 0.05)
 
 
-@query(
-    f"""{NORMAL}, l AS ({" UNION ALL ".join(f"SELECT pos, code, '{f}' AS factor, {i} AS index, {f} AS x, y FROM z WHERE y IS NOT NULL" for i, f in enumerate(FACTORS))}),
-    k AS (SELECT pos, factor, index, rank() OVER (PARTITION BY pos, factor ORDER BY x) + (count(*) OVER (PARTITION BY pos, factor, x) - 1) / 2.0 AS rx,
-      rank() OVER (PARTITION BY pos, factor ORDER BY y) + (count(*) OVER (PARTITION BY pos, factor, y) - 1) / 2.0 AS ry FROM l),
-    d0 AS (SELECT pos, factor, index, {pearson_sql("rx", "ry")} AS ic FROM k GROUP BY ALL), d AS (SELECT pos, factor, index, {s5("ic")} AS ic FROM d0),
-    t AS (SELECT pos, factor, index, abs(avg(ic) OVER past) AS m, abs(avg(ic) OVER past / (stddev_samp(ic) OVER past + 1e-8)) AS ir FROM d
-      WINDOW past AS (PARTITION BY factor ORDER BY pos ROWS BETWEEN {WINDOW + SHIFT} PRECEDING AND {SHIFT + 1} PRECEDING)),
-    g AS (SELECT *, m > 0.01 AND ir > 0.05 AS good FROM t WHERE ir IS NOT NULL),
-    o AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY good DESC, CASE WHEN good THEN 0 ELSE -ir END, index) AS place FROM g)
-    SELECT CAST(pos AS BIGINT) AS pos, factor FROM o WHERE (good AND place <= 2) OR (NOT good AND place = 1)"""
-)
+SAFE_IC = f"""{NORMAL}, l AS ({" UNION ALL ".join(f"SELECT pos, code, '{f}' AS factor, {i} AS index, {f} AS x, y FROM z WHERE y IS NOT NULL" for i, f in enumerate(FACTORS))}),
+    k AS (SELECT pos, factor, index, row_number() OVER (PARTITION BY pos, factor ORDER BY x, code) AS rx, row_number() OVER (PARTITION BY pos, factor ORDER BY y, code) AS ry FROM l),
+    c AS (SELECT pos, factor, index, CASE WHEN count(*) < 2 THEN 0 ELSE covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS ic FROM k GROUP BY ALL),
+    d AS (SELECT e.pos, f.factor, f.index, {s5("coalesce(ic, 0)")} AS ic FROM cal AS e CROSS JOIN (VALUES {", ".join(f"('{f}', {i})" for i, f in enumerate(FACTORS))}) AS f(factor, index) LEFT JOIN c ON c.pos = e.pos AND c.factor = f.factor)"""
+CHOSEN = f"""{SAFE_IC}, t AS (SELECT pos, factor, index, abs(avg(ic) OVER past) AS m, abs(avg(ic) OVER past / (stddev_samp(ic) OVER past + 1e-6)) AS ir FROM d
+      WINDOW past AS (PARTITION BY factor ORDER BY pos {PAST})),
+    g AS (SELECT *, coalesce(m > 0.01 AND ir > 0.05, false) AS good FROM t),
+    o AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY good DESC, CASE WHEN good THEN 0 ELSE -ir END NULLS LAST, index) AS place FROM g),
+    chosen AS (SELECT pos, factor, index FROM o WHERE (good AND place <= 2) OR (NOT good AND place = 1))"""
+
+
+@query(f"{SAFE_IC} SELECT CAST(pos AS BIGINT) AS pos, factor, ic FROM d")
+def safe_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlation of places, ties by code, of every week."""
+    return daily_rank(normal_factors(spark, sf_dir)).select(F.col(POS).cast("long").alias(POS), "factor", "ic")
+
+
+@query(f"{CHOSEN} SELECT CAST(pos AS BIGINT) AS pos, factor FROM chosen")
 def adaptive_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The factors chosen for each week by their past rank correlations."""
-    return choose(spark, sf_dir).select(F.col(POS).cast("long").alias(POS), "factor")
+    return choose(normal_factors(spark, sf_dir).persist()).select(F.col(POS).cast("long").alias(POS), "factor")
 
 
-@query()
-def adaptive_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: each week's prediction by ridge regression on its past, of the factors chosen for it."""
-    frame = normal_factors(spark, sf_dir)
+def _determinant(rows: list[list[str]]) -> str:
+    if len(rows) == 1:
+        return rows[0][0]
+    terms = [f"{'-' if j % 2 else '+'} {x} * ({_determinant([[*r[:j], *r[j + 1 :]] for r in rows[1:]])})" for j, x in enumerate(rows[0])]
+    return " ".join(terms)
+
+
+#: The regression of a week in closed form: rows of factors that aren't chosen hold the penalty alone.
+_SIDES = [*FACTORS, "one"]
+_PRODUCTS = {(i, j): f"{_SIDES[i]} * {_SIDES[j]}" for i in range(4) for j in range(i, 4)} | {(i, 4): f"{_SIDES[i]} * y" for i in range(4)}
+_A = [[f"a{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+_BETAS = ", ".join(f"({_determinant([[('a' + str(i) + '4') if c == j else _A[i][c] for c in range(4)] for i in range(4)])}) / ({_determinant(_A)}) AS b{j}" for j in range(4))
+PREDICTED = f"""{CHOSEN}, used AS (SELECT pos, {", ".join(f"max(CASE WHEN index = {i} THEN 1.0 ELSE 0.0 END) AS u{i}" for i in range(3))}, 1.0 AS u3 FROM chosen GROUP BY pos),
+    prod AS (SELECT cal.pos, {", ".join(f"coalesce(sum({p}), 0) AS p{i}{j}" for (i, j), p in _PRODUCTS.items())} FROM cal LEFT JOIN (SELECT *, 1.0 AS one FROM z WHERE y IS NOT NULL) AS v ON v.pos = cal.pos GROUP BY cal.pos),
+    win AS (SELECT pos, {", ".join(f"coalesce(sum(p{i}{j}) OVER past, 0) AS s{i}{j}" for i, j in _PRODUCTS)} FROM prod WINDOW past AS (ORDER BY pos {PAST})),
+    mat AS (SELECT win.pos, {", ".join(f"s{i}{j} * u{i}" + (f" * u{j}" if j < 4 else "") + (f" + {ALPHA}" if i == j else "") + f" AS a{i}{j}" for i, j in _PRODUCTS)} FROM win JOIN used ON used.pos = win.pos),
+    beta AS (SELECT pos, {_BETAS} FROM mat),
+    pred AS (SELECT z.date, z.code, z.pos, z.y, f1 * b0 + f2 * b1 + f3 * b2 + b3 AS p FROM z JOIN beta ON beta.pos = z.pos)"""
+
+
+def predictions(frame: DataFrame) -> DataFrame:
     cells = combine.daily_products(frame, list(FACTORS), "y")
-    betas = combine.coefficients(cells, frame.select(POS).distinct(), choose(spark, sf_dir), list(FACTORS), WINDOW, SHIFT, 1.0)
-    return combine.predict(frame, betas, list(FACTORS)).select(DATE, CODE, r5(F.col("prediction")).alias("prediction"))
+    betas = combine.coefficients(cells, frame.select(POS).distinct(), choose(frame), list(FACTORS), WINDOW, SHIFT, ALPHA)
+    return combine.predict(frame, betas, list(FACTORS))
+
+
+@query(f"{PREDICTED} SELECT date, code, {s5('p')} AS prediction FROM pred")
+def adaptive_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: each week's prediction by ridge regression on its past, of the factors chosen for it, up to the last week."""
+    frame = normal_factors(spark, sf_dir).persist()  # three parts of the plan read it
+    return predictions(frame).select(DATE, CODE, r5(F.col("prediction")).alias("prediction"))
 
 
 # Candidates: set operations and filters, with part types as formulas
@@ -508,7 +564,7 @@ def first_per_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT date_trunc('day', ts) AS start, user_id AS code, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
-    floor(sum(value) * 1e5 + 0.5) / 1e5 AS volume, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2"""
+    floor(sum(value) * 1e5 + 0.50037) / 1e5 AS volume, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2"""
 )
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of each user's events; the same plan runs on a stream."""
@@ -516,11 +572,20 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("volume", r5(F.col("volume")))
 
 
-@query()
+@query(
+    f"""WITH b AS (SELECT date_trunc('hour', ts) AS ts, user_id AS code, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, sum(value) AS volume FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT *, CAST(ts AS DATE) AS date, close / nullif(open, 0) - 1 AS ret FROM b),
+    d AS (SELECT date, code, arg_min_null(ret, ts) AS f, arg_max_null(ret, ts) AS l, arg_max(close, ts) AS c, arg_min(open, ts) AS o, sum(abs(ret)) AS a, CASE WHEN count(ret) > 1 THEN stddev_samp(ret) END AS v, sum(CASE WHEN hour(ts) >= 13 THEN volume ELSE 0 END) AS pm, sum(volume) AS volume, sum(close * volume) AS cv,
+      arg_min(ts, (-high, ts)) AS hi, arg_min(ts, (low, ts)) AS lo FROM r GROUP BY 1, 2)
+    SELECT date, code, {s5("f")} AS hour1_ret, {s5("l")} AS lasthour_ret, {s5("l - f")} AS midday_reversal, {s5("(c - o) / nullif(a, 0)")} AS intraday_trend_eff, {s5("v")} AS hourly_volatility,
+      {s5("pm / nullif(volume, 0)")} AS volume_concentration_pm, {s5("(c - cv / nullif(volume, 0)) / nullif(c, 0)")} AS vwap_close_bias_1h, CAST(epoch(hi) - epoch(lo) AS BIGINT) AS high_low_time_skew FROM d"""
+)
 def intraday_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of a day from its hourly bars."""
+    """Features of a day from its hourly bars; quotients by 0 as null."""
     hourly = bars(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour")
-    return intraday(hourly.withColumnRenamed("start", "ts").withColumn(DATE, F.to_date("ts")))
+    made = intraday(hourly.withColumnRenamed("start", "ts").withColumn(DATE, F.to_date("ts")))
+    finite = lambda x: F.when(F.abs(x) < float("inf"), r5(x))
+    return made.select(DATE, CODE, *(finite(F.col(c)).alias(c) for c in made.columns[2:-1]), "high_low_time_skew")
 
 
 @query()
@@ -530,3 +595,6 @@ def topk_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     homes = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias(CODE), F.col("n_regionkey").cast("string").alias("portfolio"))
     signals = evaluate(week_panel(spark, sf_dir), {"signal": "TsMean($vol,4)"}).join(homes, CODE)
     return simulate(signals.select("portfolio", DATE, CODE, "signal", F.lit(True).alias("buyable"), F.lit(True).alias("sellable")), TopK(10, 2, 3), "long")
+
+
+from . import more_queries  # noqa: E402, F401  registers the rest

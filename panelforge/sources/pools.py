@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import csv
+import io
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,26 +13,24 @@ from pyspark.sql import functions as F
 from ..operators.panel import date_of
 from ..plans.ir import Node
 from ..plans.parser import FormulaError, parse
+from ..store import read_text
 
 
 def read_formulas(path: str) -> tuple[list[str], list[float]]:
     """Formulas and weights of a JSON or CSV pool; rows of ensembles are left out, and an open window is 10."""
     if path.endswith(".json"):
-        with open(path) as f:
-            own = json.load(f)
+        own = json.loads(read_text(path))
         exprs = own["exprs"] if "exprs" in own else list(own.values())
         weights = own.get("weights") or [1.0] * len(exprs)
     else:
-        with open(path, newline="") as f:
-            rows = [r for r in csv.DictReader(f) if "Ensemble" not in r["exprs"]]
+        rows = [r for r in csv.DictReader(io.StringIO(read_text(path))) if "Ensemble" not in r["exprs"]]
         exprs, weights = [r["exprs"] for r in rows], [float(r.get("weight") or 1.0) for r in rows]
     return [e.replace("%d", "10") for e in exprs], [float(w) for w in weights]
 
 
 def read_initial(path: str) -> list[tuple[str, str, str]]:
     """Formula, topic and description of a list written in Python's syntax."""
-    with open(path) as f:
-        return [tuple(x) for x in ast.literal_eval(f.read())]
+    return [tuple(x) for x in ast.literal_eval(read_text(path))]
 
 
 def parse_all(texts: list[str], features: set[str] | None = None) -> tuple[dict[str, Node], dict[str, str]]:
@@ -47,8 +46,7 @@ def parse_all(texts: list[str], features: set[str] | None = None) -> tuple[dict[
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
     """A pool file as rows: code alone for a fixed one, rebal_date and code for one that changes."""
-    with open(path) as f:
-        own = json.load(f)
+    own = json.loads(read_text(path))
     if isinstance(own, list):
         return spark.createDataFrame([(c,) for c in own], "code string")
     pools = own.get("pools", own)

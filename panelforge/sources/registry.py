@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import read_text
+
 REQUIRED = ("name", "frequency", "feature_path", "date_column", "code_column")
 FREQUENCIES = ("daily", "30min", "5min")
 
@@ -63,8 +65,7 @@ def merge(given: dict, defaults: dict, path: str | None = None) -> dict:
     """Settings: those given that differ from their defaults, then those of the file, then defaults."""
     file: dict = {}
     if path:
-        with open(path) as f:
-            file = flatten(json.load(f))
+        file = flatten(json.loads(read_text(path)))
     return defaults | file | {k: v for k, v in given.items() if k not in defaults or v != defaults[k]}
 
 
@@ -72,3 +73,12 @@ def numbers(text: str | Sequence, kind: type = float) -> list:
     """A list from text with commas."""
     parts = text.split(",") if isinstance(text, str) else text
     return [kind(p.strip() if isinstance(p, str) else p) for p in parts if str(p).strip()]
+
+
+#: First dates of the domains, and the default ranges.
+DOMAIN_START = {"A": "20100101", "B": "20100101", "C": "20180101", "E": "20100101"}
+
+
+def date_range(domain: str, train_end: int = 2021, test_end: int = 2025) -> tuple[str, str, str, str]:
+    """First and last date of learning, and of testing: whole years up to train_end, then up to June of test_end."""
+    return DOMAIN_START.get(domain, "20100101"), f"{train_end}1231", f"{train_end + 1}0101", f"{test_end}0630"

@@ -10,12 +10,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import metrics
+from panelforge.functions import gram, metrics
 from panelforge.functions.catalogue import clipped, price_features
-from panelforge.operators import combine, panel, universe
-from panelforge.operators.pool import Pool, distance_reward, lasso_weights, neighbours, score
+from panelforge.functions.ranking import percentiles, with_rank
+from panelforge.operators import candidates, combine, panel, universe
+from panelforge.operators.pool import LeastSquaresPool, Pool, distance_reward, lasso_weights, neighbours, score
 from panelforge.operators.strategy import TopK, contenders, simulate
-from panelforge.plans.compiler import evaluate
+from panelforge.plans.compiler import OutOfRange, evaluate
+from panelforge.plans.parser import FormulaError
 from panelforge.sources import features, pools, registry, sinks
 from panelforge.streaming.bars import bars, grow
 
@@ -83,13 +85,13 @@ def test_walk_forward_equals_direct_regression(spark, frame):
     cells = combine.daily_products(frame, ["a", "b"], "y")
     betas = {r["pos"]: r["betas"] for r in combine.coefficients(cells, frame.select("pos").distinct(), chosen, ["a", "b"], window, shift, alpha).collect()}
     rows = factor_rows()
-    for pos in (5, 20, 40):
-        past = [r for r in rows if pos - window - shift <= r[1] <= pos - shift - 1 and r[5] is not None]
+    for pos in (4, 20, 40):
+        past = [r for r in rows if pos - window <= r[1] < pos - shift and r[5] is not None]
         x = np.array([[r[3], r[4] or 0.0, 1.0] for r in past])
         y = np.array([r[5] for r in past])
         want = np.linalg.solve(x.T @ x + alpha * np.eye(3), x.T @ y)
         assert np.allclose(betas[pos], want)
-    assert 3 not in betas  # nothing lies far enough back
+    assert betas[3] == [0.0, 0.0, 0.0]  # nothing lies far enough back
     found = combine.predict(frame, spark.createDataFrame([(20, [1.0, 2.0, 3.0])], "pos int, betas array<double>"), ["a", "b"]).collect()
     want = {r[2]: r[3] + 2 * (r[4] or 0.0) + 3 for r in rows if r[1] == 20}
     assert all(r["prediction"] == pytest.approx(want[r["code"]]) for r in found) and len(found) == 12
@@ -165,7 +167,7 @@ def test_universe(spark):
     members = spark.createDataFrame(rows, "code string, industry string, circ_mv double, avg_amount double")
     a, b = (universe.stratified(members, 50, seed=s).collect() for s in (1, 1))
     assert len(a) == 50 and {r["code"] for r in a} == {r["code"] for r in b} and len({r["industry"] for r in a}) == 7
-    buckets = {r["bucket"]: r["count"] for r in members.select(universe.size_bucket(F.col("circ_mv")).alias("bucket")).groupBy("bucket").count().collect()}
+    buckets = {r["bucket"]: r["count"] for r in universe.with_size_bucket(members).groupBy("bucket").count().collect()}
     assert buckets == {"small": 70, "mid": 90, "large": 40}
     assert [r["quota"] for r in universe.quotas(members, 50).orderBy("industry").collect()] == [7] * 7
 
@@ -186,14 +188,16 @@ def files(spark, tmp_path):
 
 
 def test_loader(spark, files):
-    rows = features.read_features(spark, str(files / "f.parquet"), ["alpha_signal", "absent"])
-    market = features.read_market(spark, str(files / "m.parquet"))
-    loaded = features.load(rows, "2020-01-02", "2020-01-04", 1, 1, market)
-    got = loaded.orderBy("pos").collect()
+    f, m = str(files / "f.parquet"), str(files / "m.parquet")
+    loaded = features.load(spark, f, ["alpha_signal", "absent"], "2020-01-02", "20200104", 1, 1, market=m)
+    got = loaded.frame.orderBy("pos").collect()
     assert [r["alpha_signal"] for r in got] == [1, 2, 3, 4, 5] and [r["close"] for r in got] == [10, 10.5, 11, 11.5, 12]
-    assert sum(r["asked"] for r in got) == 3 and all(r["absent"] is None for r in got) and "extra" not in loaded.columns
+    assert sum(r["asked"] for r in got) == 3 and all(r["absent"] is None for r in got) and "extra" not in loaded.frame.columns
+    assert [r["v"] for r in loaded.evaluate({"v": "TsMean($alpha_signal,2)"}).orderBy("pos").collect()] == [1.5, 2.5, 3.5]
+    with pytest.raises(OutOfRange):
+        loaded.evaluate({"v": "TsMean($alpha_signal,3)"})
     with pytest.raises(ValueError):
-        features.load(rows, "2021-01-01", "2021-02-01")
+        features.load(spark, f, ["alpha_signal"], "2021-01-01", "2021-02-01")
     assert features.physical("x", ["x", "x_raw", "x_valid"]) == "x_valid" and features.physical("y", ["x"]) is None
 
 
@@ -286,3 +290,72 @@ def test_growing_panel_equals_whole(spark, tmp_path):
         step(spark.createDataFrame([r for r in rows if (r[0] - START).days in days], "date date, code string, x double"), n)
     whole = evaluate(panel.densify(spark.createDataFrame(rows, "date date, code string, x double")), {"v": "TsMean($x,3)"}).collect()
     assert {(r["date"], r["code"]): r["v"] for r in out} == {(r["date"], r["code"]): r["v"] for r in whole}
+
+
+def test_nothing_runs_while_a_panel_is_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    rows = spark.createDataFrame([(START + DAY * i, c, float(i)) for i in range(4) for c in "ab"], "date date, code string, x double")
+    spark.sparkContext.setJobGroup("building", "")
+    dense = evaluate(panel.densify(rows), {"v": "TsMean($x,2)"})
+    assert not tracker.getJobIdsForGroup("building")
+    assert dense.count() == 8
+    assert panel.densify(rows.where("false")).count() == 0
+
+
+def test_ranks_and_percentiles_without_one_sort(spark):
+    draw = np.random.default_rng(5)
+    values = [*draw.normal(size=300).round(1).tolist(), *(draw.normal(size=50) * 1e9).tolist(), 0.0, -0.0, 1e-300, -1e-300, None]
+    rows = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "g int, v double")
+    for by in ((), ("g",)):
+        found = with_rank(rows, "v", by).collect()
+        assert len(found) == len(values) - 1
+        for r in found:
+            own = [v for i, v in enumerate(values) if v is not None and (not by or i % 2 == r["g"])]
+            assert r["rank"] == 1 + sum(v < r["v"] for v in own) and r["ties"] == sum(v == r["v"] for v in own) and r["total"] == len(own)
+    points = [0.0, 0.005, 0.5, 0.975, 1.0]
+    for r in percentiles(rows, "v", points, ["g"]).collect():
+        own = [v for i, v in enumerate(values) if v is not None and i % 2 == r["g"]]
+        assert r["p"] == pytest.approx(np.quantile(own, points).tolist())
+
+
+def test_sums_by_day_do_not_depend_on_batches(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(500, 3))
+    x[draw.random((500, 3)) < 0.2] = np.nan
+    days = draw.integers(0, 5, 500)
+    rows = spark.createDataFrame([(int(d), *(None if math.isnan(v) else float(v) for v in r)) for d, r in zip(days, x, strict=True)], "day int, a double, b double, c double").repartition(3)
+    for r in gram.arrays(gram.sums_by(rows, gram.pair_moments, 36)).collect():
+        found = gram.correlations(np.array(r["cells"]), 3)
+        for i in range(3):
+            for j in range(3):
+                own = x[days == r["day"]][:, [i, j]]
+                own = own[~np.isnan(own).any(axis=1)]
+                assert found[i, j] == pytest.approx(np.corrcoef(own.T)[0, 1] if i != j else 1.0)
+
+
+def test_pool_from_a_file(frame):
+    own = Pool(capacity=3)
+    own.restore(frame, {"a": "$a", "b": "$b"}, "y", [0.25, 0.75])
+    assert own.exprs == ["$a", "$b"] and own.weights.tolist() == [0.25, 0.75] and own.mutual.shape == (2, 2)
+    own.restore(frame, {"a": "$a"}, "y")
+    assert len(own.weights) == 1 and own.weights[0] != 0
+
+
+def test_least_squares_pool_gains(frame):
+    own = LeastSquaresPool()
+    gain = own.gain(frame, "a", "y")
+    assert own.add(frame, "a", "y") == pytest.approx(gain) and gain > 0
+    rows = [r for r in factor_rows() if r[5] is not None]
+    x = np.array([[1.0, r[3]] for r in rows])
+    assert np.allclose(own.weights, np.linalg.lstsq(x, np.array([r[5] for r in rows]), rcond=None)[0])
+
+
+def test_no_solution_predicts_zero():
+    assert combine.solved(np.full((4, 4), np.nan), [0, 1], 1.0).tolist() == [0.0, 0.0, 0.0]
+    with pytest.raises(ValueError):
+        combine.trailing("factor", 3, 3)
+
+
+def test_search_that_runs_dry_says_so():
+    with pytest.raises(FormulaError):
+        candidates.random_trees(["x"], 50, depth=1, operators=["Abs"])

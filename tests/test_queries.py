@@ -28,18 +28,27 @@ def test_entry(spark):
 
 
 def test_prediction_is_the_regression_of_its_past(spark):
-    """One date's predictions by a direct solution over all rows of its window."""
+    """Dates' predictions by a direct solution over the slice [date - window, date - shift) of all rows, the last date included."""
     import numpy as np
 
     frame = queries.normal_factors(spark, SF).toPandas()
-    chosen = queries.choose(spark, SF).toPandas()
-    pos = 200
-    use = [f"f{i + 1}" for i in sorted(chosen[chosen.pos == pos]["index"])]
-    past = frame[frame.pos.between(pos - queries.WINDOW - queries.SHIFT, pos - queries.SHIFT - 1) & frame.y.notna()]
-    x = np.column_stack([past[use].fillna(0), np.ones(len(past))])
-    beta = np.linalg.solve(x.T @ x + np.eye(x.shape[1]), x.T @ past.y)
-    today = frame[frame.pos == pos]
-    want = dict(zip(today.code, np.column_stack([today[use].fillna(0), np.ones(len(today))]) @ beta, strict=True))
-    date = today.date.iloc[0]
-    got = {r["code"]: r["prediction"] for r in queries.QUERIES["adaptive_predict"](spark, SF).where(f"date = DATE'{date}'").collect()}
-    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 2e-5 for c in want)
+    chosen = queries.choose(queries.normal_factors(spark, SF)).toPandas()
+    got = {(r["date"], r["code"]): r["prediction"] for r in queries.QUERIES["adaptive_predict"](spark, SF).collect()}
+    assert len(got) == len(frame)
+    for pos in (2, 10, 200, frame.pos.max()):
+        use = [f"f{i + 1}" for i in sorted(chosen[chosen.pos == pos]["index"])]
+        past = frame[(frame.pos >= pos - queries.WINDOW) & (frame.pos < pos - queries.SHIFT) & frame.y.notna()]
+        x = np.column_stack([past[use].fillna(0), np.ones(len(past))])
+        beta = np.linalg.solve(x.T @ x + np.eye(x.shape[1]), x.T @ past.y) if len(past) else np.zeros(len(use) + 1)
+        today = frame[frame.pos == pos]
+        want = np.column_stack([today[use].fillna(0), np.ones(len(today))]) @ beta
+        assert all(abs(got[d, c] - v) < 2e-5 for d, c, v in zip(today.date, today.code, want, strict=True))
+
+
+def test_scan_of_dates_is_pushed_down(spark):
+    from panelforge import more_queries
+
+    path, market = more_queries.raw_files(spark, SF)
+    loaded = more_queries.features.load(spark, path, ["vol"], "1996-03-01", "1997-02-28", 8, 3, market=market)
+    plan = loaded.frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("GreaterThanOrEqual(trade_date,1996") >= 2 and plan.count("LessThanOrEqual(trade_date,1997") >= 2
