@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, out_batch
+from .common import batches, out_batch, valid_text
 
 #: Characters of a leaf, and bytes of a match beyond which it's encoded by halves itself.
 LEAF, LONG_MATCH = 512, 128
@@ -155,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [np.array(own.encode(text) if text else [], dtype="<u4") for text in batch.column(1).to_pylist()]
             yield out_batch(ENCODED, [batch.column(0), [len(x) for x in ids], [x.tobytes() for x in ids]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), valid_text()).mapInArrow(run, ENCODED)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

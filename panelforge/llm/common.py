@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+from ..store import fresh_path, open_fs, shared_dir, written
 
+__all__ = ["batches", "fresh_path", "open_fs", "out_batch", "parallelism", "schema_of", "shared_dir", "table", "valid_text", "write_file", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver ends."""
-    path = f"{shared_dir(spark)}/panelforge-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone already
-        pass
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: lineage is cut, and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def valid_text(name: str = "text") -> Column:
+    """A column of texts; bytes that are no UTF-8 become replacement characters before they leave the JVM."""
+    return F.make_valid_utf8(F.col(name).cast("string")).alias(name)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -50,13 +28,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def open_fs(path: str):
-    """The pyarrow file system of a path in the shared folder, and the path within it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def write_file(folder: str, name: str, data: Iterable[bytes]) -> str:
     """Write one whole file under a name of this attempt's own, and move it into place."""
     files, root = open_fs(folder)

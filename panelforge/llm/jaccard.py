@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, out_batch, parallelism, written
+from .common import batches, out_batch, parallelism, valid_text, written
 from .words import FACTORS, hashed, mixed
 
 SHINGLE = 5
@@ -398,7 +398,7 @@ def _exploded(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), valid_text())
 
     def summary(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batched):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, out_batch, written
+from .common import batches, out_batch, valid_text, written
 from .words import hashed, mixed
 
 #: Factor of a word's place, odd and 3 modulo 4, and its inverse modulo 2 ** 64.
@@ -124,7 +124,7 @@ def find(docs: DataFrame, min_words: int = 3, edit_words: int = 8) -> DataFrame:
 
     If lines match both at no edit and at one, the one with equal words is given.
     """
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), valid_text())
 
     def lines(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batched, 1 << 20):
@@ -198,6 +198,7 @@ def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     columns = docs.columns
     lists = written(drops.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone")).withColumnRenamed("doc_id", "of"), "drops")
     place = docs.columns.index("text")
+    docs = docs.withColumn("text", valid_text())
     joined = docs.join(lists.hint("shuffle_hash"), docs["doc_id"] == lists["of"], "left").select(*(docs[c] for c in columns), lists["gone"])
 
     def run(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,29 +1,34 @@
 """Personal data in texts, by weak supervision.
 
-Strict patterns give the base spans, which always stay. Looser candidates are found beside them, and labelers vote on each
-candidate: for (1), against (2) or not at all (0). A labeler goes by pattern, by lists of known endings and prefixes
-(gazetteer), by the words around, or by shape. The votes of all candidates in all texts are counted by pattern of votes,
-a table whose size the number of labelers bounds. Expectation-maximisation over it estimates each labeler's reliability
-and each pattern's chance to be personal data; a logistic span classifier for each kind is then trained on these soft
-labels, and candidates that it accepts become spans if they touch no base span.
-
-Null texts count as empty. Texts are read whole, each scan in linear time. Ties between candidates that overlap go to the
-earlier, then the longer. With no candidate at all nothing is trained and nothing added; an empty table gives an empty
-result. Repeated rows get equal results; other columns are ignored, whatever their names.
+Strict patterns give the base spans, which always stay. Broad candidates are found beside them: every run of digits with
+what people put between them, and everything around a sign that may stand for @. Labelers vote on each candidate and each
+base span alike: for (1), against (2) or not at all (0), by format, check digit, lists of known endings and prefixes
+(gazetteer), words around, what touches the span, and variety. They disagree; the votes of all spans in all texts are
+counted by pattern of votes, a table whose size the number of labelers bounds. Expectation-maximisation over it estimates
+each labeler's reliability and each pattern's chance to be personal data. A logistic span classifier for each kind is
+trained on these chances as soft labels. It doesn't see the votes but the span itself and its surroundings: shape, length,
+variety, characters and words beside it. Candidates that it accepts become spans if they touch no base span.
+
+Null texts count as empty, and bytes that are no UTF-8 as replacement characters. Texts are read whole, each scan in linear
+time. Ties between candidates that overlap go to the earlier, then the longer. With no candidate at all nothing is trained
+and nothing added; an empty table gives an empty result. Repeated rows get equal results; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, out_batch
+from .common import batches, out_batch, valid_text, written
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,11 +39,14 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-#: Looser candidates.
-LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{1,63}){1,8}")
-LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:\[?\(?\.\)?\]?)[0-9]{1,3}(?:\[?\(?\.\)?\]?)[0-9]{1,3}(?![0-9])")
-LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_\xa0][0-9]{4}){2}[./_\xa0][0-9]{1,7}(?![0-9A-Za-z])")
-LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
+#: Signs of a disguised or broken address, and what may stand for a domain after one.
+AT = re.compile(r"@|[\[({] ?at ?[\])}]|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]+(?: dot |\.)[A-Za-z])", re.I)
+DOT = r" ?(?:\.|[\[({] ?dot ?[\])}]| dot ) ?"
+LOOSE_DOMAIN = re.compile(rf" ?[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.I)
+#: Runs of digits and of what people put between them; a dot in brackets is one of a disguised ip.
+NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().,/_\xa0-]{0,3}[0-9]|\[\.\][0-9])*")
+#: Digits that a run needs to be a candidate, unless it has four parts.
+LEAST_DIGITS = 7
 
 #: Gazetteers and the words that labelers look for nearby.
 ENDINGS = frozenset("com org net edu gov io de fr es uk eu info co us ch at it nl".split())
@@ -49,11 +57,14 @@ NEAR = {
     "card": ("card", "visa", "credit", "payment", "account"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "contact"),
 }
-AGAINST = ("token", "hash", "version", "isbn", "serial", "key =", "sha")
+AGAINST = ("token", "hash", "version", "isbn", "serial", "key", "sha", "order", "invoice", "id ", "no.")
 #: Characters looked at before and after a candidate.
 AROUND = 32
-LABELERS = ["pattern", "format", "gazetteer", "words for", "words against", "border"]
+LABELERS = ["format", "check digit", "gazetteer", "words for", "words against", "border", "spread"]
+#: Buckets of the classifier's features, candidates of each kind that it is trained on at most, and its steps.
+BUCKETS, SAMPLE, STEPS = 512, 4000, 400
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
+SEEN = "kind int, pattern string, n long, hash long, features array<int>"
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -105,13 +116,27 @@ def base_spans(text: str) -> list[Span]:
 def loose_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates beside the base spans, none overlapping a base span or another candidate."""
     out: list[Span] = []
-    if "[at]" in text or "(at)" in text or "@" in text:
-        out += [(m.start(), 0, m.end()) for m in LOOSE_EMAIL.finditer(text)]
+    if "@" in text or " at " in text or "at]" in text or "at)" in text or "at}" in text:
+        done = 0
+        for m in AT.finditer(text):
+            start = m.start() - (1 if m.start() > done and text[m.start() - 1] == " " and m[0] != " at " else 0)
+            first = start
+            while first > done and text[first - 1] in LOCAL:
+                first -= 1
+            found = LOOSE_DOMAIN.match(text, m.end()) if first < start else None
+            if found:
+                out.append((first, 0, found.end()))
+                done = found.end()
     if DIGIT.search(text):
-        if "[.]" in text or "(.)" in text:
-            out += [(m.start(), 1, m.end()) for m in LOOSE_IP.finditer(text)]
-        out += [(m.start(), 2, m.end()) for m in LOOSE_CARD.finditer(text)]
-        out += [(m.start(), 3, m.end()) for m in LOOSE_PHONE.finditer(text)]
+        for m in NUMBER.finditer(text):
+            if m.end() - m.start() < LEAST_DIGITS:
+                continue
+            parts = re.findall(r"[0-9]+", m[0])
+            digits = sum(map(len, parts))
+            if len(parts) == 4 and max(map(len, parts)) <= 3 and ("." in m[0] or "," in m[0]):
+                out.append((m.start(), 1, m.end()))
+            elif digits >= LEAST_DIGITS:
+                out.append((m.start(), 2 if 13 <= digits and not m[0].startswith("+") else 3, m.end()))
     if not out:
         return out
     taken, kept = sorted((s, e) for s, _, e in base), []
@@ -125,29 +150,54 @@ def loose_spans(text: str, base: list[Span]) -> list[Span]:
     return kept
 
 
-def votes(text: str, span: Span, strict: bool) -> tuple[int, ...]:
-    """What each labeler says of a span: 1 for, 2 against, 0 nothing."""
+def votes(text: str, span: Span) -> tuple[int, ...]:
+    """What each labeler says of a span, whatever pattern found it: 1 for, 2 against, 0 nothing."""
     start, kind, end = span
     own = text[start:end]
     digits = "".join(c for c in own if "0" <= c <= "9")
     before, after = text[max(0, start - AROUND) : start].lower(), text[end : end + AROUND].lower()
     if kind == 0:
-        name = re.split(r"\.|\bdot\b", own.replace("[dot]", ".").replace("(dot)", "."))[-1].strip(" .").lower()
-        form, known = 1 if re.search(r"@|\[at\]|\(at\)", own) and len(name) >= 2 and name.isalpha() else 2, 1 if name in ENDINGS else 0
+        ending = re.split(DOT, own, flags=re.I)[-1].strip(" .").lower()
+        form, check, known = 1 if len(ending) >= 2 and ending.isalpha() else 2, 0, 1 if ending in ENDINGS else 2 if not ending.isalpha() else 0
+        spread = 1 if len(set(own.lower())) >= 6 else 2
     elif kind == 1:
         parts = re.findall(r"[0-9]+", own)
-        form, known = 1 if len(parts) == 4 and all(int(p[:9]) <= 255 for p in parts) else 2, 2 if parts[0] == "0" else 0
+        sound = len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        form, check, known = 1 if sound else 2, 2 if any(len(p) > 1 and p[0] == "0" for p in parts) else 0, 0 if not sound else 2 if int(parts[0]) in (0, 127) or int(parts[0]) > 223 else 1
+        spread = 1 if len(set(parts)) >= 3 else 2
     elif kind == 2:
-        form, known = 1 if 13 <= len(digits) <= 19 and luhn(digits) else 2, 1 if digits.startswith(CARD_PREFIXES) else 0
+        form, check, known = 1 if 13 <= len(digits) <= 19 else 2, 1 if 13 <= len(digits) <= 19 and luhn(digits) else 2, 1 if digits.startswith(CARD_PREFIXES) else 0
+        spread = 1 if len(set(digits)) >= 5 else 2
     else:
-        form, known = 1 if 10 <= len(digits) <= 15 else 2, 1 if "(" in own or own.startswith("+") else 0
-    beside = (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    return (1 if strict else 0, form, known, 1 if any(w in before for w in NEAR[KINDS[kind]]) else 0, 2 if any(w in before or w in after for w in AGAINST) else 0, 2 if beside else 1)
+        form, check, known = 1 if 9 <= len(digits) <= 15 else 2, 0, 1 if own.startswith("+") or "(" in own else 0
+        spread = 1 if len(set(digits)) >= 4 else 2
+    glued = (start and (text[start - 1].isalnum() or text[start - 1] in "_#=\"'-")) or (end < len(text) and (text[end].isalnum() or text[end] in "_\"'-"))
+    return form, check, known, 1 if any(w in before for w in NEAR[KINDS[kind]]) else 0, 2 if any(w in before for w in AGAINST) else 0, 2 if glued else 1, spread
+
+
+def features(text: str, span: Span) -> list[int]:
+    """Buckets of what the classifier goes by: the span's shape, length and variety, and the characters and words beside it."""
+    start, kind, end = span
+    own = text[start:end]
+    shape = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", lambda m: f"d{len(m[0])}", own.lower()))
+    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
 
+    def beside(c: str) -> str:
+        return "letter" if c.isalpha() else "digit" if c.isdigit() else c
 
-def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    left, right = before.lower().split(), after.lower().split()
+    n = len(own)
+    spread = -sum(own.count(c) / n * np.log2(own.count(c) / n) for c in set(own))
+    named = [
+        f"shape {shape}", f"kinds {re.sub('[0-9]+', '', shape)}", f"digits {sum(c.isdigit() for c in own)}", f"length {n.bit_length()}", f"spread {round(2 * spread)}",
+        f"before {beside(before[-1:])}", f"after {beside(after[:1])}", f"left {left[-1] if left else ''}", f"right {right[0] if right else ''}", f"far left {left[-2] if len(left) > 1 else ''}", "always",
+    ]
+    return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in named]
+
+
+def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, np.ndarray, dict[tuple[int, ...], float]]:
     """EM over counted vote patterns of one kind: the share of personal data, the chance of each vote of each labeler
-    given the truth (labeler, truth, vote), the patterns, their counts and their chance to be personal data."""
+    given the truth (labeler, truth, vote), and each pattern's chance to be personal data."""
     patterns, n = np.array(list(counts)), np.array(list(counts.values()), float)
     chance = np.clip(0.5 + 0.2 * ((patterns == 1).sum(axis=1) - 1.5 * (patterns == 2).sum(axis=1)), 0.05, 0.95)
     share, tables = 0.5, np.zeros((patterns.shape[1], 2, 3))
@@ -159,44 +209,66 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple
         tables /= tables.sum(axis=2, keepdims=True)
         logs = [np.log(p) + np.log(tables[np.arange(patterns.shape[1]), truth, patterns]).sum(axis=1) for truth, p in ((0, 1 - share), (1, share))]
         chance = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
-    return share, tables, patterns, n, chance
-
+    return share, tables, dict(zip(counts, chance.tolist(), strict=True))
+
+
+def classifier(rows: list[list[int]], chance: list[float]) -> np.ndarray:
+    """Weights of a logistic regression of soft labels on buckets of features."""
+    x = np.zeros((len(rows), BUCKETS))
+    for i, own in enumerate(rows):
+        x[i, own] = 1.0
+    y, w, speed = np.array(chance), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for _ in range(STEPS):
+        slope = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(rows) + 1e-4 * w
+        speed = 0.9 * speed - 0.5 * slope
+        w = w + speed
+    return w
 
-def features(patterns: np.ndarray) -> np.ndarray:
-    """A column of ones, and for each labeler whether it is for and whether it is against."""
-    return np.concatenate([np.ones((len(patterns), 1)), patterns == 1, patterns == 2], axis=1).astype(float)
 
+def probability(own: list[int], weights: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-weights[list(set(own))].sum())))
 
-def classifier(patterns: np.ndarray, n: np.ndarray, chance: np.ndarray, steps: int = 500) -> np.ndarray:
-    """Weights of a logistic regression on soft labels."""
-    x, w = features(patterns), np.zeros(1 + 2 * patterns.shape[1])
-    share = n / n.sum()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= 1.0 * (x.T @ ((p - chance) * share) + 1e-3 * w)
-    return w
 
+def train(docs: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """The span classifier of each kind of which there are candidates.
 
-def train(docs: DataFrame) -> dict[int, np.ndarray]:
-    """The span classifier of each kind of which there are candidates, from the candidates of all texts."""
-    kinds = "kind int, pattern string, n long"
+    The votes on all candidates of all texts are counted, and reliabilities estimated from these counts. The classifier
+    learns from at most `sample` candidates of each kind, those with the least hashes of span and surroundings.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        held: list[dict[int, tuple[str, list[int]]]] = [{} for _ in KINDS]
         for batch in batches(rows):
             for text in batch.column(0).to_pylist():
-                if text:
-                    base = base_spans(text)
-                    seen.update((s[1], "".join(map(str, votes(text, s, True)))) for s in base)
-                    seen.update((s[1], "".join(map(str, votes(text, s, False)))) for s in loose_spans(text, base))
+                if not text:
+                    continue
+                base = base_spans(text)
+                for span in [*base, *loose_spans(text, base)]:
+                    pattern = "".join(map(str, votes(text, span)))
+                    seen[span[1], pattern] += 1
+                    mark = xxhash.xxh64_intdigest(text[max(0, span[0] - AROUND) : span[2] + AROUND].encode("utf-8", "replace")) >> 1
+                    held[span[1]].setdefault(mark, (pattern, features(text, span)))
+            for kind, own in enumerate(held):
+                if len(own) > 2 * sample:
+                    held[kind] = {mark: own[mark] for mark in sorted(own)[:sample]}
         keys = list(seen)
-        yield out_batch(kinds, [[k for k, _ in keys], [p for _, p in keys], [seen[k] for k in keys]])
+        yield out_batch(SEEN, [[k for k, _ in keys], [p for _, p in keys], [seen[k] for k in keys], [None] * len(keys), [None] * len(keys)])
+        for kind, own in enumerate(held):
+            marks = sorted(own)[:sample]
+            yield out_batch(SEEN, [[kind] * len(marks), [own[m][0] for m in marks], [0] * len(marks), marks, [own[m][1] for m in marks]])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, kinds).groupBy("kind", "pattern").agg(F.sum("n").alias("n"))
+    seen = written(docs.select(valid_text()).mapInArrow(run, SEEN), "candidates")
     table: dict[int, dict[tuple[int, ...], int]] = {}
-    for r in counted.collect():  # at most kinds x 3 ** labelers rows
+    for r in seen.where("hash is null").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect():  # at most kinds x 3 ** labelers rows
         table.setdefault(r["kind"], {})[tuple(map(int, r["pattern"]))] = r["n"]
-    return {kind: classifier(*reliabilities(counts)[2:]) for kind, counts in table.items()}
+    chances = {kind: reliabilities(counts)[2] for kind, counts in table.items()}
+    least = F.row_number().over(Window.partitionBy("kind").orderBy("hash"))
+    chosen = seen.where("hash is not null").dropDuplicates(["kind", "hash"]).withColumn("place", least).where(F.col("place") <= sample)
+    rows: dict[int, list] = {}
+    for r in chosen.orderBy("kind", "hash").collect():  # at most kinds x sample rows
+        rows.setdefault(r["kind"], []).append((r["features"], chances[r["kind"]][tuple(map(int, r["pattern"]))]))
+    return {kind: classifier([x for x, _ in own], [p for _, p in own]) for kind, own in rows.items()}
 
 
 def find(docs: DataFrame, weights: dict[int, np.ndarray], least: float = 0.9) -> DataFrame:
@@ -211,9 +283,9 @@ def find(docs: DataFrame, weights: dict[int, np.ndarray], least: float = 0.9) ->
             for text in batch.column(1).to_pylist():
                 base = base_spans(text) if text else []
                 more = loose_spans(text, base) if text else []
-                more = [s for s in more if s[1] in weights and float(features(np.array([votes(text, s, False)]))[0] @ weights[s[1]]) >= np.log(least / (1 - least))]
+                more = [s for s in more if s[1] in weights and probability(features(text, s), weights[s[1]]) >= least]
                 n = Counter(kind for _, kind, _ in base)
                 out.append((n[0], n[1], n[2], n[3], listed(base), listed(sorted(base + more)) if more else listed(base)))
             yield out_batch(FOUND, [batch.column(0), *(list(c) for c in zip(*out, strict=True))])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long"), valid_text()).mapInArrow(run, FOUND)

@@ -1,16 +1,18 @@
 """WARC archives: a writer with revisit records, and a splittable reader.
 
 Every record is a gzip member of its own. A reading task gets a byte range of an archive, looks for the gzip magic from
-the range's first byte on, and takes a place for a member's start only if what inflates there begins with a WARC version
-line. From the first such member it goes from one to the next and owns those that start before its range ends, so each
-record is read once, whatever the ranges are.
+the range's first byte on, and takes a place for a member's start only if what inflates there decodes as a record's header
+(version, type, id, length). From the first such member it goes from one to the next, each beginning in what the last one
+left over of a read, and owns those that start before its range ends. So each record is read once, whatever the ranges are,
+and the bytes read are those of the range and one read more at each of its ends.
 
 Writing: of pages with equal payloads of min_bytes bytes or more, that with the largest page_id is a response; the others
 are revisit records that refer to it and carry the HTTP headers alone. Payloads are equal if length and SHA-1 are.
 
 Null payloads count as empty, null URLs are left out, and a null page_id is never referred to if its payload has another
 page; rows with the same page_id get a record each, and of equal payloads under the largest page_id all are responses.
-An empty table gives no archive and an empty result. Other columns are ignored, whatever their names.
+An empty table gives no archive and an empty result. Other columns are ignored, whatever their names. A record is held in
+memory whole, as is a page by Spark; bytes of a page or URL that are no UTF-8 become replacement characters.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_path, open_fs, out_batch, parallelism, write_file, written
+from .common import batches, fresh_path, open_fs, out_batch, parallelism, valid_text, write_file, written
 
 #: Bytes of an archive before the next is begun, of a reader's range, and of a read.
 ARCHIVE, RANGE, CHUNK = 64 << 20, 8 << 20, 1 << 16
@@ -79,23 +81,24 @@ def parse(record: bytes) -> tuple:
 def members(file, start: int, end: int, size: int) -> Iterator[bytes]:
     """Inflated members of file (any object with seek and read) that start in [start, end)."""
     at = _first(file, start, end, size)
-    while at is not None and at < end:
-        file.seek(at)
-        inflate, out, used = zlib.decompressobj(31), [], 0
+    if at is None:
+        return
+    file.seek(at)
+    data = b""
+    while at < min(end, size):
+        inflate, out = zlib.decompressobj(31), []
         while not inflate.eof:
-            data = file.read(CHUNK)
+            data = data or file.read(CHUNK)
             if not data:
                 raise ValueError(f"the member at byte {at} is cut short")
             out.append(inflate.decompress(data))
-            used += len(data)
-        at += used - len(inflate.unused_data)
+            # what the member leaves over begins the next one
+            at, data = at + len(data) - len(inflate.unused_data), inflate.unused_data
         yield b"".join(out)
-        if at >= size:
-            return
 
 
 def _first(file, start: int, end: int, size: int) -> int | None:
-    """The first place in [start, end) where a member starts: gzip magic, and a WARC version line behind it."""
+    """The first place in [start, end) where a member starts: gzip magic, and the header of a WARC record behind it."""
     at, kept = start, b""
     while at - len(kept) < end:
         file.seek(at)
@@ -113,17 +116,26 @@ def _first(file, start: int, end: int, size: int) -> int | None:
 
 
 def _starts(file, at: int) -> bool:
+    """Whether what inflates at a place begins with a whole record header: version, type, id and length of the block."""
     file.seek(at)
+    inflate, head = zlib.decompressobj(31), b""
     try:
-        return zlib.decompressobj(31).decompress(file.read(4096), len(VERSION)) == VERSION
-    except zlib.error:
+        while b"\r\n\r\n" not in head and not inflate.eof:
+            data = file.read(4096)
+            if not data or (len(head) >= len(VERSION) and not head.startswith(VERSION)):
+                return False
+            head += inflate.decompress(data)
+        lines = head.partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines[1:])
+    except (zlib.error, ValueError):
         return False
+    return head.startswith(VERSION) and {"WARC-Type", "WARC-Record-ID"} <= set(fields) and fields.get("Content-Length", "").isdigit()
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """page_id, url, html with payload_bytes, payload_digest and refers_to (null for responses)."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.encode("html", "utf-8"))})
+    html = F.coalesce(valid_text("html"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long"), valid_text("url"), html.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.encode("html", "utf-8"))})
     large = rows.where(F.col("payload_bytes") >= min_bytes)
     kept = large.groupBy("payload_bytes", "payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     # a table, so that Spark can split the rows of a payload that very many pages share

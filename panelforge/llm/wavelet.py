@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_path, open_fs, out_batch, parallelism, write_file, written
+from .common import batches, fresh_path, open_fs, out_batch, parallelism, valid_text, write_file, written
 
 MAGIC = b"PFWM0001"
 #: Ids in a shard before it is closed, and entries of the word table before it starts anew.
@@ -297,7 +297,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
         if doc_ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), valid_text()).repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,34 @@ def test_letters_and_grams():
     assert len(langid.grams_of("abc")) == 3 and len(langid.grams_of("  12 ")) == 0
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    letters = np.array([ord(c) for c in "œïычяэе漢字éècg"])
+    vectors = langid.LetterVectors().of(letters).astype(int)
+    apart = vectors @ vectors.T - langid.DIMENSIONS * np.eye(len(letters))
+    assert abs(apart).max() < langid.DIMENSIONS / 4
+    assert (langid.LetterVectors().of(letters[::-1])[::-1] == vectors).all()  # whatever was met before
+    a, b, c = (langid.letter_vectors().of(np.array([ord(x)]))[0].astype(int) for x in "abc")
+    assert (langid.bound(langid.grams_of("abc"))[1] == np.roll(a, 2) * np.roll(b, 1) * c).all()
+
+
+def test_text_of_very_many_grams(monkeypatch):
+    text = " ".join(chr(0x4E00 + i) + chr(0x5000 + 7 * i % 5000) for i in range(3000))
+    own = langid.Prototypes(["x", "y"], np.eye(2, langid.DIMENSIONS))
+    whole = langid.judge([text], own)
+    monkeypatch.setattr(langid, "HELD", 10)
+    assert langid.judge([text], own)[0] == whole[0] and abs(langid.judge([text], own)[1][0] - whole[1][0]) < 1e-6
+
+
+def test_clashing_columns_and_bytes_that_are_no_utf8(spark):
+    _, docs = corpus(spark)
+    own = langid.learn(docs, F.lit(True))
+    odd = spark.sql("SELECT 1L AS doc_id, CAST(X'FF20FF' AS STRING) AS text, 'mine' AS lang_pred, 'mine' AS score")
+    row = langid.identify(odd, own).first()
+    assert row["lang_pred"] == "und" and row["score"] == 0.0
+    kept = langid.identify(odd, own, "l", "s").first()
+    assert kept["lang_pred"] == "mine" and kept["l"] == "und"
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
 def test_held_out_accuracy(spark, sf):
     found = op6_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")

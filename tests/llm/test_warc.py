@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import random
@@ -47,3 +48,37 @@ def test_round_trip(spark):
     assert {r["page_id"]: r["url"] for r in found}[7] is None
     assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in found)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+class Counted(io.BytesIO):
+    n = 0
+
+    def read(self, size=-1):
+        data = super().read(size)
+        self.n += len(data)
+        return data
+
+
+def test_reads_little_more_than_the_archive():
+    draw = random.Random(2)
+    payloads = [draw.randbytes(200) for _ in range(20_000)]
+    data = b"".join(warc.member(i, None, p, hashlib.sha1(p).hexdigest(), len(p), None) for i, p in enumerate(payloads))
+    file, step = Counted(data), 2 << 20
+    assert sum(1 for lo in range(0, len(data), step) for _ in warc.members(file, lo, min(len(data), lo + step), len(data))) == len(payloads)
+    assert file.n <= 1.1 * len(data)
+
+
+def test_a_member_without_the_header_is_no_record():
+    """Gzip members within a stored payload are passed over unless they decode as a record's header."""
+    fakes = [gzip.compress(b"WARC/1.1\r\nno header\r\n\r\n"), gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"), gzip.compress(b"text"), warc.GZIP * 3]
+    head = gzip.compress(b"x", 0)
+    real = warc.member(1, None, b"p", hashlib.sha1(b"p").hexdigest(), 1, None)
+    data = b"".join(fakes) + head + real
+    found = [warc.parse(m)[0] for m in warc.members(io.BytesIO(data), 0, len(data), len(data))]
+    assert found == [1]
+
+
+def test_bytes_that_are_no_utf8(spark):
+    pages = spark.sql("SELECT 1L AS page_id, CAST(X'75FF' AS STRING) AS url, CAST(X'FF41' AS STRING) AS html")
+    row = warc.read_archives(warc.write_archives(pages)).first()
+    assert bytes(row["payload"]) == "\ufffdA".encode() and row["url"] == "u\ufffd"
