@@ -1,43 +1,53 @@
 """Benchmark passages in documents, by spaced seeds.
 
 A seed is the hash of the words at the fixed places that a mask looks at; the places it ignores may hold other words. The
-seeds of the benchmark's items are looked up at every word of every document. A hit puts an item beside the document; along
+seeds of the benchmark's items and those of the documents are joined by hash. A hit puts an item beside the document; along
 that alignment the longest stretch of which at least the share `least` of words are equal is taken, and it counts if it has
 min_words words (or the whole item, if that is shorter). The place given is that stretch without unequal words at its ends.
 
+1. Items with equal words are one class, whose seeds are a table of hash, class and place.
+2. Documents keep the seeds whose hash a fixed number of bits of the benchmark's hashes lets pass: a bitmap of bounded size,
+   put together from the tasks' own. Documents without such a seed stop here.
+3. The seeds that are left join the benchmark's table by hash, in a shuffle join that Spark may split or broadcast. The
+   alignments of a document are dealt to lists of bounded length, each of which meets the document's words once.
+4. Each alignment is verified on the words, and the best of each document and class is kept.
+
 No passage is missed. A stretch of 2 * min_words or more can be halved, and one half is a passage too, so the masks need to
 hit those below (tested for all placements of unequal words). A shorter item is cut into one part more than words of it may
 differ, so that one part is equal; each part is a seed.
 
-Words are runs of letters, digits and underscores in lower case. Items without a word can't be found. Null texts and items count as empty, an empty table on either side finds nothing, repeated items are found each,
-repeated rows of documents give a row each. Each document and item give their longest stretch, of equal ones the first.
-Other columns are ignored in find() and kept in clean(), whatever their names.
-
-The benchmark is read in blocks of bounded bytes, each looked up in a pass of its own over the documents; it is small
-beside these, and mostly one block.
+Words are runs of letters, digits and underscores in lower case; bytes that are no UTF-8 count as replacement characters.
+Items without a word can't be found. Null texts and items count as empty, an empty table on either side finds nothing,
+repeated items are found each, repeated rows of documents give a row each. Each document and item give their longest
+stretch, of equal ones the first. Texts are read whole; a document's words are held at once, as its text is by Spark. Other
+columns are ignored in find() and kept in clean(), whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, out_batch
+from .common import batches, out_batch, valid_text, written
 from .words import FACTORS, hashed, mixed
 
 #: Places looked at (1) and ignored (0); they hit every stretch of 13 words or more with 80 % equal.
 MASKS = ("11111", "111011")
 WORD = re.compile(r"\w+")
-#: Bytes of benchmark text in a block.
-BLOCK = 16 << 20
-#: Hits, or words beside each other, that are worked on at once.
-AT_ONCE = 1 << 21
+#: Bits of the bitmap of seeds (2 ** this), and alignments of a document in a list.
+BITMAP, LIST = 26, 256
 FOUND = "doc_id long, item_id long, n_words int, n_equal int, doc_word int, item_word int"
+ITEMS = "item_id long, class binary, words binary"
+SEEDS = "seed long, class binary, place int"
+HITS = "doc_id long, digest string, words binary, seeds array<long>, places array<int>"
+BEST = "row long, doc_id long, digest string, class binary, n_words int, n_equal int, doc_word int, item_word int"
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -74,90 +84,32 @@ def words_of(text: str | None) -> np.ndarray:
     return hashed(WORD.findall(text.lower())) if text else np.zeros(0, np.uint64)
 
 
-def joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All arrays on end, and where each begins (and the last ends)."""
-    return np.concatenate([np.zeros(0, np.uint64), *arrays]), np.cumsum([0, *map(len, arrays)])
-
-
-class Seeds:
-    """The items of a block and their seeds."""
-
-    def __init__(self, items: list[tuple[int, str | None]], min_words: int = 13, least: float = 0.8):
-        if min_words < 1 or not 0 < least <= 1:
-            raise ValueError("a passage needs a word, and a share of equal words above 0 and up to 1")
-        self.ids = [i for i, _ in items]
-        self.words, self.starts = joined([words_of(text) for _, text in items])
-        self.sizes = np.diff(self.starts)
-        self.need = np.minimum(self.sizes, min_words)
-        self.equal = np.ceil(self.need * least - 1e-9).astype(np.int64)
-        places: dict[str, list[np.ndarray]] = {}
-        for mask in masks_for(min_words, least):
-            at = np.arange(max(0, len(self.words) - len(mask) + 1))
-            owner = self.owner(at)
-            places[mask] = [at[(owner == self.owner(at + len(mask) - 1)) & (self.sizes[owner] >= min_words)]]
-        for n in set(self.sizes[(self.sizes > 0) & (self.sizes < min_words)].tolist()):
-            for a, size in parts(n, least):
-                places.setdefault("1" * size, []).append(self.starts[:-1][self.sizes == n] + a)
-        self.tables = []
-        for mask, found in places.items():
-            at = np.concatenate(found)
-            if not len(at):
-                continue
-            own = seeds(self.words, mask)[at]
-            order = np.argsort(own, kind="stable")
-            bits = max(16, min(26, int(len(own) * 32).bit_length()))
-            seen = np.zeros(1 << bits, bool)
-            seen[own >> np.uint64(64 - bits)] = True
-            self.tables.append((mask, own[order], at[order], seen, np.uint64(64 - bits)))
-
-    def owner(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, at, side="right") - 1
-
-    def look_up(self, docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Document, item and item start less document start of each alignment with a hit and enough equal words."""
-        span, found = np.int64(len(docs) + len(self.words) + 1), []
-        for mask, own, at, seen, shift in self.tables:
-            here = seeds(docs, mask)
-            place = np.flatnonzero(seen[here >> shift])
-            lo, hi = np.searchsorted(own, here[place], "left"), np.searchsorted(own, here[place], "right")
-            doc = np.searchsorted(starts, place, side="right") - 1
-            inside = (hi > lo) & (place + len(mask) <= starts[doc + 1])
-            every, lo, number, docs_of = place[inside], lo[inside], (hi - lo)[inside], doc[inside]
-            for i, j in cuts(number):
-                n = number[i:j]
-                item_at = at[np.repeat(lo[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                doc, item = np.repeat(docs_of[i:j], n), self.owner(item_at)
-                by = (item_at - self.starts[item]) - (np.repeat(every[i:j], n) - starts[doc])
-                keys = np.unique((doc * len(self.ids) + item) * span + (by + len(docs)))
-                found.append(self.kept(keys, span, docs, starts))
-        if found:
-            keys = np.unique(np.concatenate(found))
-            pair, by = keys // span, keys % span - len(docs)
-            yield from zip((pair // len(self.ids)).tolist(), (pair % len(self.ids)).tolist(), by.tolist(), strict=True)
-
-    def kept(self, keys: np.ndarray, span: np.int64, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The alignments that have as many words beside each other, and equal ones, as a passage needs."""
-        pair, by = keys // span, keys % span - len(docs)
-        doc, item = pair // len(self.ids), pair % len(self.ids)
-        lo, hi = np.maximum(0, by), np.minimum(self.sizes[item], starts[doc + 1] - starts[doc] + by)
-        enough = np.flatnonzero(hi - lo >= self.need[item])
-        keys, doc, item, by, lo, n = keys[enough], doc[enough], item[enough], by[enough], lo[enough], (hi - lo)[enough]
-        out = [keys[:0]]
-        for i, j in cuts(n):
-            first = np.cumsum(n[i:j]) - n[i:j]
-            along = np.arange(n[i:j].sum())
-            theirs = np.repeat(self.starts[item[i:j]] + lo[i:j] - first, n[i:j]) + along
-            ours = np.repeat(starts[doc[i:j]] + lo[i:j] - by[i:j] - first, n[i:j]) + along
-            same = np.add.reduceat(docs[ours] == self.words[theirs], first, dtype=np.int64)
-            out.append(keys[i:j][same >= self.equal[item[i:j]]])
-        return np.concatenate(out)
-
-
-def cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Starts and ends of runs of entries of about AT_ONCE in all (one entry at least)."""
-    if len(sizes):
-        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE, prepend=-1))
-        yield from zip(edges.tolist(), [*edges[1:].tolist(), len(sizes)], strict=True)
+def salted(seed: np.ndarray, kind: int) -> np.ndarray:
+    """Seeds of different masks never meet."""
+    return mixed(seed ^ FACTORS[32 + kind])
+
+
+def seed_kinds(min_words: int, least: float) -> tuple[str, ...]:
+    """All masks that seeds are made with: those of long items, then runs of the lengths of short items' parts."""
+    if min_words < 1 or not 0 < least <= 1:
+        raise ValueError("a passage needs a word, and a share of equal words above 0 and up to 1")
+    long = masks_for(min_words, least)
+    runs = sorted({"1" * size for n in range(1, min_words) for _, size in parts(n, least)} - set(long))
+    return (*long, *runs)
+
+
+def item_seeds(words: np.ndarray, min_words: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of an item and the word that each begins at."""
+    kinds = seed_kinds(min_words, least)
+    if len(words) >= min_words:
+        made = [(salted(seeds(words, mask), k), None) for k, mask in enumerate(masks_for(min_words, least))]
+        return np.concatenate([s for s, _ in made]), np.concatenate([np.arange(len(s)) for s, _ in made])
+    own, at = [], []
+    for a, size in parts(len(words), least) if len(words) else []:
+        k = kinds.index("1" * size)
+        own.append(salted(seeds(words[a : a + size], kinds[k]), k))
+        at.append([a])
+    return (np.concatenate(own), np.concatenate(at)) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def stretch(equal: np.ndarray, least: float) -> tuple[int, int]:
@@ -176,63 +128,145 @@ def stretch(equal: np.ndarray, least: float) -> tuple[int, int]:
     return best
 
 
-def overlaps(texts: list[str | None], own: Seeds, min_words: int, least: float) -> list[tuple[int, int, int, int, int, int]]:
-    """Place of the text, place of the item, words, equal words, first word in the text and in the item."""
-    docs, starts = joined([words_of(text) for text in texts])
-    best: dict[tuple[int, int], tuple] = {}
-    for doc, item, by in own.look_up(docs, starts):
-        words, theirs = docs[starts[doc] : starts[doc + 1]], own.words[own.starts[item] : own.starts[item + 1]]
-        lo, hi = max(0, by), min(len(theirs), len(words) + by)  # in the item
-        equal = words[lo - by : hi - by] == theirs[lo:hi]
-        i, j = stretch(equal, least)
-        if j - i < min(min_words, len(theirs)):
-            continue
-        while i < j and not equal[i]:
-            i += 1
-        while i < j and not equal[j - 1]:
-            j -= 1
-        made = (j - i, int(equal[i:j].sum()), -(lo - by + i), -(lo + i))
-        best[doc, item] = max(best.get((doc, item), made), made)
-    return [(doc, item, n, same, -a, -b) for (doc, item), (n, same, a, b) in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of about BLOCK bytes."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-size // BLOCK)
-    for i in range(n):
-        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
+def verified(words: np.ndarray, theirs: np.ndarray, by: int, min_words: int, least: float) -> tuple[int, int, int, int] | None:
+    """Words, equal words and first word in the document and in the item of the longest stretch along an alignment."""
+    lo, hi = max(0, by), min(len(theirs), len(words) + by)  # in the item
+    need = min(min_words, len(theirs))
+    if hi - lo < need:
+        return None
+    equal = words[lo - by : hi - by] == theirs[lo:hi]
+    if equal.sum() < need * least - 1e-9:
+        return None
+    i, j = stretch(equal, least)
+    if j - i < need:
+        return None
+    while i < j and not equal[i]:
+        i += 1
+    while i < j and not equal[j - 1]:
+        j -= 1
+    return j - i, int(equal[i:j].sum()), lo - by + i, lo + i
+
+
+def classes(benchmark: DataFrame) -> DataFrame:
+    """item_id, class and words (hashes) of the items that have a word; items with equal words share a class."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 1 << 20):
+            words = [words_of(text).tobytes() for text in batch.column(1).to_pylist()]
+            keep = [i for i, x in enumerate(words) if x]
+            yield out_batch(ITEMS, [batch.column(0).take(pa.array(keep, pa.int32())), [xxhash.xxh3_128_digest(words[i]) for i in keep], [words[i] for i in keep]])
+
+    return written(benchmark.select(F.col("item_id").cast("long"), valid_text()).where("text is not null").mapInArrow(run, ITEMS), "items")
+
+
+def bitmap_of(table: DataFrame) -> np.ndarray:
+    """A byte for each 8 values of a seed's first bits, with a bit for each that occurs; of one size for any benchmark."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITMAP, bool)
+        for batch in rows:
+            seen[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP)] = True
+        size = 1 << 16
+        packed = np.packbits(seen)
+        at = [i for i in range(0, len(packed), size) if packed[i : i + size].any()]
+        yield out_batch("part int, bits binary", [[i // size for i in at], [packed[i : i + size].tobytes() for i in at]])
+
+    def merged(pdf):
+        import pandas as pd
+
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"part": pdf["part"][:1], "bits": [bits.tobytes()]})
+
+    out = np.zeros((1 << BITMAP) // 8, np.uint8)
+    for r in table.select("seed").mapInArrow(run, "part int, bits binary").groupBy("part").applyInPandas(merged, "part int, bits binary").collect():  # 2 ** BITMAP bits in all
+        out[r["part"] << 16 : (r["part"] << 16) + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def passages(docs: DataFrame, items: DataFrame, min_words: int, least: float) -> DataFrame:
+    """The best stretch of each row of docs (row, doc_id, digest of the text) and class of items."""
+    kinds = seed_kinds(min_words, least)
+    one_each = items.groupBy("class").agg(F.first("words").alias("words"))
+
+    def seeded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 1 << 20):
+            out: list[list] = [[], [], []]
+            for which, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, at = item_seeds(np.frombuffer(data, np.uint64), min_words, least)
+                out[0].append(own)
+                out[1] += [which] * len(own)
+                out[2].append(at)
+            yield out_batch(SEEDS, [np.concatenate(out[0]).view(np.int64), out[1], np.concatenate(out[2]).astype(np.int32)])
+
+    table = written(one_each.mapInArrow(seeded, SEEDS), "seeds")
+    bitmap = bitmap_of(table)
+
+    def hits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 1 << 20):
+            texts = batch.column(1).to_pylist()
+            own = [words_of(text) for text in texts]
+            ends = np.cumsum([len(w) for w in own])
+            every = np.concatenate([np.zeros(0, np.uint64), *own])
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for k, mask in enumerate(kinds):
+                here = salted(seeds(every, mask), k)
+                at = here >> np.uint64(64 - BITMAP)
+                place = np.flatnonzero(bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1)
+                doc = np.searchsorted(ends, place, side="right")
+                inside = place + len(mask) <= ends[doc] if len(place) else np.zeros(0, bool)
+                found.append((doc[inside], here[place[inside]], place[inside]))
+            doc, seed, place = (np.concatenate([f[i] for f in found]) for i in range(3))
+            order = np.argsort(doc, kind="stable")
+            doc, seed, place = doc[order], seed[order].view(np.int64), place[order]
+            rows_of, starts = np.unique(doc, return_index=True)
+            bounds = [*starts.tolist(), len(doc)]
+            first = [int(ends[d]) - len(own[d]) for d in rows_of.tolist()]
+            yield out_batch(
+                HITS,
+                [
+                    batch.column(0).take(pa.array(rows_of)),
+                    [hashlib.md5(texts[d].encode()).hexdigest() for d in rows_of.tolist()],
+                    [own[d].tobytes() for d in rows_of.tolist()],
+                    [seed[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)],
+                    [(place[i:j] - f).tolist() for i, j, f in zip(bounds, bounds[1:], first, strict=False)],
+                ],
+            )
+
+    # the numbers are written with the rows, and so the same whenever these are read
+    met = docs.select(F.col("doc_id").cast("long"), valid_text()).where("text is not null").mapInArrow(hits, HITS)
+    met = written(met.withColumn("row", F.monotonically_increasing_id()), "hits")
+    each = met.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+    aligned = each.join(table, "seed").select("row", "class", (F.col("place") - F.col("at")).alias("by")).distinct()
+    dealt = aligned.withColumn("list", F.floor((F.row_number().over(Window.partitionBy("row").orderBy("class", "by")) - 1) / LIST))
+    lists = dealt.join(one_each.withColumnRenamed("words", "theirs"), "class").groupBy("row", "list").agg(F.collect_list(F.struct("class", "by", "theirs")).alias("beside"))
+    both = met.select("row", "doc_id", "digest", "words").join(lists.drop("list"), "row")
+
+    def checked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 4 << 20):
+            best: dict[tuple, tuple] = {}
+            for row, doc_id, digest, data, beside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = np.frombuffer(data, np.uint64)
+                for x in beside:
+                    made = verified(words, np.frombuffer(x["theirs"], np.uint64), x["by"], min_words, least)
+                    if made:
+                        key, value = (row, doc_id, digest, x["class"]), (made[0], made[1], -made[2], -made[3])
+                        best[key] = max(best.get(key, value), value)
+            if best:
+                yield out_batch(BEST, [list(c) for c in zip(*((*k, v[0], v[1], -v[2], -v[3]) for k, v in best.items()), strict=True)])
+
+    found = both.select("row", "doc_id", "digest", "words", "beside").mapInArrow(checked, BEST)
+    top = F.max(F.struct("n_words", "n_equal", (-F.col("doc_word")).alias("a"), (-F.col("item_word")).alias("b"))).alias("t")
+    return found.groupBy("row", "doc_id", "digest", "class").agg(top).select("row", "doc_id", "digest", "class", "t.n_words", "t.n_equal", (-F.col("t.a")).alias("doc_word"), (-F.col("t.b")).alias("item_word"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, least: float = 0.8) -> DataFrame:
     """A row for each document and item of which the document holds a passage."""
-    rows, found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
-    for items in blocks(benchmark):
-
-        def run(batched: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            own = Seeds(items, min_words, least)
-            for batch in batches(batched, 1 << 20):
-                out = overlaps(batch.column(1).to_pylist(), own, min_words, least)
-                if out:
-                    doc, item, *rest = (list(c) for c in zip(*out, strict=True))
-                    yield out_batch(FOUND, [batch.column(0).take(pa.array(doc)), [own.ids[i] for i in item], *rest])
-
-        part = rows.mapInArrow(run, FOUND)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], FOUND) if found is None else found
+    items = classes(benchmark)
+    found = passages(docs, items, min_words, least).join(items.select("item_id", "class"), "class")
+    return found.select("doc_id", "item_id", "n_words", "n_equal", "doc_word", "item_word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, least: float = 0.8) -> DataFrame:
     """The rows of docs that hold no passage of the benchmark, with all their columns."""
-    at = docs.columns.index("text")
-    for items in blocks(benchmark):
-
-        def run(batched: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            own = Seeds(items, min_words, least)
-            for batch in batches(batched, 1 << 20):
-                bad = {doc for doc, *_ in overlaps(batch.column(at).to_pylist(), own, min_words, least)}
-                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    gone = written(passages(docs, classes(benchmark), min_words, least).select(F.col("digest").alias("gone")).distinct(), "gone")
+    return docs.join(gone, F.md5(valid_text()) == gone["gone"], "left_anti")
