@@ -12,7 +12,8 @@ a window around their border anew. Two facts bound the window:
 Decoding joins the bytes of the halves up the same tree.
 
 Rows with null text count as empty (no ids); an empty table gives an empty table; repeated rows and repeated doc_ids give
-a row each; other columns of the input are ignored, whatever their names.
+a row each; other columns of the input are ignored, whatever their names. Bytes that are no UTF-8 count as replacement
+characters; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
@@ -35,6 +37,8 @@ from .common import batches, out_batch, valid_text
 LEAF, LONG_MATCH = 512, 128
 #: A non-space and then a space: the text can be cut between them.
 CUT = re.compile(r"\S[ \n]")
+#: Patterns whose matches are known to end there: a space or newline only begins a match, or follows other spaces.
+CUT_BY = frozenset([public_tokenizers.PATTERN])
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
 DECODED = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -44,6 +48,8 @@ class Codec:
     """Ranks and pattern of one vocabulary file."""
 
     def __init__(self, path: str, pattern: str):
+        if pattern not in CUT_BY:
+            raise ValueError("only patterns of which no match holds a non-space and then a space can be cut there")
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}

@@ -18,8 +18,9 @@ The steps lose no link between different sets:
 
 Components come from the links by passing on least labels, with jumps. Documents without a word (or null text) have an
 empty set and link with nothing; with fewer words than a shingle has, all words are one shingle. doc_id is a key: repeated
-rows are the same document and give a row each. Rows with a null doc_id give a null component. An empty table gives an
-empty result. Other columns are ignored, whatever their names.
+rows are the same document and give a row each. Rows with a null doc_id give a null component. Texts are read whole, and the
+set of one is held at once. Bytes that are no UTF-8 count as replacement characters. An empty table gives an empty result.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ from .words import FACTORS, hashed, mixed
 SHINGLE = 5
 #: Eighths of all shingles that the first support step looks at.
 EIGHTHS = 4
-#: Shingles and documents of a batch that is dealt to buckets.
-PACK, PACK_DOCS = 1_000_000, 60_000
+#: Shingles and documents of a batch that is dealt to buckets, and shingles of a bucket, if each came once.
+PACK, PACK_DOCS, BUCKET = 1_000_000, 60_000, 4_000_000
 #: Sets and shingles of a block in a sorted run, and how many sets it has in common with the next.
 BLOCK, BLOCK_SHINGLES, OVERLAP = 1024, 1_000_000, 48
 #: Children of a node, and words of 64 bits of a hashed bitmap.
@@ -80,28 +81,37 @@ def least(n: int) -> int:
 # Step 2
 
 
-def support(rows: DataFrame, fetch, eighths: int) -> DataFrame:
+def support(rows: DataFrame, fetch, eighths: int, total: int) -> DataFrame:
     """Ids of the documents with enough shingles that another group holds too.
 
-    fetch takes a batch of rows to (ids, groups, sets): numbers of documents and groups, and sorted arrays.
+    fetch takes a batch of rows to (ids, groups, sets): 64-bit numbers of documents and groups, and sorted arrays. total is
+    the number of shingles in all. A batch sends each of its shingles once to the shingle's bucket, with its group if it
+    has one alone; a shingle that every document holds is one entry a batch. What comes back is a bit for each entry, and
+    the batch, which kept its documents' places to itself, counts.
     """
-    buckets = 4 * parallelism(rows.sparkSession)
+    buckets = max(4 * parallelism(rows.sparkSession), -(-total // BUCKET))
 
     def packed(sets: list[np.ndarray], ids: list[int], groups: list[int], batch: int) -> pa.RecordBatch:
         taken = [s[(s >> np.uint64(61)) < eighths] for s in sets]
         tokens = np.concatenate(taken)
         of = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(t) for t in taken])
-        group = np.array(groups, np.int64).astype(np.uint32)
-        bucket = ((tokens >> np.uint64(32)) & np.uint64(0x1FFFFFFF)) % np.uint64(buckets)
-        order = np.argsort(bucket.astype(np.int32), kind="stable")
-        bucket, tokens, of = bucket[order], tokens[order].astype(np.uint32), of[order]
-        which, start = np.unique(bucket, return_index=True)
-        ends = np.append(start, len(bucket))[1:]
-        spans = list(zip(start.tolist(), ends.tolist(), strict=True))
+        order = np.argsort(tokens, kind="stable")
+        tokens, of = tokens[order], of[order]
+        group = np.array(groups, np.int64)[of]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        each, sizes = tokens[starts], np.diff(np.append(starts, len(tokens)))
+        lo, hi = (np.minimum.reduceat(group, starts), np.maximum.reduceat(group, starts)) if len(starts) else (group, group)
+        bucket = (((each >> np.uint64(32)) & np.uint64(0x1FFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        which, first = np.unique(bucket[by], return_index=True)
+        spans = list(zip(first.tolist(), np.append(first, len(by))[1:].tolist(), strict=True))
         # documents of a batch with all shingles looked at, and how many of them no other group may hold
         spare = np.array([len(t) for t in taken], np.int64) - np.array([len(s) - least(len(s)) for s in sets], np.int64)
-        head = [(batch % buckets), batch, 1, np.array(ids, np.int64).tobytes(), spare.tobytes(), b""]
-        columns = [[int(w) for w in which], [batch] * len(spans), [0] * len(spans), [tokens[i:j].tobytes() for i, j in spans], [of[i:j].tobytes() for i, j in spans], [group[of[i:j]].tobytes() for i, j in spans]]
+        # places of the documents in the order that the entries go out in
+        places = of[np.repeat(starts[by] - (np.cumsum(sizes[by]) - sizes[by]), sizes[by]) + np.arange(len(of))] if len(of) else of
+        head = [batch % buckets, batch, 1, np.array(ids, np.int64).tobytes() + spare.tobytes(), places.tobytes(), sizes[by].astype(np.uint32).tobytes()]
+        several = np.where(lo == hi, lo, -1)[by]
+        columns = [which.tolist(), [batch] * len(spans), [0] * len(spans), [each[by[i:j]].astype(np.uint32).tobytes() for i, j in spans], [several[i:j].tobytes() for i, j in spans], [b""] * len(spans)]
         return out_batch(PACKED, [[h, *c] for h, c in zip(head, columns, strict=True)])
 
     def deal(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,32 +131,52 @@ def support(rows: DataFrame, fetch, eighths: int) -> DataFrame:
             yield packed(sets, ids, groups, seq)
 
     def shared(table: pa.Table) -> pa.Table:
-        """Of each batch's rows in a bucket: the documents of shingles that several groups hold, one entry a shingle."""
+        """For each batch's entries in a bucket a bit each: whether several groups hold the shingle. The heads pass through."""
         own = np.array(table.column("own").to_pylist())
-        rows_of = np.flatnonzero(own == 0)
-        tokens = [np.frombuffer(table.column("a")[i].as_py(), np.uint32) for i in rows_of]
-        groups = [np.frombuffer(table.column("c")[i].as_py(), np.uint32) for i in rows_of]
-        docs = [np.frombuffer(table.column("b")[i].as_py(), np.uint16) for i in rows_of]
+        rows_of, heads = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
         found: list[bytes] = []
-        if tokens:
-            pair = np.unique(np.concatenate(tokens).astype(np.uint64) << np.uint64(32) | np.concatenate(groups).astype(np.uint64)) >> np.uint64(32)
-            several = np.unique(pair[1:][pair[1:] == pair[:-1]]).astype(np.uint32)
-            for t, d in zip(tokens, docs, strict=True):
-                at = np.searchsorted(several, t)
-                hit = several[np.minimum(at, len(several) - 1)] == t if len(several) else np.zeros(len(t), bool)
-                found.append(d[hit].tobytes())
-        heads = np.flatnonzero(own == 1)
-        batch = table.column("batch").to_pylist()
-        return pa.Table.from_batches([out_batch(PACKED, [[0] * len(own), [batch[i] for i in [*rows_of, *heads]], [0] * len(rows_of) + [1] * len(heads), found + [table.column("a")[i].as_py() for i in heads], [b""] * len(rows_of) + [table.column("b")[i].as_py() for i in heads], [b""] * len(own)])])
+        if len(rows_of):
+            tokens = [np.frombuffer(table.column("a")[i].as_py(), np.uint32) for i in rows_of]
+            groups = np.concatenate([np.frombuffer(table.column("b")[i].as_py(), np.int64) for i in rows_of])
+            every, entry = np.unique(np.concatenate(tokens), return_inverse=True)
+            lo, hi = np.full(len(every), np.iinfo(np.int64).max), np.full(len(every), -1)
+            np.minimum.at(lo, entry, groups)
+            np.maximum.at(hi, entry, groups)
+            # -1 stands for several groups within one batch
+            many = ((lo != hi) | (lo < 0))[entry]
+            ends = np.cumsum([len(t) for t in tokens])
+            found = [np.packbits(many[j - len(t) : j]).tobytes() for t, j in zip(tokens, ends.tolist(), strict=True)]
+        column = {c: table.column(c).to_pylist() for c in ("bucket", "batch", "a", "b", "c")}
+        kept = [*rows_of.tolist(), *heads.tolist()]
+        return pa.Table.from_batches(
+            [
+                out_batch(
+                    PACKED,
+                    [
+                        [column["bucket"][i] for i in kept],
+                        [column["batch"][i] for i in kept],
+                        [0] * len(rows_of) + [1] * len(heads),
+                        found + [column["a"][i] for i in heads],
+                        [len(column["a"][i]).to_bytes(8, "little") for i in rows_of] + [column["b"][i] for i in heads],
+                        [b""] * len(rows_of) + [column["c"][i] for i in heads],
+                    ],
+                )
+            ]
+        )
 
     def enough(table: pa.Table) -> pa.Table:
-        own = table.column("own").to_pylist()
+        own, bucket = table.column("own").to_pylist(), table.column("bucket").to_pylist()
         head = own.index(1)
-        ids, spare = (np.frombuffer(table.column(c)[head].as_py(), np.int64) for c in "ab")
-        counts = np.zeros(len(ids), np.int64)
-        for i, x in enumerate(own):
-            if not x:
-                counts += np.bincount(np.frombuffer(table.column("a")[i].as_py(), np.uint16), minlength=len(ids))
+        both = np.frombuffer(table.column("a")[head].as_py(), np.int64)
+        ids, spare = both[: len(both) // 2], both[len(both) // 2 :]
+        places, sizes = np.frombuffer(table.column("b")[head].as_py(), np.uint16), np.frombuffer(table.column("c")[head].as_py(), np.uint32)
+        # entries went out by bucket, so the answers on end stand beside the sizes
+        bits = []
+        for i in sorted((i for i, x in enumerate(own) if not x), key=lambda i: bucket[i]):
+            n = int.from_bytes(table.column("b")[i].as_py(), "little") // 4
+            bits.append(np.unpackbits(np.frombuffer(table.column("a")[i].as_py(), np.uint8), count=n))
+        held = np.repeat(np.concatenate(bits).astype(bool), sizes) if bits else np.zeros(0, bool)
+        counts = np.bincount(places[held], minlength=len(ids))
         # all but n - least(n) of the shingles looked at are shared
         return pa.table({"id": ids[counts >= spare]})
 
@@ -423,7 +453,8 @@ def cluster(docs: DataFrame) -> DataFrame:
         groups = mixed(batch.column(1).to_numpy().astype(np.uint64)) >> np.uint64(1)
         return batch.column(0).to_pylist(), groups.tolist(), [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
 
-    first = written(support(rows.where("doc_id is not null"), from_texts, EIGHTHS), "support")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    first = written(support(rows.where("doc_id is not null"), from_texts, EIGHTHS, total), "support")
     kept = written(classes.join(first, classes["rep"] == first["id"], "left_semi").select("rep"), "kept")
 
     def sets_of(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,8 +467,11 @@ def cluster(docs: DataFrame) -> DataFrame:
             yield out_batch(SETS, [batch.column(0), [len(s) for s in sets], [s.tobytes() for s in sets], *keys])
 
     chosen = rows.join(kept.hint("shuffle_hash"), rows["doc_id"] == kept["rep"], "left_semi")
-    sets = written(chosen.mapInArrow(sets_of, SETS).dropDuplicates(["id"]), "sets")
-    second = written(support(sets.select("id", F.col("id").alias("comp"), "shingles"), from_sets, 8), "support")
+    # of different texts under one doc_id the same one stands for it whenever this is worked out
+    names = [f.split()[0] for f in SETS.split(", ")[1:]]
+    made = chosen.mapInArrow(sets_of, SETS).groupBy("id").agg(F.min(F.struct("n", "a0", "b0", *(c for c in names if c not in ("n", "a0", "b0")))).alias("own"))
+    sets = written(made.select("id", *(F.col(f"own.{c}").alias(c) for c in names)), "sets")
+    second = written(support(sets.select("id", F.col("id").alias("comp"), "shingles"), from_sets, 8, total), "support")
     sets = written(sets.join(second, "id", "left_semi"), "sets")
     # 3
     links = run_links(sets, 0)
@@ -448,7 +482,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     # 4
     labelled = sets.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "shingles")
     labelled = written(labelled, "labelled")
-    third = written(support(labelled.select("id", "comp", "shingles"), from_sets, 8), "support")
+    third = written(support(labelled.select("id", "comp", "shingles"), from_sets, 8, total), "support")
     # 5
     rest = written(labelled.join(third, "id", "left_semi"), "rest")
     more = written(completion(rest), "links")

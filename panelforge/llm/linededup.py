@@ -14,8 +14,9 @@ keeps its earliest line, and the rule needs no transitive closure.
 4. The words of each line and its earliest partner are compared, and the edit distance verified.
 
 Null texts have no lines; rows with a null doc_id take no part and keep their lines. doc_id is a key: rows that repeat one
-are taken for the same document, and its drops hold for each of them. Empty tables give empty results. find() ignores other columns; without() keeps
-them, whatever their names.
+are taken for the same document, and its drops hold for each of them. Empty tables give empty results. Texts and lines of
+any length are read whole; bytes that are no UTF-8 count as replacement characters, and without() leaves them so. find()
+ignores other columns; without() keeps them, whatever their names.
 """
 
 from __future__ import annotations

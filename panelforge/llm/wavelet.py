@@ -3,18 +3,23 @@
 Documents are range-partitioned by doc_id, encoded, and cut into shards at document borders. A shard's file holds the
 doc_ids, the lengths and one bit-plane for each bit of an id, highest first. In plane l the ids stand in the order that
 a stable partition by the bits above l gives them, zeros first, so a rank on each plane leads from a position to the
-next plane. Access, counts, ranks, and the place of the k-th occurrence need only the planes and their running counts.
+next plane. Planes are cut into blocks, each compressed by itself; a directory of the ones before each block is the start of
+every rank and select. Access, counts, ranks, and the place of the k-th occurrence read the directory and a few blocks of
+each plane.
 
 Encoding looks words up in a bounded table of what the tokenizer made of them: between a non-space and a space the
 pattern of these vocabularies always splits, so stretches between such cuts can be encoded apart.
 Texts that hold an added token (none has a space) get its id, as from the library's plain call.
 
 Null texts count as empty: the end id alone. An empty table gives no shard and an empty result. Repeated doc_ids get a
-place each, in the order of their texts. Other columns are ignored, whatever their names.
+place each, in the order of their texts. Bytes that are no UTF-8 count as replacement characters. A text of any length is
+encoded whole and lies in one shard, which is held in memory while it is built. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import zlib
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import batches, fresh_path, open_fs, out_batch, parallelism, valid_text, write_file, written
 
-MAGIC = b"PFWM0001"
+MAGIC = b"PFWM0002"
+#: Bits of a block of a plane, the unit of the directory and of reads.
+BLOCK = 1 << 14
 #: Ids in a shard before it is closed, and entries of the word table before it starts anew.
 SHARD_IDS, TABLE = 1 << 22, 1_500_000
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -43,11 +50,14 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class WaveletMatrix:
-    """Ids below 2 ** levels; planes are packed bits, lowest bit of a byte first."""
+    """Ids below 2 ** levels; planes are packed bits, lowest bit of a byte first, in blocks of BLOCK bits.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._counts: list[np.ndarray | None] = [None] * len(planes)
+    before[l][b] is how many ones plane l has before block b, the directory that rank and select start from. A matrix
+    is held in memory or read from a file block by block, as block() gives them.
+    """
+
+    def __init__(self, n: int, zeros: list[int], before: list[np.ndarray], block):
+        self.n, self.zeros, self.before, self.block = n, zeros, before, block
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
@@ -58,34 +68,43 @@ class WaveletMatrix:
             low = now.take(np.flatnonzero(~bit))
             zeros.append(len(low))
             now = np.concatenate([low, now.take(np.flatnonzero(bit))])
-        return cls(len(ids), planes, zeros)
+        size = BLOCK // 8
+        before = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), size)))]) if len(p) else np.zeros(1, np.int64) for p in planes]
+        return cls(len(ids), zeros, before, lambda level, b: planes[level][b * size : (b + 1) * size])
 
-    def bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+    def plane(self, level: int) -> np.ndarray:
+        """A whole plane, packed."""
+        return np.concatenate([np.zeros(0, np.uint8), *(self.block(level, b) for b in range(len(self.before[level]) - 1))])
 
     def all(self, kind=np.uint32) -> np.ndarray:
         """Every id in its place: the planes undone from the lowest."""
         ids = np.zeros(self.n, kind)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit, up = self.bits(level), np.empty(self.n, kind)
+        for level in range(len(self.zeros) - 1, -1, -1):
+            bit, up = np.unpackbits(self.plane(level), count=self.n, bitorder="little").view(bool), np.empty(self.n, kind)
             up[np.flatnonzero(~bit)] = ids[: self.zeros[level]]
-            up[np.flatnonzero(bit)] = ids[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(bit)] = ids[self.zeros[level] :] | kind(1 << (len(self.zeros) - 1 - level))
             ids = up
         return ids
 
     def ones_before(self, level: int, at):
         """Ones among the first at bits of a plane; at may be an array."""
-        if self._counts[level] is None:
-            self._counts[level] = np.concatenate([[0], np.cumsum(np.bitwise_count(self.planes[level]), dtype=np.int64)])
         at = np.asarray(at, dtype=np.int64)
-        tail = np.append(self.planes[level], np.uint8(0))[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)
-        return self._counts[level][at >> 3] + np.bitwise_count(tail)
+        flat, b = at.ravel(), at.ravel() // BLOCK
+        out = self.before[level][b]
+        for u in np.unique(b[flat > b * BLOCK]).tolist():
+            data = self.block(level, u)
+            upto = np.concatenate([[0], np.cumsum(np.bitwise_count(data), dtype=np.int64)])
+            here = np.flatnonzero(b == u)
+            inside = flat[here] - u * BLOCK
+            tail = np.append(data, np.uint8(0))[inside >> 3] & ((1 << (inside & 7)) - 1).astype(np.uint8)
+            out[here] += upto[inside >> 3] + np.bitwise_count(tail)
+        return out.reshape(at.shape)
 
     def access(self, at):
         """The ids at these positions."""
         at = np.asarray(at, dtype=np.int64)
         ids = np.zeros_like(at)
-        for level in range(len(self.planes)):
+        for level in range(len(self.zeros)):
             ones = self.ones_before(level, at)
             bit = self.ones_before(level, at + 1) - ones
             ids = ids << 1 | bit
@@ -95,9 +114,9 @@ class WaveletMatrix:
     def _walk(self, id_: int, at: int) -> tuple[int, int]:
         """Where the run of an id begins on the last plane, and how far the first at positions reach into it."""
         lo, hi = 0, at
-        for level in range(len(self.planes)):
-            a, b = int(self.ones_before(level, lo)), int(self.ones_before(level, hi))
-            if id_ >> (len(self.planes) - 1 - level) & 1:
+        for level in range(len(self.zeros)):
+            a, b = self.ones_before(level, [lo, hi]).tolist()
+            if id_ >> (len(self.zeros) - 1 - level) & 1:
                 lo, hi = self.zeros[level] + a, self.zeros[level] + b
             else:
                 lo, hi = lo - a, hi - b
@@ -105,7 +124,7 @@ class WaveletMatrix:
 
     def rank(self, id_: int, at: int) -> int:
         """Occurrences of an id among the first at positions."""
-        if id_ >> len(self.planes):
+        if id_ >> len(self.zeros):
             return 0
         lo, hi = self._walk(id_, at)
         return hi - lo
@@ -113,44 +132,73 @@ class WaveletMatrix:
     def count(self, id_: int) -> int:
         return self.rank(id_, self.n)
 
+    def _nth(self, level: int, one: int, k: int) -> int:
+        """The position of the k-th one or zero of a plane: the directory gives its block."""
+        ones = self.before[level]
+        counts = ones if one else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        b = int(np.searchsorted(counts, k, side="right")) - 1
+        bits = np.unpackbits(self.block(level, b), bitorder="little")[: self.n - b * BLOCK]
+        return b * BLOCK + int(np.flatnonzero(bits == one)[k - int(counts[b])])
+
     def select(self, id_: int, k: int) -> int:
         """The position of the k-th occurrence, counted from 0; -1 if there are fewer."""
         if not 0 <= k < self.count(id_):
             return -1
         at = self._walk(id_, 0)[0] + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            one = id_ >> (len(self.planes) - 1 - level) & 1
-            want = at - self.zeros[level] if one else at
-            lo, hi = 0, self.n - 1  # the first position with more than want such bits up to it
-            while lo < hi:
-                mid = (lo + hi) // 2
-                ones = int(self.ones_before(level, mid + 1))
-                lo, hi = (lo, mid) if (ones if one else mid + 1 - ones) > want else (mid + 1, hi)
-            at = lo
+        for level in range(len(self.zeros) - 1, -1, -1):
+            one = id_ >> (len(self.zeros) - 1 - level) & 1
+            at = self._nth(level, one, at - self.zeros[level] if one else at)
         return at
 
 
 def dump(doc_ids: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix, nulls: list[int]) -> list[bytes]:
-    """The parts of a shard's file."""
+    """The parts of a shard's file: head, doc_ids and lengths, the directory, then the planes' blocks, each compressed by itself."""
     press = zstandard.ZstdCompressor(level=1).compress
-    parts = [press(x.tobytes()) for x in (doc_ids.astype("<i8"), lengths.astype("<i8"), *matrix.planes)]
-    head = json.dumps({"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "null_ids": nulls, "sizes": [len(p) for p in parts]}).encode()
-    return [MAGIC, len(head).to_bytes(8, "little"), head, *parts]
-
-
-def load(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
-    """doc_ids, lengths and matrix of a shard's file."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a shard of token ids")
-    size = int.from_bytes(data[8:16], "little")
-    head, at, parts = json.loads(data[16 : 16 + size]), 16 + size, []
-    for n in head["sizes"]:
-        parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]) if n else b"")
-        at += n
-    doc_ids = np.frombuffer(parts[0], "<i8").tolist()
-    for i in head["null_ids"]:
-        doc_ids[i] = None
-    return doc_ids, np.frombuffer(parts[1], "<i8"), WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[2:]], head["zeros"])
+    blocks = [press(matrix.block(level, b).tobytes()) for level in range(len(matrix.zeros)) for b in range(len(matrix.before[level]) - 1)]
+    ones = np.concatenate([np.zeros(0, np.int64), *matrix.before]).astype("<i8")
+    starts = np.cumsum([0, *map(len, blocks)]).astype("<i8")
+    parts = [press(x.tobytes()) for x in (doc_ids.astype("<i8"), lengths.astype("<i8"), ones, starts)]
+    head = json.dumps({"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "null_ids": nulls, "block": BLOCK, "sizes": [len(p) for p in parts]}).encode()
+    return [MAGIC, len(head).to_bytes(8, "little"), head, *parts, *blocks]
+
+
+class ShardFile:
+    """A shard's file (any object with seek and read): the head and directory are read, blocks when they are asked for."""
+
+    def __init__(self, file):
+        self.file = file
+        start = file.read(16)
+        if start[:8] != MAGIC:
+            raise ValueError("not a shard of token ids")
+        size = int.from_bytes(start[8:16], "little")
+        self.head = json.loads(file.read(size))
+        if self.head["block"] != BLOCK:
+            raise ValueError(f"blocks of {self.head['block']} bits can't be read as of {BLOCK}")
+        self.at = np.cumsum([16 + size, *self.head["sizes"]]).tolist()
+        self.unpress = zstandard.ZstdDecompressor().decompress
+        ones, self.starts = self._part(2), self._part(3) + self.at[4]
+        n, levels = self.head["n"], len(self.head["zeros"])
+        self.per = -(-n // BLOCK)
+        self.held = lru_cache(64)(self._block)
+        self.matrix = WaveletMatrix(n, self.head["zeros"], list(ones.reshape(levels, self.per + 1)) if levels else [], self.held)
+
+    def _read(self, start: int, end: int) -> bytes:
+        self.file.seek(start)
+        return self.file.read(end - start)
+
+    def _part(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.unpress(self._read(self.at[i], self.at[i + 1])), "<i8")
+
+    def _block(self, level: int, b: int) -> np.ndarray:
+        i = level * self.per + b
+        return np.frombuffer(self.unpress(self._read(int(self.starts[i]), int(self.starts[i + 1]))), np.uint8)
+
+    def documents(self) -> tuple[list, np.ndarray]:
+        """doc_ids and lengths."""
+        doc_ids = self._part(0).tolist()
+        for i in self.head["null_ids"]:
+            doc_ids[i] = None
+        return doc_ids, self._part(1)
 
 
 class Encoder:
@@ -160,6 +208,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        own = json.loads(self.tokenizer.to_str())
+        splits, added = own["pre_tokenizer"] or {}, [t["content"] for t in own["added_tokens"]]
+        if own["normalizer"] or own["post_processor"] or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex") or own["model"]["type"] != "BPE":
+            raise ValueError("only byte-level BPE with its own splitting pattern is known to split between a non-space and a space")
+        if any(c.isspace() for t in added for c in t):
+            raise ValueError("an added token with a space could be cut")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.levels = max(vocab.values()).bit_length()
         self.kind = np.uint16 if self.levels <= 16 else np.uint32
@@ -311,8 +365,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 files, at = open_fs(file)
                 with files.open_input_file(at) as f:
-                    doc_ids, lengths, matrix = load(f.read())
-                ids = matrix.all(np.uint16 if len(matrix.planes) <= 16 else np.uint32).astype("<u4")
+                    shard = ShardFile(io.BytesIO(f.read()))  # every id is wanted here
+                doc_ids, lengths = shard.documents()
+                ids = shard.matrix.all(np.uint16 if len(shard.head["zeros"]) <= 16 else np.uint32).astype("<u4")
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(ids[lo:hi]) for lo, hi in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield out_batch(ROWS, [doc_ids, start + ends - lengths, lengths, crcs])

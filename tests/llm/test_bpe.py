@@ -54,3 +54,10 @@ def test_frames(spark, plain):
     assert sorted((r["doc_id"] or 0, bytes(r["decoded"]).decode()) for r in found) == sorted((i or 0, t or "") for i, t, _ in rows)
     assert all(np.frombuffer(r["ids"], "<u4").tolist() == plain(bytes(r["decoded"]).decode()) and len(r["ids"]) == 4 * r["n_tokens"] for r in found)
     assert bpe.encode_documents(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_other_patterns_are_refused(spark):
+    with pytest.raises(ValueError):
+        bpe.Codec(PATH, r"\S+ ?|\s+")
+    bad = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF' AS STRING) AS text")
+    assert bytes(bpe.decode_documents(bpe.encode_documents(bad, PATH, PATTERN), PATH, PATTERN).first()["decoded"]) == "a\ufffd".encode()

@@ -1,3 +1,5 @@
+import io
+import json
 import zlib
 
 import numpy as np
@@ -14,11 +16,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 FRESH = Tokenizer.from_file(PATH)
 
 
+@pytest.mark.parametrize("block", [1 << 14, 64])
 @pytest.mark.parametrize("n,top", [(0, 5), (1, 1), (63, 3), (64, 300), (5000, 50_000)])
-def test_matrix(n, top):
+def test_matrix(monkeypatch, n, top, block):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
     levels = max(1, int(top - 1).bit_length())
-    matrix = wavelet.load(b"".join(wavelet.dump(np.zeros(0), np.zeros(0), wavelet.WaveletMatrix.build(ids, levels), [])))[2]
+    monkeypatch.setattr(wavelet, "BLOCK", block)
+    matrix = wavelet.ShardFile(io.BytesIO(b"".join(wavelet.dump(np.zeros(0), np.zeros(0), wavelet.WaveletMatrix.build(ids, levels), [])))).matrix
     assert (matrix.all() == ids).all() and (matrix.access(np.arange(n)) == ids).all()
     for id_ in {*ids[:20].tolist(), 0, top - 1}:
         at = np.flatnonzero(ids == id_)
@@ -56,7 +60,7 @@ def test_shards(spark):
     assert [r["ids_crc32"] for r in found] == [zlib.crc32(w.tobytes()) for w in want]
     files, at = open_fs(manifest.orderBy("part", "seq").first()["file"])
     with files.open_input_file(at) as f:
-        assert wavelet.load(f.read())[2].count(2) >= 1
+        assert wavelet.ShardFile(f).matrix.count(2) >= 1
     assert wavelet.read_shards(wavelet.write_shards(docs.limit(0), PATH, 2)).count() == 0
 
 
@@ -88,3 +92,40 @@ def test_shards_of_texts_with_added_tokens(spark):
     want, found = library(HOLDING, 2), sorted(wavelet.read_shards(wavelet.write_shards(docs, PATH, 2)).collect(), key=lambda r: r["start"])
     assert [r["n_tokens"] for r in found] == list(map(len, want)) and [r["start"] for r in found] == np.cumsum([0, *map(len, want)])[:-1].tolist()
     assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
+
+
+class Counted(io.BytesIO):
+    n = 0
+
+    def read(self, size=-1):
+        data = super().read(size)
+        self.n += len(data)
+        return data
+
+
+def test_lookups_read_a_small_part_of_the_file():
+    ids = np.random.default_rng(3).zipf(1.2, 2_000_000).clip(max=50_000).astype(np.uint32)
+    data = b"".join(wavelet.dump(np.arange(4), np.full(4, 500_000), wavelet.WaveletMatrix.build(ids, 16), []))
+    for ask, want in (
+        (lambda m: int(m.access(1_234_567)), int(ids[1_234_567])),
+        (lambda m: m.count(7), int((ids == 7).sum())),
+        (lambda m: m.rank(3, 900_000), int((ids[:900_000] == 3).sum())),
+        (lambda m: m.select(1, 100_000), int(np.flatnonzero(ids == 1)[100_000])),
+    ):
+        file = Counted(data)
+        shard = wavelet.ShardFile(file)
+        assert ask(shard.matrix) == want and file.n < len(data) / 10
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    own = json.loads(FRESH.to_str())
+    own["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(own))
+    with pytest.raises(ValueError):
+        wavelet.Encoder(str(tmp_path / "t.json"))
+
+
+def test_bytes_that_are_no_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF' AS STRING) AS text")
+    row = wavelet.read_shards(wavelet.write_shards(docs, PATH, 2)).first()
+    assert row["n_tokens"] == len(library(["a\ufffd"], 2)[0])
