@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, out_batch, valid_text, written
@@ -263,12 +263,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     for r in seen.where("hash is null").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect():  # at most kinds x 3 ** labelers rows
         table.setdefault(r["kind"], {})[tuple(map(int, r["pattern"]))] = r["n"]
     chances = {kind: reliabilities(counts)[2] for kind, counts in table.items()}
-    least = F.row_number().over(Window.partitionBy("kind").orderBy("hash"))
-    chosen = seen.where("hash is not null").dropDuplicates(["kind", "hash"]).withColumn("place", least).where(F.col("place") <= sample)
-    rows: dict[int, list] = {}
-    for r in chosen.orderBy("kind", "hash").collect():  # at most kinds x sample rows
-        rows.setdefault(r["kind"], []).append((r["features"], chances[r["kind"]][tuple(map(int, r["pattern"]))]))
-    return {kind: classifier([x for x, _ in own], [p for _, p in own]) for kind, own in rows.items()}
+    out = {}
+    for kind, chance in chances.items():
+        chosen = seen.where((F.col("kind") == kind) & F.col("hash").isNotNull()).groupBy("hash").agg(F.min(F.struct("pattern", "features")).alias("own"))
+        rows = chosen.orderBy("hash").limit(sample).collect()
+        out[kind] = classifier([r["own"]["features"] for r in rows], [chance[tuple(map(int, r["own"]["pattern"]))] for r in rows])
+    return out
 
 
 def find(docs: DataFrame, weights: dict[int, np.ndarray], least: float = 0.9) -> DataFrame:
