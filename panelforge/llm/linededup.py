@@ -197,17 +197,20 @@ def find(docs: DataFrame, min_words: int = 3, edit_words: int = 8) -> DataFrame:
 def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """The rows of docs, with the lines of drops (doc_id, line) taken out of their texts."""
     columns = docs.columns
-    lists = written(drops.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone")).withColumnRenamed("doc_id", "of"), "drops")
-    place = docs.columns.index("text")
+    taken, of, gone = {c.lower() for c in columns}, "of", "gone"
+    while {of, gone} & taken:
+        of, gone = f"_{of}", f"_{gone}"
+    lists = written(drops.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias(gone)).withColumnRenamed("doc_id", of), "drops")
+    place = columns.index("text")
     docs = docs.withColumn("text", valid_text())
-    joined = docs.join(lists.hint("shuffle_hash"), docs["doc_id"] == lists["of"], "left").select(*(docs[c] for c in columns), lists["gone"])
+    joined = docs.join(lists.hint("shuffle_hash"), docs["doc_id"] == lists[of], "left").drop(of)
 
     def run(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batched):
             texts = batch.column(place).to_pylist()
-            for i, gone in enumerate(batch.column(len(columns)).to_pylist()):
-                if gone and texts[i] is not None:
-                    out = set(gone)
+            for i, own in enumerate(batch.column(len(columns)).to_pylist()):
+                if own and texts[i] is not None:
+                    out = set(own)
                     texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in out)
             kept = batch.columns[: len(columns)]
             kept[place] = pa.array(texts, batch.schema.field(place).type)

@@ -78,3 +78,26 @@ def test_repeated_rows(spark):
     assert left.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == want
     whole = corpus_pipeline.near_duplicates(spark, written(corpus_pipeline.lines(spark, docs, SF), "t"), SF)
     assert sorted(r["doc_id"] for r in whole.collect() if r["doc_id"]) == [1, 2, 3]
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        left = written(stage(spark, left, SF), "t")
+        assert left.count() == 0
+    names = ["gone", "of", "place", "row", "lang_pred", "score", "digest", "chosen"]
+    odd = docs.where("doc_id < 60").selectExpr("*", *(f"doc_id * 2 AS {n}" for n in names))
+    plain, left = docs.where("doc_id < 60"), odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, left = written(stage(spark, plain, SF), "t"), written(stage(spark, left, SF), "t")
+        assert left.columns == odd.columns and texts([r.asDict() for r in left.collect()]) == texts([r.asDict() for r in plain.collect()])
+        assert all(r[n] == 2 * r["doc_id"] for r in left.collect() for n in names)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(concat(X'FF', encode(' one two three four five six', 'utf-8')) AS STRING) AS text, 'en' AS lang, 's' AS source, 5 AS n_chars").to(schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "t")
+    assert docs.first()["text"] == "\ufffd one two three four five six"
