@@ -2,6 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; the last returns the token ids of the texts that remain.
+
+What happens to odd rows: a null or empty text, or one without a letter, goes with language ID. A null lang is filled in, a
+given one stays. Rows without a doc_id keep all their lines, are no near-duplicates of any row, and stay unless they hold a
+passage of the benchmark; other columns may be null. Of equal lines and near-equal documents the earliest by doc_id stays; of
+rows that repeat a doc_id, one, that with the first text. Texts of any length are worked on whole; bytes that are no UTF-8
+become replacement characters in the first stage. An empty table gives an empty result. Further columns are kept by all
+stages but the last, whatever their names.
 """
 
 from __future__ import annotations
