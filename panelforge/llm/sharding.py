@@ -7,7 +7,8 @@ by level, until one partial partition is left. Going back down the levels, each
 
 A group is all rows with equal texts and stays in one shard; null texts are a group. A group of more bytes than a shard's
 part has a shard for itself, which is larger than the others. An empty table gives an empty result. Slots number the rows of a shard by
-bucket of doc_id, doc_id, size and CRC. Other columns are ignored, whatever their names.
+bucket of doc_id, doc_id, size and CRC; rows equal in all of these, such as many without a doc_id, are counted before they
+are sent and numbered in pieces. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import parallelism, written
 
 #: Groups in a bucket, and buckets combined in one task or on the driver.
 BUCKET, FAN = 20_000, 512
+#: Equal rows that one piece of a run numbers.
+RUN = 10_000
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,10 +157,17 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     by_group = group_shards(rows.groupBy("h1", "h2").agg(F.sum("size").alias("size")), ["h1", "h2"], shards)
     buckets = parallelism(docs.sparkSession)
     placed = rows.join(by_group, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
-    placed = written(placed, "placed")
-    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    # rows that are equal in all of these are counted before they are sent, and numbered in runs
+    runs = written(placed.groupBy("shard", "bucket", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "placed")
+    counts = runs.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = written(counts.select("shard", "bucket", before.alias("before")), "starts")
-    at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32"))
-    numbered = placed.withColumn("at", at).join(starts, ["shard", "bucket"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    upto = F.sum("n").over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = runs.withColumn("from", upto - F.col("n")).join(starts, ["shard", "bucket"]).withColumn("from", F.col("before") + F.col("from"))
+    short, long = numbered.where(F.col("n") <= RUN), numbered.where(F.col("n") > RUN)
+    # a long run is cut into pieces that are dealt to all tasks
+    cut = long.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN))))
+    pieces = cut.select("doc_id", "size", "text_crc32", "shard", (F.col("from") + F.col("piece") * RUN).alias("from"), F.least(F.lit(RUN).cast("long"), F.col("n") - F.col("piece") * RUN).alias("n")).repartition(buckets)
+    every = short.select("doc_id", "size", "text_crc32", "shard", "from", "n").unionByName(pieces)
+    slots = every.withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -45,5 +45,18 @@ def test_documents(spark, monkeypatch, fan, bucket):
     assert {r["law"] for r in found} == {"bytes"} and {r["grown_shard"] for r in found} == {None}
 
 
+def test_runs_of_equal_rows(spark, monkeypatch):
+    """A third of all rows without a doc_id and with one text, and a doc_id that is repeated: every row has a slot of its own."""
+    monkeypatch.setattr(sharding, "RUN", 7)
+    docs = spark.range(300).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 5 else id end as doc_id", "case when id % 3 = 2 then concat('t', id) else 'same' end as text")
+    found = sharding.shard_documents(docs, 4).collect()
+    slots = {}
+    for r in found:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(found) == 300 and sum(r["doc_id"] is None for r in found) == 100 and sum(r["doc_id"] == 5 for r in found) == 101
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in found if r["doc_id"] is None}) == 1
+
+
 def test_empty(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
