@@ -388,7 +388,7 @@ def nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Walk-forward options
 
 
-@query(f"{NORMAL}, g AS (SELECT sum(f1 * f1) AS a, sum(f1) AS b, count(*) AS n, sum(f1 * y) AS c, sum(y) AS d FROM z WHERE y IS NOT NULL), w AS (SELECT (n * c - b * d) / (n * a - b * b) AS w1, (d * a - b * c) / (n * a - b * b) AS w0 FROM g) SELECT m.method, {s5('w1')} AS b1, 0.0 AS b2, {s5('w0')} AS b3 FROM w, (VALUES ('cols'), ('vif')) AS m(method)")
+@query(f"{NORMAL}, g AS (SELECT sum(f1 * f1) AS a, sum(f1) AS b, count(*) AS n, sum(f1 * y) AS c, sum(y) AS d FROM z WHERE y IS NOT NULL), w AS (SELECT (n * c - b * d) / (n * a - b * b) AS w1, (d * a - b * c) / (n * a - b * b) AS w0 FROM g) SELECT m.method, {s5('w1')} AS b1, CAST(0 AS DOUBLE) AS b2, {s5('w0')} AS b3 FROM w, (VALUES ('cols'), ('vif')) AS m(method)")
 def regression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A regression on a factor and its double: the double is taken out, by rank or by inflation."""
     cells = combine.daily_products(normal_factors(spark, sf_dir).withColumn("twice", 2 * F.col("f1")).withColumn(POS, F.lit(1)), ["f1", "twice"], "y")
@@ -470,7 +470,7 @@ def candidate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('TsMean($close,5)', 'TsMean($close,5)', 1, 4, 0, 1.0), ('Ref($close,3)', 'Ref($close,3)', 1, 3, 0, 1.0), ('TsStd(TsDelta($close,2),4)', 'TsStd(TsDelta($close,2),4)', 2, 5, 0, 1.0),
+    """SELECT name, text, depth, back, ahead, CAST(dimension AS DOUBLE) AS dimension FROM (VALUES ('TsMean($close,5)', 'TsMean($close,5)', 1, 4, 0, 1.0), ('Ref($close,3)', 'Ref($close,3)', 1, 3, 0, 1.0), ('TsStd(TsDelta($close,2),4)', 'TsStd(TsDelta($close,2),4)', 2, 5, 0, 1.0),
     ('$close + 1', 'Add($close,1.0)', 0, 0, 0, 1.0), ('1 - $close', 'Sub(1.0,$close)', 0, 0, 0, 1.0), ('$close * $vol / 2', 'Div(Mul($close,$vol),2.0)', 0, 0, 0, 2.0), ('$close ** 2', 'Pow($close,2.0)', 0, 0, 0, 2.0),
     ('-$close', 'Sub(0.0,$close)', 0, 0, 0, 1.0), ('abs($close)', 'Abs($close)', 0, 0, 0, 1.0), ('lead', 'Ref($close,-2)', 1, 0, 2, 1.0), ('corr', 'TsCorr($close,$vol,6)', 1, 5, 0, 0.0)) AS v(name, text, depth, back, ahead, dimension)"""
 )
