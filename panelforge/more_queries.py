@@ -377,6 +377,33 @@ def single_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(zip(FACTORS, map(float, scores), strict=True)), "factor string, score double").select("factor", r5(F.col("score")).alias("score"))
 
 
+@query(
+    f"""{SCORED}, d AS (SELECT date, {', '.join(f'{pearson_sql(f, "y")} AS {f}_y, {pearson_sql(f, "f1")} AS {f}_x' for f in FACTORS)} FROM s GROUP BY date), m AS (SELECT {', '.join(f'abs(avg({f}_y)) AS {f}_y, abs(avg({f}_x)) AS {f}_x' for f in FACTORS)} FROM d),
+    r AS (SELECT 'f1' AS factor, f1_y AS ic, 1.0 AS novelty FROM m UNION ALL SELECT 'f2', CASE WHEN f2_x > 0.99 THEN 0 ELSE f2_y END, CASE WHEN f2_x > 0.99 THEN 1 ELSE 1 - f2_x END FROM m UNION ALL SELECT 'f3', CASE WHEN f3_x > 0.99 THEN 0 ELSE f3_y END, CASE WHEN f3_x > 0.99 THEN 1 ELSE 1 - f3_x END FROM m)
+    SELECT factor, {s5("ic")} AS ic, {s5("novelty")} AS novelty FROM r"""
+)
+def novelty_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each factor foretells, and how new it is beside a pool of the first."""
+    own = pool.score(scored(spark, sf_dir), list(FACTORS), "y")
+    rows = []
+    for i, f in enumerate(FACTORS):
+        taken = pool.Pool(capacity=1, by_ic=True, most_mutual=0.3)
+        if i:
+            taken.offer("f1", float(own.ic[0]), [])
+        rows.append((f, *map(float, taken.offer(f, float(own.ic[i]), [own.mutual[i, 0]] if i else []))))
+    return spark.createDataFrame(rows, "factor string, ic double, novelty double").select("factor", *(r5(F.col(c)).alias(c) for c in ("ic", "novelty")))
+
+
+@query(
+    f"""{NORMAL}, d AS (SELECT date, avg(pow(coalesce(f1, 0) - coalesce(f2, 0), 2)) AS a, avg(pow(coalesce(f1, 0) - coalesce(f3, 0), 2)) AS b FROM z GROUP BY date)
+    SELECT {s5("exp(-(exp(-0.25) * avg(a) + exp(-1.0) * avg(b)) / (exp(-0.25) + exp(-1.0)))")} AS reward FROM d"""
+)
+def consistency_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near a factor's values are to those of two neighbours, the nearer one counting more."""
+    found = pool.consistency(normal_factors(spark, sf_dir), "f1", {"f2": 0.5, "f3": 1.0})
+    return spark.createDataFrame([(found,)], "reward double").select(r5(F.col("reward")).alias("reward"))
+
+
 @query("WITH q AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS d FROM embeddings) SELECT vec_id, floor(d * 1e4 + 0.50037) / 1e4 AS distance FROM (SELECT *, row_number() OVER (ORDER BY d, vec_id) AS k FROM q) AS x WHERE k <= 4")
 def nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows nearest to the first one's vector."""

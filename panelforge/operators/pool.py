@@ -92,6 +92,19 @@ class Pool:
             self._weigh()
         return expr in self.exprs
 
+    def offer(self, expr: str, ic: float, with_pool: Sequence[float]) -> tuple[float, float]:
+        """Offer a candidate: the size of its correlation with the target, and how new it is (1 less the largest size of those with the pool).
+
+        While there is room it is taken in; in a full pool only if it foretells better than the weakest, which gives way.
+        Bounds and policies are those of add. A candidate all but equal to one of the pool, or without a correlation, is worth (0, 1)."""
+        own = np.abs(np.asarray(with_pool, float))
+        near = float(own.max()) if len(own) else 0.0
+        if not np.isfinite(ic) or not np.isfinite(own).all() or near > 0.99:
+            return 0.0, 1.0
+        if len(self.exprs) < self.capacity or abs(ic) > min(abs(x) for x in self.ics):
+            self.add(expr, abs(ic), own)
+        return abs(ic), 1.0 - near
+
     def _weigh(self) -> None:
         self.weights = lasso_weights(self.mutual, np.array(self.ics), self.alpha)
 
@@ -196,6 +209,18 @@ def neighbours(embeddings: DataFrame, query: Sequence[float], k: int = 3) -> Dat
     return embeddings.withColumn("distance", F.sqrt(square)).orderBy("distance", "vec_id").limit(k)
 
 
+def differences(frame: DataFrame, name: str, others: Sequence[str]) -> list[float]:
+    """For each other column, the mean over dates of the mean squared difference from a column; missing values count as 0."""
+    own = F.coalesce(F.col(name), F.lit(0.0))
+    daily = frame.groupBy(DATE).agg(*(F.avg(F.pow(own - F.coalesce(F.col(o), F.lit(0.0)), 2)).alias(f"d{i}") for i, o in enumerate(others)))
+    return [float(x or 0.0) for x in daily.agg(*(F.avg(f"d{i}") for i in range(len(others)))).first()]
+
+
+def consistency(frame: DataFrame, name: str, neighbours: dict[str, float], temperature: float = 1.0) -> float:
+    """The reward of a column for being near its neighbours (a column and its embedding's distance); 0 without any."""
+    return distance_reward(list(neighbours.values()), differences(frame, name, list(neighbours)), temperature) if neighbours else 0.0
+
+
 def distance_reward(distances: Sequence[float], errors: Sequence[float], temperature: float = 1.0) -> float:
     """exp of minus the errors' mean, weighted by closeness."""
     d = -np.square(np.asarray(distances, float)) / temperature

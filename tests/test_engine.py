@@ -133,6 +133,11 @@ def test_pool(frame):
     assert not strict.add("$a", 0.1, [])
     apart = Pool(capacity=3, most_mutual=0.3)
     assert apart.add("$a", 0.1, []) and not apart.add("$b", 0.1, [0.5])
+    full = Pool(capacity=1, most_mutual=0.3, by_ic=True)
+    assert full.offer("$a", -0.2, []) == (0.2, 1.0) and full.offer("$b", 0.2, [-0.25]) == (0.2, 0.75) and full.exprs == ["$a"]
+    assert full.offer("$c", 0.3, [0.5]) == (0.3, 0.5) and full.exprs == ["$a"]  # too near, though better
+    assert full.offer("$d", 0.3, [0.1]) == (0.3, 0.9) and full.exprs == ["$d"]
+    assert full.offer("$e", 0.4, [-1.0]) == full.offer("$e", math.nan, [0.0]) == (0.0, 1.0)
     assert set(json.loads(apart.to_json())) == {"exprs", "weights", "ics_ret"}
     assert distance_reward([0.0, 10.0], [1.0, 100.0]) == pytest.approx(math.exp(-1), rel=1e-3)
 
