@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ieee import INF
+
 #: Bytes of rows worked on at once, and of sums held before they are sent on.
 ROWS, HELD = 32 << 20, 64 << 20
 
@@ -85,15 +87,21 @@ def correlations(moments: np.ndarray, k: int, flat: float = 1e-3) -> np.ndarray:
 def daily_correlations(frame: DataFrame, day: Column, names: Sequence[str]) -> DataFrame:
     """day, a, b and ic: the correlation of each pair of columns (by place, a < b) on each day, from one pass over the rows."""
     k = len(names)
-    upper = np.triu_indices(k, 1)
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            for day_, cells in zip(pdf["day"], pdf["cells"], strict=True):
-                found = correlations(np.asarray(cells, float), k)
-                yield pd.DataFrame({"day": day_, "a": upper[0], "b": upper[1], "ic": found[upper]})
-
     rows = frame.select(day.cast("int").alias("day"), *(F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)))
-    return arrays(sums_by(rows, pair_moments, 4 * k * k)).mapInPandas(run, "day int, a int, b int, ic double")
+    found = arrays(sums_by(rows, pair_moments, 4 * k * k))
+
+    def moment(i: int, a: Column, b: Column) -> Column:
+        return F.get("cells", a * k + b + i * k * k)
+
+    def correlated(pair: Column) -> Column:
+        """As in correlations, of one pair."""
+        a, b = pair["a"], pair["b"]
+        n = F.nullif(moment(0, a, b), F.lit(0.0))
+        means = [moment(1, x, y) / n for x, y in ((a, b), (b, a))]
+        spreads = [F.sqrt(F.greatest(moment(2, x, y) / n - mean * mean, F.lit(0.0))) for (x, y), mean in zip(((a, b), (b, a)), means, strict=True)]
+        scale = F.when((spreads[0] < 1e-3) | (spreads[1] < 1e-3), F.lit(1.0)).otherwise(spreads[0] * spreads[1])
+        ic = (moment(3, a, b) / n - means[0] * means[1]) / scale
+        return F.struct(a.alias("a"), b.alias("b"), F.when(F.abs(ic) < INF, ic).otherwise(F.lit(0.0)).alias("ic"))  # NaN isn't below
+
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(k) for b in range(a + 1, k))).cast("array<struct<a:int,b:int>>")
+    return found.select("day", F.inline(F.transform(pairs, correlated)))

@@ -142,6 +142,20 @@ def test_pool(frame):
     assert distance_reward([0.0, 10.0], [1.0, 100.0]) == pytest.approx(math.exp(-1), rel=1e-3)
 
 
+def test_daily_correlations_of_odd_columns(spark):
+    """Days by numpy; a flat column, an infinite value, a day without pairs, and a single column without any pair."""
+    rows = [(1, 1.0, 2.0, 5.0), (1, 2.0, 1.0, 5.0), (1, None, 4.0, 5.0), (1, 4.0, 3.0, 5.0), (2, math.inf, 1.0, 5.0), (2, 1.0, 2.0, 5.0), (3, None, 1.0, None), (3, 2.0, None, 1.0)]
+    odd = spark.createDataFrame(rows, "d int, a double, b double, c double")
+    got = {(r["day"], r["a"], r["b"]): r["ic"] for r in gram.daily_correlations(odd, F.col("d"), ["a", "b", "c"]).collect()}
+    assert len(got) == 9
+    for day in (1, 2, 3):
+        x = np.array([r[1:] for r in rows if r[0] == day], float)
+        with np.errstate(all="ignore"):
+            want = gram.correlations(gram.pair_moments(x), 3)
+        assert all(got[day, i, j] == pytest.approx(want[i, j]) for i in range(3) for j in range(i + 1, 3))
+    assert gram.daily_correlations(odd, F.col("d"), ["a"]).count() == 0
+
+
 def test_neighbours(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [5.0, 5.0])], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in neighbours(rows, [0.9, 0.9], 2).collect()] == [2, 1]
