@@ -402,7 +402,9 @@ def completion(rest: DataFrame) -> DataFrame:
         return F.explode(F.when(side, F.array(own)).otherwise(F.sequence(F.lit(0), F.col(n) - 1)))
 
     dealt = made.join(sizes, ["token", "band"]).withColumn("home_part", parts(F.col("home"), "homes")).withColumn("probe_part", parts(~F.col("home"), "probes"))
-    pairs = dealt.drop("homes", "probes").groupBy("token", "band", "home_part", "probe_part").applyInArrow(meet, PAIRS).distinct()
+    # dealt anew, as grouping alone would leave all parts of a key in the task that the join brought them to
+    spread = dealt.drop("homes", "probes").repartition(parallelism(rest.sparkSession), "token", "band", "home_part", "probe_part")
+    pairs = spread.groupBy("token", "band", "home_part", "probe_part").applyInArrow(meet, PAIRS).distinct()
     sides = rest.select("id", "shingles")
     both = pairs.join(sides.toDF("a", "left"), "a").join(sides.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
