@@ -14,7 +14,8 @@ The steps lose no link between different sets:
 4. Support again, now with the components so far as groups: only shingles of several components count. Few are left.
 5. Completion: these meet by prefix. The rarest shared shingles of each set, as many as must hold one in common with any
    partner in a band of sizes, are keys; under each key and band a tree of the band's sets and one of the smaller sets that
-   probe it are traversed with hashed bitmaps, and the pairs that pass are verified on their sets.
+   probe it are traversed with hashed bitmaps, and the pairs that pass are verified on their sets: first the nearest one of
+   each two components, then those of components that are still apart.
 
 Components come from the links by passing on least labels, with jumps. Documents without a word (or null text) have an
 empty set and link with nothing; with fewer words than a shingle has, all words are one shingle. doc_id is a key: repeated
@@ -58,6 +59,7 @@ PACKED = "bucket int, batch long, own int, a binary, b binary, c binary"
 SETS = "id long, n int, shingles binary, " + ", ".join(f"a{i} long, b{i} long" for i in range(PASSES))
 PROBES = "token long, band int, home boolean, id long, comp long, n int, bits binary"
 PAIRS = "a long, b long"
+MET = "a long, b long, comp long, comp2 long, near double"
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -380,17 +382,20 @@ def completion(rest: DataFrame) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         home = table.column("home").to_numpy(zero_copy_only=False)
         if home.all() or not home.any():
-            return pa.Table.from_batches([out_batch(PAIRS, [[], []])])
+            return pa.Table.from_batches([out_batch(MET, [[]] * 5)])
         ids, comps, n = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "comp", "n"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNATURE)
         trees = []
         for side in (home, ~home):
             at = np.flatnonzero(side)
             at = at[np.lexsort((ids[at], n[at], comps[at]))]
-            trees.append((ids[at], Tree(bits[at], n[at], n[at] - np.bitwise_count(bits[at]).sum(axis=1, dtype=np.int64), comps[at])))
-        found = [(trees[0][0][i], trees[1][0][j]) for i, j in traverse(trees[0][1], trees[1][1])]
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.Table.from_batches([out_batch(PAIRS, [np.minimum(a, b), np.maximum(a, b)])])
+            trees.append((ids[at], comps[at], n[at], bits[at], Tree(bits[at], n[at], n[at] - np.bitwise_count(bits[at]).sum(axis=1, dtype=np.int64), comps[at])))
+        (id1, comp1, n1, bits1, tree1), (id2, comp2, n2, bits2, tree2) = trees
+        out = []
+        for i, j in traverse(tree1, tree2):
+            near = np.bitwise_count(bits1[i] & bits2[j]).sum(axis=1, dtype=np.int64) / (n1[i] + n2[j])
+            out.append(out_batch(MET, [np.minimum(id1[i], id2[j]), np.maximum(id1[i], id2[j]), np.minimum(comp1[i], comp2[j]), np.maximum(comp1[i], comp2[j]), near]))
+        return pa.Table.from_batches(out or [out_batch(MET, [[]] * 5)])
 
     # a key under which very many sets meet is dealt out as pairs of parts of either side
     made = written(probes.mapInArrow(keys, PROBES), "probes")
@@ -404,9 +409,8 @@ def completion(rest: DataFrame) -> DataFrame:
     dealt = made.join(sizes, ["token", "band"]).withColumn("home_part", parts(F.col("home"), "homes")).withColumn("probe_part", parts(~F.col("home"), "probes"))
     # dealt anew, as grouping alone would leave all parts of a key in the task that the join brought them to
     spread = dealt.drop("homes", "probes").repartition(parallelism(rest.sparkSession), "token", "band", "home_part", "probe_part")
-    pairs = spread.groupBy("token", "band", "home_part", "probe_part").applyInArrow(meet, PAIRS).distinct()
+    pairs = written(spread.groupBy("token", "band", "home_part", "probe_part").applyInArrow(meet, MET).distinct(), "pairs")
     sides = rest.select("id", "shingles")
-    both = pairs.join(sides.toDF("a", "left"), "a").join(sides.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def verified(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batched):
@@ -416,9 +420,22 @@ def completion(rest: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 4 * common >= 3 * (len(x) + len(y) - common):
                     good.append(i)
-            yield out_batch(PAIRS, [batch.column(k).take(pa.array(good, pa.int32())) for k in (0, 1)])
-
-    return both.mapInArrow(verified, PAIRS)
+            yield out_batch(MET, [c.take(pa.array(good, pa.int32())) for c in (batch.column(k) for k in (0, 1, 4, 5, 6))])
+
+    def links(some: DataFrame) -> DataFrame:
+        both = some.join(sides.toDF("a", "left"), "a").join(sides.toDF("b", "right"), "b").select("a", "b", "left", "right", "comp", "comp2", "near")
+        return both.mapInArrow(verified, MET)
+
+    # one link joins two components: the nearest pair of each two comes first, the rest of those that are still apart after
+    best = F.max_by(F.struct("a", "b", "near"), F.struct("near", "a", "b")).alias("best")
+    tried = written(pairs.groupBy("comp", "comp2").agg(best).select("best.a", "best.b", "comp", "comp2", "best.near"), "tried")
+    first = written(links(tried), "links")
+    joined = connected(first.select(F.col("comp").alias("a"), F.col("comp2").alias("b")))
+    left = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    for side in ("comp", "comp2"):
+        left = left.join(joined.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_now")), side, "left")
+    left = left.where(F.coalesce("comp_now", "comp") != F.coalesce("comp2_now", "comp2"))
+    return first.select("a", "b").unionByName(links(left).select("a", "b"))
 
 
 def _exploded(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
