@@ -13,7 +13,6 @@ from ..store import fresh_path, open_fs, shared_dir, written
 
 __all__ = ["batches", "fresh_path", "open_fs", "out_batch", "parallelism", "schema_of", "shared_dir", "table", "valid_text", "write_file", "written"]
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
