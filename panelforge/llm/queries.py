@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, linededup, pii, sharding, topk, warc, wavelet
+from . import audit, bpe, decontaminate, exactdedup, jaccard, langid, linededup, pii, sharding, topk, warc, wavelet
 from .common import table
 
 SHARDS = 40
@@ -77,6 +77,17 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.find(table(spark, sf_dir, "documents"))
 
 
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of those with its text."""
+    found = exactdedup.classify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, by source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_warc": op2_warc,
@@ -88,6 +99,8 @@ QUERIES = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_linededup": op9_linededup,
     "op10_bpe_monoid": op10_bpe_monoid,
+    "op12_digest_index": op12_digest_index,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE: dict[str, str] = {
     "op1_jaccard": """
@@ -131,4 +144,25 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> kept THEN kept END AS refers_to
         FROM g""",
+    "op12_digest_index": """
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]', '', 'g')) AS h FROM documents),
+        k AS (SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k""",
+    "op13_filter_audit": """
+        WITH f(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
+        m AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        c AS (SELECT part, m, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, m),
+        o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o, [a.b, b.b, c.b, d.b, e.b] AS b FROM f AS a JOIN f AS b ON b.f <> a.f JOIN f AS c ON c.f NOT IN (a.f, b.f) JOIN f AS d ON d.f NOT IN (a.f, b.f, c.f) JOIN f AS e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+        s AS (SELECT array_to_string(o, '') AS filter_order, k AS step, b[k] AS own, coalesce(list_sum(b[1:k - 1]), 0)::INTEGER AS before FROM o, range(1, 6) AS r(k)),
+        x AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE m & before = 0 AND m & own = 0) AS kept, sum(n) FILTER (WHERE m & before = 0 AND m & own <> 0) AS removed,
+                sum(n) FILTER (WHERE m & before <> 0 AND m & own <> 0) AS redundant, sum(n) FILTER (WHERE m = own) AS unique_fails,
+                sum(good) FILTER (WHERE m & before = 0 AND m & own <> 0) AS good_lost, sum(toxic) FILTER (WHERE m & before = 0 AND m & own <> 0) AS toxic_lost FROM c, s GROUP BY ALL),
+        y AS (SELECT part, own, sum(removed) AS shapley FROM x GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+          CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(shapley, 0) AS BIGINT) AS shapley
+        FROM x JOIN y USING (part, own)""",
 }
