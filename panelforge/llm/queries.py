@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, decontaminate, exactdedup, jaccard, langid, linededup, pii, sharding, topk, warc, wavelet
+from . import audit, bpe, collocations, decontaminate, exactdedup, jaccard, langid, linededup, pii, sharding, topk, warc, wavelet
 from .common import table
 
 SHARDS = 40
@@ -77,6 +77,11 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.find(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, longest=5, most=2000)
+
+
 def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of those with its text."""
     found = exactdedup.classify(table(spark, sf_dir, "documents"))
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_linededup": op9_linededup,
     "op10_bpe_monoid": op10_bpe_monoid,
+    "op11_collocations": op11_collocations,
     "op12_digest_index": op12_digest_index,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -144,6 +150,22 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> kept THEN kept END AS refers_to
         FROM g""",
+    "op11_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\v\\f\\r]')) AS p FROM documents),
+        w AS (SELECT lang, regexp_extract_all(p, '[^ \\t]+') AS w FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, range(1, 6) AS r(k)),
+        f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, g, string_split(g, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 100),
+        s AS (SELECT lang, a AS f, unnest(list_transform(range(0, k * k), lambda x: CASE WHEN x // k + x % k + 1 <= k AND x % k + 1 BETWEEN 2 AND k - 1 THEN array_to_string(w[x // k + 1:x // k + x % k + 1], ' ') END)) AS g FROM c),
+        x AS (SELECT lang, g, max(f) AS longer FROM s WHERE g IS NOT NULL GROUP BY ALL),
+        d AS (SELECT c.* FROM c LEFT JOIN x USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a),
+        u AS (SELECT *, unnest(range(1, k)) AS i FROM d),
+        v AS (SELECT u.*, y.f AS l, z.f AS r, n.n, (1000::HUGEINT * a * n.n) // (y.f::HUGEINT * z.f) AS score FROM u
+              JOIN f AS y ON y.lang = u.lang AND y.g = array_to_string(w[1:i], ' ') JOIN f AS z ON z.lang = u.lang AND z.g = array_to_string(w[i + 1:u.k], ' ') JOIN n ON n.lang = u.lang),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, i) AS o FROM v),
+        t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM b WHERE o = 1)
+        SELECT lang, rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM t WHERE rank <= 2000""",
     "op12_digest_index": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]', '', 'g')) AS h FROM documents),
         k AS (SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM t)
