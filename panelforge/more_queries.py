@@ -418,18 +418,21 @@ def nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{NORMAL}, g AS (SELECT sum(f1 * f1) AS a, sum(f1) AS b, count(*) AS n, sum(f1 * y) AS c, sum(y) AS d FROM z WHERE y IS NOT NULL), w AS (SELECT (n * c - b * d) / (n * a - b * b) AS w1, (d * a - b * c) / (n * a - b * b) AS w0 FROM g) SELECT m.method, {s5('w1')} AS b1, CAST(0 AS DOUBLE) AS b2, {s5('w0')} AS b3 FROM w, (VALUES ('cols'), ('vif')) AS m(method)")
 def regression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A regression on a factor and its double: the double is taken out, by rank or by inflation."""
-    cells = combine.daily_products(normal_factors(spark, sf_dir).withColumn("twice", 2 * F.col("f1")).withColumn(POS, F.lit(1)), ["f1", "twice"], "y")
-    products = {(r["i"], r["j"]): r["value"] for r in cells.collect()}  # 10 numbers
-    import numpy as np
-
-    gram = np.zeros((4, 4))
-    for (i, j), v in products.items():
-        gram[i, j] = gram[j, i] = v
-    rows = []
+    names = ["f1", "twice"]
+    frame = normal_factors(spark, sf_dir).withColumn("twice", 2 * F.col("f1")).withColumn(POS, F.lit(1))  # all rows as one date's
+    days = spark.range(1, 3).select(F.col("id").cast("int").alias(POS))
+    chosen = days.where("pos = 2").select(POS, F.explode(F.array(F.lit(0), F.lit(1))).alias("index"))
+    out = None
     for method in ("cols", "vif"):
-        betas = combine.solved(gram, [0, 1], 0.0, method)
-        rows.append((method, *map(float, (betas if betas[0] else [2 * betas[1], 0.0, betas[2]]))))
-    return spark.createDataFrame(rows, "method string, b1 double, b2 double, b3 double").select("method", *(r5(F.col(c)).alias(c) for c in ("b1", "b2", "b3")))
+        if method == "vif":
+            betas = combine.coefficients(combine.daily_products(frame, names, "y"), days, chosen, names, 2, 0, 0.0, method)
+        else:
+            betas = combine.regressions(frame, chosen, names, "y", 2, 0, 0.0, method)
+        b = [F.get("betas", F.lit(i)) for i in range(3)]
+        # which of two equal columns inflation takes out is left open
+        own = betas.select(F.lit(method).alias("method"), r5(F.when(b[0] != 0, b[0]).otherwise(2 * b[1])).alias("b1"), F.lit(0.0).alias("b2"), r5(b[2]).alias("b3"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 # Candidates

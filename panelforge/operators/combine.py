@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.gram import sums_by
+from ..functions.tsqr import Summary, daily_triangles, over_windows
 from .registry import CODE, DATE, POS
 
-#: What may be done to the columns of a regression before it is solved.
-DEDUP = ("none", "cols", "vif")
+#: What may be done to the matrix of a regression before it is solved.
+DEDUP = ("none", "cols", "full", "vif")
 #: Defaults of the two modes.
 MODES = {
     "local": {"solver": "ridge", "alpha": 1e-4, "dedup": "none", "window": 252, "interval": 5, "combine": "last", "ranks": True},
@@ -83,12 +84,9 @@ def solved(full: np.ndarray, picked: Sequence[int], alpha: float, dedup: str = "
     """Coefficients (the constant last, 0 for factors left out) from the sums of products; all 0 if there is no solution."""
     k = len(full) - 2
     own = list(picked)
-    gram = full[np.ix_(own, own)]
-    if dedup == "cols" and len(own) > 1:
-        own = [own[i] for i in independent(gram)] or own[:1]
-    elif dedup == "vif" and len(own) > 1 and full[k, k] > 1:
+    if dedup == "vif" and len(own) > 1 and full[k, k] > 1:
         sums = full[own, k]
-        own = [own[i] for i in without_collinear(gram - np.outer(sums, sums) / full[k, k])]
+        own = [own[i] for i in without_collinear(full[np.ix_(own, own)] - np.outer(sums, sums) / full[k, k])]
     use = [*own, k]
     left, right, betas = full[np.ix_(use, use)], full[use, k + 1], np.zeros(k + 1)
     try:
@@ -103,10 +101,11 @@ def solved(full: np.ndarray, picked: Sequence[int], alpha: float, dedup: str = "
 def coefficients(products: DataFrame, positions: DataFrame, chosen: DataFrame, factors: Sequence[str], window: int | None, shift: int, alpha: float, dedup: str = "none") -> DataFrame:
     """pos and betas (an array, the constant last) of each date's regression on its window; 0 where it has no rows.
 
-    dedup: "none"; "cols" keeps as many of the first columns as are independent; "vif" takes out columns of large inflation.
+    dedup: "none", or "vif", which takes out columns of large inflation. Sums of products can't tell columns apart that
+    differ by less than some 1e-8 of their size; see triangular() for ranks.
     """
-    if dedup not in DEDUP:
-        raise ValueError(f"dedup {dedup!r} is not one of {', '.join(DEDUP)}")
+    if dedup not in ("none", "vif"):
+        raise ValueError(f"dedup {dedup!r} can't be done on sums of products")
     k = len(factors)
     grid = positions.select(POS, F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in range(k + 2) for b in range(a, k + 2)))).alias("c")).select(POS, "c.i", "c.j")
     filled = grid.join(products, [POS, "i", "j"], "left").withColumn("cell", F.concat_ws(",", "i", "j"))
@@ -135,10 +134,79 @@ def predict(frame: DataFrame, betas: DataFrame, factors: Sequence[str]) -> DataF
     return frame.join(betas, POS).select(DATE, POS, CODE, dot.alias("prediction"))
 
 
-def independent(gram: np.ndarray, tolerance: float = 1e-10) -> list[int]:
-    """As many of the first columns as the rank of a matrix of products."""
-    values = np.linalg.eigvalsh(gram)
-    return list(range(int((values > tolerance * max(values.max(), 1e-300)).sum())))
+def rank(r: np.ndarray, tolerance: float = 1e-10) -> int:
+    """Singular values beyond the tolerance times the largest."""
+    values = np.linalg.svd(r, compute_uv=False) if r.size else np.zeros(1)
+    return int((values > tolerance * values[0]).sum())
+
+
+def independent_rows(rows: np.ndarray, tolerance: float = 1e-10) -> list[int]:
+    """Of as many first rows as there are columns, those that leave something beside the rows before; the first one if none does."""
+    square = rows[: rows.shape[1]]
+    left = np.abs(np.diag(np.linalg.qr(square.T, mode="r")))
+    return np.flatnonzero(left > tolerance).tolist() or [0]
+
+
+def reduced(s: Summary, picked: Sequence[int], alpha: float, dedup: str, k: int) -> tuple[list[float], int, int]:
+    """Coefficients (the constant last, 0 for factors left out) and how many columns and rows they rest on.
+
+    The summary's columns are k factors, the constant 1 and the target. "cols" and "full" keep as many of the first factors
+    picked as the rank of all. Where these still depend on each other and rows outnumber them fivefold, "full" keeps only the
+    rows that independent_rows() names.
+    """
+    own = list(picked)
+    if len(own) > 1:
+        own = own[: max(1, rank(s.r[:, own]))]
+    use, betas = [*own, k], np.zeros(k + 1)
+    left, right, n = s.r[:, use], s.r[:, k + 1], s.n
+    if dedup == "full" and n > len(own) and n >= 5 * len(own) and rank(s.r[:, own]) < len(own):
+        rows = independent_rows(s.head[:, own])
+        left, right, n = s.head[np.ix_(rows, use)], s.head[rows, k + 1], len(rows)
+    if n:
+        # the penalty as rows of its own: no product of the matrix with itself is made
+        found = np.linalg.lstsq(np.vstack([left, alpha**0.5 * np.eye(len(use))]), np.append(right, np.zeros(len(use))), rcond=None)[0]
+        if np.isfinite(found).all():
+            betas[use] = found
+    return betas.tolist(), len(own), n
+
+
+def triangular(frame: DataFrame, chosen: DataFrame, factors: Sequence[str], target: str, window: int | None, shift: int, alpha: float, dedup: str = "cols") -> DataFrame:
+    """pos, betas, kept (columns) and n_rows of each date's regression on its window, from triangular factors of its rows.
+
+    Rows without a finite target take no part; a factor that is missing or not finite counts as 0. Rows are in the order of date and code.
+    """
+    if dedup not in ("cols", "full"):
+        raise ValueError(f"dedup {dedup!r} is neither cols nor full")
+    k = len(factors)
+
+    def finite(name: str) -> Column:
+        return F.when(F.abs(F.col(name).cast("double")) < float("inf"), F.col(name).cast("double"))
+
+    numbers = [*(F.coalesce(finite(f), F.lit(0.0)).alias(f"c{i}") for i, f in enumerate(factors)), F.lit(1.0).alias("one"), finite(target).alias("y")]
+    rows = frame.select(F.col(POS).cast("int").alias("day"), CODE, *numbers).where(F.col("y").isNotNull())
+    values = [c for c in rows.columns if c not in ("day", CODE)]
+    daily = daily_triangles(rows.select("day", *values)).join(rows.groupBy("day").agg(F.count("*").alias("n")), "day")
+    if dedup == "full":
+        # the first rows of a date, as many as there are factors
+        place = F.row_number().over(Window.partitionBy("day").orderBy(CODE))
+        first = rows.withColumn("place", place).where(F.col("place") <= k)
+        heads = first.groupBy("day").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", F.array(*values).alias("v")))), lambda x: x["v"])).alias("head"))
+        daily = daily.join(heads, "day")
+    else:
+        daily = daily.withColumn("head", F.array().cast("array<double>"))
+    asked = chosen.groupBy(POS).agg(F.sort_array(F.collect_list(F.col("index").cast("int"))).alias("picked"))
+    if window is None:  # all dates are one window's
+        window = 1 + shift + int(chosen.agg(F.max(POS)).first()[0] or 0)
+    return over_windows(daily.withColumnRenamed("day", POS), asked, window, shift, k + 2, k, lambda s, picked: reduced(s, picked, alpha, dedup, k), "betas array<double>, kept int, n_rows long")
+
+
+def regressions(frame: DataFrame, chosen: DataFrame, factors: Sequence[str], target: str, window: int | None, shift: int, alpha: float, dedup: str = "none") -> DataFrame:
+    """pos and betas of each date's regression on its window, with one of the treatments of DEDUP."""
+    if dedup not in DEDUP:
+        raise ValueError(f"dedup {dedup!r} is not one of {', '.join(DEDUP)}")
+    if dedup in ("cols", "full"):
+        return triangular(frame, chosen, factors, target, window, shift, alpha, dedup).select(POS, "betas")
+    return coefficients(daily_products(frame, factors, target), frame.select(POS).distinct(), chosen, factors, window, shift, alpha, dedup)
 
 
 def inflation(gram: np.ndarray) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +18,15 @@ class TopK:
     swaps: int
     min_days: int = 1
 
-    def step(self, held: dict[str, int], day: pd.DataFrame) -> tuple[list[str], list[str]]:
-        """Codes to buy and to sell on a day of code, signal, buyable and sellable."""
-        day = day.dropna(subset=["signal"]).sort_values(["signal", "code"], ascending=[False, True])
-        can_buy = [c for c, ok in zip(day["code"], day["buyable"], strict=True) if ok and c not in held]
+    def step(self, held: dict, day: Iterable[tuple]) -> tuple[list, list]:
+        """Codes to buy and to sell on a day of rows (code, signal, buyable, sellable); rows without a signal don't count."""
+        rows = sorted((r for r in day if r[1] is not None and r[1] == r[1]), key=lambda r: r[0])
+        rows.sort(key=lambda r: r[1], reverse=True)  # equal signals stay in the order of codes
+        can_buy = [r[0] for r in rows if r[2] and r[0] not in held]
         free = max(0, self.size - len(held))
         buys, sells = can_buy[:free], []
-        signal = dict(zip(day["code"], day["signal"], strict=True))
-        ok = dict(zip(day["code"], day["sellable"], strict=True))
+        signal = {r[0]: r[1] for r in rows}
+        ok = {r[0]: r[3] for r in rows}
         weak = sorted((c for c, n in held.items() if n >= self.min_days and ok.get(c)), key=lambda c: (signal[c], c))
         for old, new in zip(weak, can_buy[free:], strict=False):
             if len(sells) >= self.swaps or signal[new] <= signal[old]:
@@ -33,17 +35,40 @@ class TopK:
             buys.append(new)
         return buys, sells
 
-    def run(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, int] = {}
+    def after(self, held: dict, day: Iterable[tuple]) -> tuple[dict, set]:
+        """Days held by code after a day, and the codes bought on it."""
+        buys, sells = self.step(held, day)
+        left = {c: n + 1 for c, n in held.items() if c not in sells}
+        return left | dict.fromkeys(buys, 1), set(buys)
+
+
+@dataclass
+class Fold:
+    """Holdings carried over the dates of one portfolio after the other, as rows come in their order."""
+
+    rule: TopK
+    key: tuple = ()
+    held: dict = field(default_factory=dict)
+    day: list[tuple] = field(default_factory=list)
+
+    def rows(self, portfolio, date, *row) -> list[tuple]:
+        """Take in a row; the holdings of the date before, if that has come to its end."""
         out = []
-        for date, day in pdf.sort_values(["date", "code"]).groupby("date", sort=True):
-            buys, sells = self.step(held, day)
-            for c in sells:
-                held.pop(c)
-            held = {c: n + 1 for c, n in held.items()} | {c: 1 for c in buys}
-            out += [(date, c, n, c in buys) for c, n in sorted(held.items())]
-        frame = pd.DataFrame(out, columns=["date", "code", "days_held", "bought"])
-        return frame.assign(portfolio=pdf["portfolio"].iloc[0])[["portfolio", "date", "code", "days_held", "bought"]]
+        if self.key != (portfolio, date):
+            out = self.end()
+            if self.key and self.key[0] != portfolio:
+                self.held = {}
+            self.key = (portfolio, date)
+        self.day.append(row)
+        return out
+
+    def end(self) -> list[tuple]:
+        """The holdings (portfolio, date, code, days held, whether bought) after the date at hand."""
+        if not self.key:
+            return []
+        self.held, bought = self.rule.after(self.held, self.day)
+        self.day = []
+        return [(*self.key, c, n, c in bought) for c, n in sorted(self.held.items())]
 
 
 def contenders(signals: DataFrame, rule: TopK) -> DataFrame:
@@ -66,11 +91,24 @@ def contenders(signals: DataFrame, rule: TopK) -> DataFrame:
 def simulate(signals: DataFrame, rule: TopK, code_type: str = "string") -> DataFrame:
     """Holdings by date for each portfolio of signals (portfolio, date, code, signal, buyable, sellable).
 
-    A portfolio's dates must follow one another, so each is one group; portfolios run beside each other. Only rows of
-    codes that can be held reach a group.
+    A portfolio's dates must follow one another, so it is one task's; portfolios run beside each other. Rows come sorted by
+    date and are folded batch by batch: a task holds one date's rows and the holdings, however long the past is. Only rows of
+    codes that can be held reach it.
     """
     rows = contenders(signals.select("portfolio", "date", "code", "signal", "buyable", "sellable"), rule)
-    return rows.groupBy("portfolio").applyInPandas(lambda pdf: rule.run(pdf), f"portfolio string, date date, code {code_type}, days_held int, bought boolean")
+    out = f"portfolio string, date date, code {code_type}, days_held int, bought boolean"
+    kinds = pa.schema([("portfolio", pa.string()), ("date", pa.date32()), ("code", {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[code_type]), ("days_held", pa.int32()), ("bought", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold(rule)
+        for batch in batches:
+            done = [x for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in fold.rows(*row)]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], schema=kinds)
+        if done := fold.end():
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], schema=kinds)
+
+    return rows.repartition("portfolio").sortWithinPartitions("portfolio", "date", "code").mapInArrow(run, out)
 
 
 def orders(holdings: DataFrame) -> DataFrame:

@@ -588,13 +588,34 @@ def intraday_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(DATE, CODE, *(finite(F.col(c)).alias(c) for c in made.columns[2:-1]), "high_low_time_skew")
 
 
-@query()
+@query(
+    f"""{CALENDAR}, sig AS (SELECT CAST(n_regionkey AS VARCHAR) AS portfolio, pos, date, code, {full(4, f"avg(vol) OVER {w(4)}", "vol")} AS signal FROM p JOIN supplier ON s_suppkey = code JOIN nation ON n_nationkey = s_nationkey),
+    days AS (SELECT DISTINCT portfolio, pos, date FROM sig),
+    held(portfolio, pos, code, n, bought) AS (SELECT DISTINCT portfolio, 0::BIGINT, -1::BIGINT, 0::BIGINT, false FROM sig UNION ALL
+      (WITH now AS (SELECT portfolio, pos + 1 AS pos, code, n FROM held),
+        own AS (SELECT now.*, s.signal FROM now LEFT JOIN sig AS s ON s.portfolio = now.portfolio AND s.pos = now.pos AND s.code = now.code WHERE now.code >= 0),
+        room AS (SELECT portfolio, pos, 10 - (count(*) - 1) AS free FROM now GROUP BY ALL),
+        buy AS (SELECT s.portfolio, s.pos, s.code, s.signal, row_number() OVER (PARTITION BY s.portfolio ORDER BY s.signal DESC, s.code) - greatest(free, 0) AS k
+          FROM sig AS s JOIN room ON room.portfolio = s.portfolio AND room.pos = s.pos WHERE s.signal IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own WHERE own.portfolio = s.portfolio AND own.code = s.code)),
+        weak AS (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY signal, code) AS k FROM own WHERE n >= 3 AND signal IS NOT NULL),
+        swap AS (SELECT weak.portfolio, weak.code AS old, buy.code AS new FROM weak JOIN buy ON buy.portfolio = weak.portfolio AND buy.k = weak.k WHERE weak.k <= 2 AND buy.signal > weak.signal),
+        next AS (SELECT portfolio, pos, -1 AS code, 0 AS n, false AS bought FROM now WHERE code < 0
+          UNION ALL SELECT portfolio, pos, code, n + 1, false FROM own WHERE NOT EXISTS (SELECT 1 FROM swap WHERE swap.portfolio = own.portfolio AND swap.old = own.code)
+          UNION ALL SELECT portfolio, pos, code, 1, true FROM buy WHERE k <= 0 OR EXISTS (SELECT 1 FROM swap WHERE swap.portfolio = buy.portfolio AND swap.new = buy.code))
+       SELECT * FROM next WHERE pos <= (SELECT max(pos) FROM days)))
+    SELECT portfolio, date, code, CAST(n AS INTEGER) AS days_held, bought FROM held JOIN days USING (portfolio, pos) WHERE code >= 0""".replace("WITH sums AS", "WITH RECURSIVE sums AS", 1)
+)
 def topk_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings of the rule that keeps the 10 best suppliers, for each region's suppliers as a portfolio."""
+    return simulate(strategy_signals(spark, sf_dir), TopK(10, 2, 3), "long")
+
+
+def strategy_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' mean volume of four weeks as a signal, in the portfolio of their region; all may be bought and sold."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
     homes = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias(CODE), F.col("n_regionkey").cast("string").alias("portfolio"))
     signals = evaluate(week_panel(spark, sf_dir), {"signal": "TsMean($vol,4)"}).join(homes, CODE)
-    return simulate(signals.select("portfolio", DATE, CODE, "signal", F.lit(True).alias("buyable"), F.lit(True).alias("sellable")), TopK(10, 2, 3), "long")
+    return signals.select("portfolio", DATE, CODE, "signal", F.lit(True).alias("buyable"), F.lit(True).alias("sellable"))
 
 
-from . import more_queries  # noqa: E402, F401  registers the rest
+from . import more_queries, walk_queries  # noqa: E402, F401  register the rest
