@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import series
 from ..functions.ieee import clean, divide, larger, log, null, power, smaller
 
 CODE, DATE, POS = "code", "date", "pos"
@@ -29,6 +31,9 @@ class Operator:
 
 
 OPERATORS: dict[str, Operator] = {}
+#: Operators that are carried along the rows of a code where the window has so many rows or more; below, columns are faster.
+CARRIED: dict[str, Callable[[int], object]] = {"TsMed": series.Median, "TsMad": series.MeanDistance, "TsRank": series.Place, "TsWMA": series.LinearMean, "TsEMA": series.ExponentialMean}
+CARRIED_FROM = 32
 
 
 def operator(name: str, arity: int = 1, windowed: bool = False, rows: str = "row", lookback: Callable[[int], int] | None = None):
@@ -85,8 +90,9 @@ def total(array: Column) -> Column:
 
 def weighted(x: Column, weights: list[float]) -> Column:
     scale = sum(weights)
-    own = F.array(*[F.lit(w / scale) for w in weights]) if scale else F.array(*[F.lit(0.0) for _ in weights])
-    return total(F.zip_with(values(x, len(weights)), own, lambda v, w: v * w))
+    d = len(weights)
+    terms = [(x if k == d - 1 else F.lag(x, d - 1 - k).over(ordered())) * F.lit(w / scale if scale else 0.0) for k, w in enumerate(weights)]
+    return reduce(lambda a, b: a + b, terms)
 
 
 # The row alone

@@ -7,10 +7,13 @@ the number of shuffles is that of the changes along the deepest formula, whateve
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.registry import CODE, DATE, OPERATORS, POS
+from ..functions.series import carried
+from ..operators.registry import CARRIED, CARRIED_FROM, CODE, DATE, OPERATORS, POS
 from .ir import Call, Const, Feature, Node, key
 from .parser import parse
 
@@ -85,6 +88,11 @@ def evaluate(panel: DataFrame, formulas: dict[str, str | Node], keep: list[str]
             rows = "day" if rows == "time" else "time"
             continue
         before = [k for k in needed(done) if not isinstance(nodes[k], Const)]
-        frame = frame.select(DATE, POS, CODE, *keep, *(names[k] for k in sorted(before)), *(made(n).alias(names[k]) for k, n in stage.items()))
+        along = {k: n for k, n in stage.items() if n.op in CARRIED and n.window >= CARRIED_FROM and not isinstance(n.args[0], Const)}
+        if along:  # dealt by code once, for these and the stage's windows alike
+            frame = frame.repartition(CODE)
+        frame = frame.select(DATE, POS, CODE, *keep, *(names[k] for k in sorted(before)), *(made(n).alias(names[k]) for k, n in stage.items() if k not in along))
+        if along:
+            frame = carried(frame, CODE, POS, [(names[k], names[key(n.args[0])], partial(CARRIED[n.op], n.window)) for k, n in along.items()])
         done |= set(stage)
     return frame.select(DATE, POS, CODE, *keep, *(column(tree).alias(name) for name, tree in trees.items()))

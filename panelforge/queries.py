@@ -203,6 +203,11 @@ def formula_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where("m is not null").select(DATE, CODE, *(r5(F.col(c)).alias(c) for c in BATCH))
 
 
+LONG_WINDOW = 60
+_LIST = f"list(c3) OVER {w(LONG_WINDOW)}"
+_DECAY = 1 - 2 / (LONG_WINDOW + 1)
+
+
 # Panels: density, fills, universes
 
 
@@ -236,6 +241,23 @@ f2 AS (SELECT *, first_value(c1 IGNORE NULLS) OVER (PARTITION BY code ORDER BY p
 f3 AS (SELECT *, coalesce(c2, median(c2) OVER {D_}, 0.0) AS c3 FROM f2)"""
 
 
+@query(
+    f"""{FILLED}, x AS (SELECT date, code, pos, c3, close, {_LIST} AS v, avg(c3) OVER {w(LONG_WINDOW)} AS m, CASE WHEN count(*) OVER {w(LONG_WINDOW)} = {LONG_WINDOW} THEN coalesce(close, -1) END AS present, list(close) OVER {w(LONG_WINDOW)} AS seen FROM f3),
+    y AS (SELECT date, code, list_sort(v)[{(LONG_WINDOW - 1) // 2 + 1}] AS med, list_avg(list_transform(v, lambda a: abs(a - m))) AS mad,
+      CASE WHEN close IS NULL THEN 0 ELSE (len(list_filter(seen, lambda a: a >= close)) + len(list_filter(seen, lambda a: a > close)) + 1) / {2.0 * LONG_WINDOW} END AS place,
+      list_inner_product(v, list_transform(range(0, {LONG_WINDOW}), lambda k: k / {sum(range(LONG_WINDOW))}.0)) AS wma,
+      list_inner_product(v, list_transform(range(0, {LONG_WINDOW}), lambda k: pow({_DECAY!r}, {LONG_WINDOW} - k) / {sum(_DECAY ** (LONG_WINDOW - k) for k in range(LONG_WINDOW))!r})) AS ema FROM x WHERE present IS NOT NULL)
+    SELECT date, code, {", ".join(f"{s5(c)} AS {c}" for c in ("med", "mad", "place", "wma", "ema"))} FROM y"""
+)
+def long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of more than a year of weeks that are carried along: order statistics and weighted means of filled prices, the place among known ones."""
+    own = week_panel(spark, sf_dir).select(DATE, POS, CODE, "close", F.col("close").alias("raw"))
+    d = LONG_WINDOW
+    formulas = {"med": f"TsMed($close,{d})", "mad": f"TsMad($close,{d})", "place": f"TsRank($raw,{d})", "wma": f"TsWMA($close,{d})", "ema": f"TsEMA($close,{d})"}
+    values = evaluate(panel.fill(own, ["close"], 2, 1), formulas).where("med is not null")
+    return values.select(DATE, CODE, *(r5(F.col(c)).alias(c) for c in formulas))
+
+
 @query(f"{FILLED} SELECT date, code, {s5('c3')} AS close FROM f3")
 def domain_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of fills: the past, the future, the week's median, 0."""
