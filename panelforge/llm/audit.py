@@ -8,8 +8,8 @@ D  a symbol of [#$%&*|]; E  a text identical to that of a smaller doc_id, anywhe
 E is found by partition refinement. Documents are split by their number of code points, then by the hash of one block of
 the text after the other; after each step those alone in their class are dropped. The hashes are worked out in the one
 scan that evaluates A to D, so a round moves a few numbers for each document that is left, never its text. Only texts of
-what remains are read again and compared as wholes: a class whose least and greatest text are one holds one text, and any
-other is split by its texts themselves. Documents that aren't the smallest id of their class are marked.
+what remains are read again and compared as wholes, summed up by class in each task before any is sent: a class whose least
+and greatest text are one holds one text, and any other is split by its texts themselves. Documents that aren't the smallest id of their class are marked.
 
 Masks are then counted by part, with labels; all orders and steps follow from these counts, at most 128 rows a part.
 
@@ -32,6 +32,8 @@ from .common import valid_text, written
 FILTERS = "ABCDE"
 #: Where the blocks of a text begin, in code points; the last block is the rest.
 BLOCKS = (0, 256, 4096)
+#: Numbers that the broadcast set of classes can have at most; 8 bytes each.
+KEYS = 1 << 21
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -56,32 +58,53 @@ def measured(docs: DataFrame, part: str = "source") -> DataFrame:
     return written(rows.select("doc_id", "part", bits.alias("mask"), F.length(text).alias("size"), *(h.alias(f"b{i}") for i, h in enumerate(block_hashes(text)))), "measured")
 
 
+def refine(so_far: Column, k: int) -> Column:
+    """A class split by block k; texts that end before the block stay in their class."""
+    return F.when(F.col("size") > BLOCKS[k], F.xxhash64(so_far, F.col(f"b{k}"))).otherwise(so_far)
+
+
 def refined(rows: DataFrame) -> DataFrame:
     """doc_id and class of rows (doc_id, size, b0, ...) that share size and all block hashes with another; a table.
 
-    A round looks only at what the rounds before have left, and at blocks that the text has."""
+    A round looks only at what the rounds before have left."""
     left = rows.where("doc_id is not null").withColumn("class", F.col("size").cast("long"))
     for k in range(-1, len(BLOCKS)):
-        if k >= 0:  # texts that end before the block stay in their class
-            left = left.withColumn("class", F.when(F.col("size") > BLOCKS[k], F.xxhash64("class", f"b{k}")).otherwise(F.col("class")))
+        if k >= 0:
+            left = left.withColumn("class", refine(F.col("class"), k))
         # copies are counted in each task before they are sent; a table, so that Spark can split the rows of a class that very many are in
         crowded = written(left.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), f"crowded{k + 1}")
         left = written(left.join(crowded, "class", "left_semi").select("doc_id", "class", "size", *(f"b{i}" for i in range(max(k + 1, 0), len(BLOCKS)))), f"left{k + 1}")
     return left.select("doc_id", "class")
 
 
+def texts_of(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """doc_id, text and class of all documents of the classes that are left, and of few others; no text is shuffled.
+
+    The scan works out each text's class anew, and asks a broadcast set of at most KEYS numbers whether its class can be left."""
+    text = F.col("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(valid_text(), F.lit("")).alias("text")).where("doc_id is not null")
+    rows = rows.select("doc_id", "text", F.length(text).alias("size"), *(h.alias(f"b{i}") for i, h in enumerate(block_hashes(text))))
+    rows = rows.withColumn("class", F.col("size").cast("long"))
+    for k in range(len(BLOCKS)):
+        rows = rows.withColumn("class", refine(F.col("class"), k))
+    key = F.pmod("class", F.lit(KEYS))
+    keys = left.select(key.alias("key")).distinct()
+    return rows.select("doc_id", "text", "class", key.alias("key")).join(F.broadcast(keys), "key", "left_semi").drop("key")
+
+
 def duplicates(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The doc_ids (once each) whose text a smaller doc_id has, from the rows of measured()."""
     left = refined(rows)
-    # texts of what is left, compared as wholes; of equal ones each task sends one
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(valid_text(), F.lit("")).alias("text")).join(left, "doc_id")
+    texts = texts_of(docs, left)
+    # texts are compared as wholes; of equal ones each task sends one
     classes = written(texts.groupBy("class").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.min("doc_id").alias("first")).select("class", "first", (F.col("lo") == F.col("hi")).alias("pure")), "classes")
-    one = left.join(classes.where("pure").select("class", "first"), "class").where("doc_id > first").select("doc_id")
-    # classes of different texts with equal hashes
-    mixed = texts.join(classes.where("not pure").select("class"), "class", "left_semi")
-    firsts = written(mixed.groupBy("class", "text").agg(F.min("doc_id").alias("first")), "firsts")
-    other = mixed.join(firsts, ["class", "text"]).where("doc_id > first").select("doc_id")
-    return one.unionByName(other).distinct()
+    found = left.join(classes.where("pure").select("class", "first"), "class").where("doc_id > first").select("doc_id")
+    mixed = classes.where("not pure").select("class")
+    if not mixed.isEmpty():  # different texts with equal hashes: split by the texts themselves
+        rest = written(texts.join(mixed, "class", "left_semi"), "mixed")
+        firsts = written(rest.groupBy("class", "text").agg(F.min("doc_id").alias("first")), "firsts")
+        found = found.unionByName(rest.join(firsts, ["class", "text"]).where("doc_id > first").select("doc_id"))
+    return found.distinct()
 
 
 def masks(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame:
