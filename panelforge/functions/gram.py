@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,37 +12,60 @@ from pyspark.sql import functions as F
 
 from .ieee import INF
 
-#: Bytes of rows worked on at once, and of sums held before they are sent on.
+#: Bytes of rows worked on at once, and of what a task holds before it is sent on.
 ROWS, HELD = 32 << 20, 64 << 20
+PARTS = "day int, cells array<double>, rows array<double>"
+Kernel = Callable[[np.ndarray], np.ndarray]
 
 
-def sums_by(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
-    """day, cell and value: the kernel's values for each day, added over the rows.
+class Day:
+    """What a task has of a day: sums, and rows that aren't in them yet, as fewer numbers than the sums would be."""
 
-    rows has an int column `day` first, then doubles; a null comes to the kernel as NaN. The kernel takes the rows of a
-    day to `width` numbers and must be a sum over rows. A task sends one array for each day it has seen.
-    """
-    names = rows.columns[1:]
+    def __init__(self, kernel: Kernel, width: int):
+        self.kernel, self.width = kernel, width
+        self.cells: np.ndarray | None = None
+        self.rows: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, rows: np.ndarray) -> None:
+        self.rows.append(rows)
+        self.size += rows.size
+        if self.size >= self.width:
+            self.sum_up()
+
+    def add_cells(self, cells: np.ndarray) -> None:
+        self.cells = cells if self.cells is None else self.cells + cells
+
+    def sum_up(self) -> np.ndarray:
+        if self.rows:
+            self.add_cells(self.kernel(np.concatenate(self.rows)))
+            self.rows, self.size = [], 0
+        return self.cells
+
+
+def parts_of(rows: DataFrame, kernel: Kernel, width: int) -> DataFrame:
+    """PARTS of each day from each task, dealt and sorted by day: its sums or, where these would be more numbers, the rows themselves."""
+    k = len(rows.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, Day] = {}
         waiting: list[pa.RecordBatch] = []
         size = 0
 
         def take() -> None:
             days = np.concatenate([b.column(0).to_numpy() for b in waiting])
-            table = np.column_stack([np.concatenate([b.column(i + 1).cast(pa.float64()).to_numpy(zero_copy_only=False) for b in waiting]) for i in range(len(names))])
+            table = np.column_stack([np.concatenate([b.column(i + 1).cast(pa.float64()).to_numpy(zero_copy_only=False) for b in waiting]) for i in range(k)])
             order = np.argsort(days, kind="stable")
             days, table = days[order], table[order]
             each, starts = np.unique(days, return_index=True)
             for day, part in zip(each.tolist(), np.split(table, starts[1:]), strict=True):
-                own = kernel(part)
-                held[day] = held[day] + own if day in held else own
+                held.setdefault(day, Day(kernel, width)).add(part)
 
-        def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["day", "cells"])
+        def sent() -> Iterator[pa.RecordBatch]:
+            for day, own in held.items():
+                rest = np.concatenate(own.rows).ravel() if own.rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array([day], pa.int32()), pa.array([own.cells], pa.list_(pa.float64())), pa.array([rest], pa.list_(pa.float64()))], names=["day", "cells", "rows"])
             held.clear()
-            return out
 
         for batch in batches:
             if not batch.num_rows:
@@ -51,20 +75,46 @@ def sums_by(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], width:
             if size >= ROWS:
                 take()
                 waiting, size = [], 0
-                if len(held) * width * 8 >= HELD:
-                    yield sent()
+                if 8 * sum(own.size + (0 if own.cells is None else width) for own in held.values()) >= HELD:
+                    yield from sent()
         if waiting:
             take()
-        if held:
-            yield sent()
+        yield from sent()
+
+    return rows.mapInArrow(run, PARTS).repartition("day").sortWithinPartitions("day")
 
-    parts = rows.mapInArrow(run, "day int, cells array<double>")
-    return parts.select("day", F.posexplode("cells").alias("cell", "value")).groupBy("day", "cell").agg(F.sum("value").alias("value"))
 
+def merged(batches: Iterator[pa.RecordBatch], kernel: Kernel, width: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each day and its sums, from parts that come sorted by day; one day is held at a time."""
+    now, own = None, None
+    for batch in batches:
+        for day, cells, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if day != now:
+                if own is not None:
+                    yield now, own.sum_up()
+                now, own = day, Day(kernel, width)
+            if cells.is_valid:
+                own.add_cells(cells.values.to_numpy())
+            if len(rows.values):
+                own.add(rows.values.to_numpy().reshape(-1, k))
+    if own is not None:
+        yield now, own.sum_up()
+
+
+def sums_by(rows: DataFrame, kernel: Kernel, width: int) -> DataFrame:
+    """day and cells: the kernel's values for each day, added over the rows.
+
+    rows has an int column `day` first, then doubles; a null comes to the kernel as NaN. The kernel takes the rows of a
+    day to `width` numbers and must be a sum over rows. What is shuffled is never more than the rows; where a task has many
+    rows of a day it is their sums alone. Arrays are added where they meet.
+    """
+    k = len(rows.columns) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for day, cells in merged(batches, kernel, width, k):
+            yield pa.RecordBatch.from_arrays([pa.array([day], pa.int32()), pa.array([cells], pa.list_(pa.float64()))], names=["day", "cells"])
 
-def arrays(sums: DataFrame) -> DataFrame:
-    """day and cells: the values of a day in the order of the cells."""
-    return sums.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("c")).select("day", F.col("c.value").alias("cells"))
+    return parts_of(rows, kernel, width).mapInArrow(run, "day int, cells array<double>")
 
 
 def pair_moments(x: np.ndarray) -> np.ndarray:
@@ -84,11 +134,63 @@ def correlations(moments: np.ndarray, k: int, flat: float = 1e-3) -> np.ndarray:
         return np.nan_to_num((p / n - mean * mean.T) / scale, nan=0.0, posinf=0.0, neginf=0.0)
 
 
+def numbered(frame: DataFrame, day: Column, names: Sequence[str]) -> DataFrame:
+    return frame.select(day.cast("int").alias("day"), *(F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)))
+
+
+@dataclass
+class Moments:
+    """Number, mean and summed square deviation of arrays, in one pass."""
+
+    n: int
+    mean: np.ndarray
+    square: np.ndarray
+
+    def add(self, n: int, mean: np.ndarray, square: np.ndarray | float) -> None:
+        total = self.n + n
+        away = mean - self.mean
+        self.mean = self.mean + away * (n / total)
+        self.square = self.square + square + away * away * (self.n * n / total)
+        self.n = total
+
+
+def mean_correlations(frame: DataFrame, day: Column, names: Sequence[str]) -> DataFrame:
+    """a, b, mean and std (sample deviation) over days of the correlation of each pair of columns (by place, a < b).
+
+    Rows meet by day, and a task that has a day whole goes on to its correlations and their moments over the task's days. Only these
+    are sent, a row of the matrix at a time, so wide pools cost one shuffle of the rows and a matrix for each task.
+    """
+    k = len(names)
+    width, out = 4 * k * k, "a int, b int, mean double, std double"
+    slabs = "a int, n long, mean array<double>, square array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Moments(0, np.zeros((k, k)), np.zeros((k, k)))
+        for _, cells in merged(batches, pair_moments, width, k):
+            own.add(1, correlations(cells, k), 0.0)
+        if own.n:
+            for a in range(k - 1):
+                rest = [pa.array([x[a, a + 1 :]], pa.list_(pa.float64())) for x in (own.mean, own.square)]
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([own.n], pa.int64()), *rest], names=["a", "n", "mean", "square"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Moments] = {}
+        for batch in batches:
+            for a, n, mean, square in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                part = mean.values.to_numpy(), square.values.to_numpy()
+                held.setdefault(a, Moments(0, np.zeros(k - 1 - a), np.zeros(k - 1 - a))).add(n, *part)
+        for a, own in held.items():
+            b = np.arange(a + 1, k, dtype=np.int32)
+            std = np.sqrt(np.maximum(own.square, 0.0) / (own.n - 1)) if own.n > 1 else np.full(len(b), np.nan)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a, np.int32)), pa.array(b), pa.array(own.mean), pa.array(std, from_pandas=True)], names=["a", "b", "mean", "std"])
+
+    return parts_of(numbered(frame, day, names), pair_moments, width).mapInArrow(run, slabs).repartition("a").mapInArrow(join, out)
+
+
 def daily_correlations(frame: DataFrame, day: Column, names: Sequence[str]) -> DataFrame:
     """day, a, b and ic: the correlation of each pair of columns (by place, a < b) on each day, from one pass over the rows."""
     k = len(names)
-    rows = frame.select(day.cast("int").alias("day"), *(F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)))
-    found = arrays(sums_by(rows, pair_moments, 4 * k * k))
+    found = sums_by(numbered(frame, day, names), pair_moments, 4 * k * k)
 
     def moment(i: int, a: Column, b: Column) -> Column:
         return F.get("cells", a * k + b + i * k * k)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.registry import CODE, DATE
-from .gram import daily_correlations
+from .gram import mean_correlations
 from .ieee import clean
 from .ranking import percentiles
 
@@ -165,6 +165,6 @@ def factor_summary(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
 
 def mutual_ic(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
     """a, b and ic: the mean over dates of the correlation of each pair of factors, from one pass over the rows."""
-    daily = daily_correlations(frame, F.unix_date(DATE), factors)
     names = F.array(*map(F.lit, factors))
-    return daily.groupBy("a", "b").agg(F.avg("ic").alias("ic")).select(F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), "ic")
+    found = mean_correlations(frame, F.unix_date(DATE), factors)
+    return found.select(F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), F.col("mean").alias("ic"))

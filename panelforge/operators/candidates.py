@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.gram import arrays, correlations, pair_moments, sums_by
+from ..functions.gram import correlations, pair_moments, sums_by
 from ..plans.ir import Call, Const, Feature, Node, key
 from ..plans.parser import FormulaError, check, parse
 from .registry import OPERATORS, SEARCH_OPERATORS, SEARCH_WINDOWS
@@ -152,7 +152,7 @@ def pairwise_correlation(series: DataFrame, names: Sequence[str]) -> np.ndarray:
     if not k:
         return np.eye(0)
     rows = series.select(F.lit(0).alias("day"), *(F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)))
-    found = arrays(sums_by(rows, pair_moments, 4 * k * k)).first()
+    found = sums_by(rows, pair_moments, 4 * k * k).first()
     out = abs(correlations(np.asarray(found["cells"], float), k, 1e-12)) if found else np.zeros((k, k))
     np.fill_diagonal(out, 1.0)
     return out

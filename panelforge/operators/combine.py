@@ -75,7 +75,7 @@ def daily_products(frame: DataFrame, factors: Sequence[str], target: str) -> Dat
         return (full.T @ full)[upper]
 
     rows = frame.where(F.col(target).isNotNull() & (F.abs(target) < float("inf"))).select(F.col(POS).cast("int").alias("day"), *(F.col(f).cast("double").alias(f"c{i}") for i, f in enumerate(factors)), F.col(target).cast("double").alias("y"))
-    cells = sums_by(rows, products, len(upper[0]))
+    cells = sums_by(rows, products, len(upper[0])).select("day", F.posexplode("cells").alias("cell", "value"))
     places = F.array(*(F.struct(F.lit(int(i)).alias("i"), F.lit(int(j)).alias("j")) for i, j in zip(*upper, strict=True)))
     return cells.withColumn("at", F.get(places, F.col("cell"))).select(F.col("day").alias(POS), "at.i", "at.j", "value")
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.gram import arrays, daily_correlations, sums_by
+from ..functions.gram import daily_correlations, mean_correlations, sums_by
 from .registry import DATE
 
 
@@ -30,8 +30,8 @@ class Scores:
 def score(frame: DataFrame, names: Sequence[str], target: str) -> Scores:
     """One pass over the rows for all columns and pairs, and one aggregation over the dates' correlations."""
     k = len(names)
-    daily = daily_correlations(frame, F.unix_date(DATE), [*names, target])
-    rows = daily.groupBy("a", "b").agg(F.avg("ic").alias("mean"), (F.avg("ic") / (F.stddev_samp("ic") + 1e-6)).alias("ratio")).collect()  # a row for each pair
+    found = mean_correlations(frame, F.unix_date(DATE), [*names, target])
+    rows = found.select("a", "b", "mean", (F.col("mean") / (F.col("std") + 1e-6)).alias("ratio")).collect()  # a row for each pair
     ic, icir, mutual = np.zeros(k), np.zeros(k), np.eye(k)
     for r in rows:
         if r["b"] == k:
@@ -179,7 +179,7 @@ class LeastSquaresPool:
         k = len(names)
         rows = frame.where(F.col(target).isNotNull() & (F.abs(target) < float("inf")))
         rows = rows.select(F.lit(0).alias("day"), F.lit(1.0).alias("one"), *(F.coalesce(F.col(n), F.lit(0.0)).alias(f"c{i}") for i, n in enumerate(names)), F.col(target).cast("double").alias("y"))
-        found = arrays(sums_by(rows, lambda x: (x.T @ x).ravel(), (k + 2) ** 2)).first()
+        found = sums_by(rows, lambda x: (x.T @ x).ravel(), (k + 2) ** 2).first()
         if found is None:
             return np.zeros(k + 1), 0.0
         full = np.asarray(found["cells"], float).reshape(k + 2, k + 2)

@@ -358,7 +358,7 @@ def test_sums_by_day_do_not_depend_on_batches(spark, monkeypatch):
     x[draw.random((500, 3)) < 0.2] = np.nan
     days = draw.integers(0, 5, 500)
     rows = spark.createDataFrame([(int(d), *(None if math.isnan(v) else float(v) for v in r)) for d, r in zip(days, x, strict=True)], "day int, a double, b double, c double").repartition(3)
-    for r in gram.arrays(gram.sums_by(rows, gram.pair_moments, 36)).collect():
+    for r in gram.sums_by(rows, gram.pair_moments, 36).collect():
         found = gram.correlations(np.array(r["cells"]), 3)
         for i in range(3):
             for j in range(3):
