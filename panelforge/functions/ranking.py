@@ -1,70 +1,86 @@
 """Ranks and percentiles over whole tables, without sorting a table in one task.
 
-Values fall into slices that keep their order. The slices are counted first, a table that the range of doubles bounds; a
-value's place is the number of those in slices before it and its place in its own slice.
+Equal values are counted first, so a value that half of the rows have is one row from there on. The different values fall into
+slices between splitters: their own approximate quantiles, so slices are of about one size wherever the values lie. A value's
+place is the number of rows in slices before it and of smaller values in its own slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices by factor of e, and more than any number of slices on one side of zero.
-FINE, SIDE = 256.0, 1_000_000
+#: Slices for each partition of a shuffle, so that tasks get about as much each, and at most.
+PER_TASK, MOST = 8, 10_000
 
 
-def slice_of(x: Column) -> Column:
-    """The slice of a value: equal values share one, and a larger value's is never less."""
-    size = F.least(F.floor(F.least(F.greatest(F.ln(F.abs(x)), F.lit(-1000.0)), F.lit(1000.0)) * FINE), F.lit(SIDE - 1)).cast("int") + F.lit(SIDE)
-    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0))
+def slices(frame: DataFrame) -> int:
+    """The root of the number of slices: splitters are looked up in two steps."""
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return isqrt(min(MOST, max(64, PER_TASK * tasks)) - 1) + 1
 
 
-def counted_slices(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The number of rows in the slices before each (_before), and in all of them (_all); one window over counts by slice."""
-    counts = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
+def sliced(counts: DataFrame, value: str) -> DataFrame:
+    """counts with _slice: equal values share one, and a larger value's is never less.
+
+    The splitters are one small array, a scalar subquery over the values of all groups."""
+    m = slices(counts)
+    x = F.col(value).cast("double")
+    cuts = F.percentile_approx(x, [i / (m * m) for i in range(1, m * m + 1)], 10 * m * m)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.slice("_cuts", i * m + 1, m))
+    splitters = counts.agg(cuts.alias("_cuts")).select(F.struct(rows.alias("fine"), F.transform(rows, lambda r: F.element_at(r, -1)).alias("last")).alias("s")).scalar()
+    placed = counts.withColumn("_s", splitters).withColumn("_i", F.least(F.size(F.filter("_s.last", lambda c: c < x)), F.lit(m - 1)))
+    fine = F.get("_s.fine", F.col("_i"))
+    return placed.withColumn("_slice", F.col("_i") * m + F.size(F.filter(fine, lambda c: c < x))).drop("_s", "_i")
+
+
+def placed_values(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """The columns of by, the different values, how many rows have each (_n), smaller ones (_before), and any (_all)."""
+    by = list(by)
+    counts = sliced(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), value)
+    totals = counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_m"))
     own = Window.partitionBy(*by)
-    before = F.sum("_n").over(own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    return counts.select(*by, "_slice", before.alias("_before"), F.sum("_n").over(own).alias("_all"))
+    upto = F.sum("_m").over(own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = totals.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_slice").alias("_at"), (upto - F.col("_m")).alias("_start"), F.sum("_m").over(own).alias("_all"))
+    on = F.col("_slice") == F.col("_at")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    joined = counts.join(totals, on)
+    inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined.select(*by, value, "_n", (F.col("_start") + F.sum("_n").over(inside) - F.col("_n")).alias("_before"), "_all")
 
 
 def with_rank(rows: DataFrame, value: str, by: Sequence[str] = (), rank: str = "rank", ties: str = "ties", total: str = "total") -> DataFrame:
     """rows with the place of each value from 1 (of equal ones the first), how many are equal to it, and how many there are.
 
-    Rows without a value are left out.
+    Rows without a value are left out; groups without a name are one group.
     """
     by = list(by)
-    rows = rows.where(F.col(value).isNotNull()).withColumn("_slice", slice_of(F.col(value).cast("double")))
-    key = [*by, "_slice"]
-    placed = rows.join(counted_slices(rows, by), key) if by else rows.join(counted_slices(rows, by), "_slice")
-    inside = Window.partitionBy(*key)
-    made = placed.withColumns({rank: F.col("_before") + F.rank().over(inside.orderBy(value)), ties: F.count(F.lit(1)).over(Window.partitionBy(*key, value)), total: F.col("_all")})
-    return made.drop("_slice", "_before", "_all")
+    places = placed_values(rows, value, by).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])), "_n", "_before", "_all")
+    on = F.col(value) == F.col(f"_k{len(by)}")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(places, on)
+    return joined.select(*rows.columns, (F.col("_before") + 1).alias(rank), F.col("_n").alias(ties), F.col("_all").alias(total))
 
 
 def percentiles(rows: DataFrame, value: str, points: Sequence[float], by: Sequence[str]) -> DataFrame:
     """The columns of by and p: exact percentiles of the values there, between neighbours in proportion."""
     by = list(by)
-    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x")).withColumn("_slice", slice_of(F.col("_x")))
-    slices = counted_slices(rows, by)
-    width = Window.partitionBy(*by).orderBy("_slice")
-    slices = slices.withColumn("_upto", F.coalesce(F.lead("_before").over(width), F.col("_all")))
-    # places from 0 that are asked for, two for each point, and the slices they lie in
+    places = placed_values(rows.select(*by, F.col(value).cast("double").alias("_x")), "_x", by)
+    # places from 0 that are asked for, of which a value keeps those that it covers
     at = F.array(*(F.struct(F.lit(i).alias("i"), (p * (F.col("_all") - 1)).alias("at")) for i, p in enumerate(points)))
-    wanted = slices.select(*by, "_slice", "_before", "_upto", F.explode(at).alias("w"))
-    wanted = wanted.select(*by, "_slice", "_before", F.col("w.i").alias("_i"), F.col("w.at").alias("_at"), "_upto")
-    wanted = wanted.where((F.ceil("_at") >= F.col("_before")) & (F.floor("_at") < F.col("_upto")))
-    few = rows.join(wanted.select(*by, "_slice").distinct(), [*by, "_slice"], "left_semi").groupBy(*by, "_slice", "_x").agg(F.count("*").alias("_k"))
-    inside = Window.partitionBy(*by, "_slice").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    few = few.withColumn("_last", F.sum("_k").over(inside))
-    met = few.join(wanted, [*by, "_slice"])
-    first, last = F.col("_before") + F.col("_last") - F.col("_k"), F.col("_before") + F.col("_last") - 1
+    first, last = F.col("_before"), F.col("_before") + F.col("_n") - 1
+    here = F.filter(at, lambda w: (F.ceil(w["at"]) >= first) & (F.floor(w["at"]) <= last))
+    met = places.select(*by, "_x", first.alias("_first"), last.alias("_last"), F.explode(here).alias("w")).select(*by, "_x", "_first", "_last", "w.i", "w.at")
 
     def value_at(place: Column) -> Column:
-        return F.max(F.when((first <= place) & (place <= last), F.col("_x")))
+        return F.max(F.when((F.col("_first") <= place) & (place <= F.col("_last")), F.col("_x")))
 
-    share = F.max(F.col("_at") - F.floor("_at"))
-    lo, hi = value_at(F.floor("_at")), value_at(F.ceil("_at"))
-    each = met.groupBy(*by, "_i").agg(F.when(share == 0, lo).otherwise(lo + (hi - lo) * share).alias("_v"))
-    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_p")).select(*by, F.col("_p._v").alias("p"))
+    share = F.max(F.col("at") - F.floor("at"))
+    lo, hi = value_at(F.floor("at")), value_at(F.ceil("at"))
+    each = met.groupBy(*by, "i").agg(F.when(share == 0, lo).otherwise(lo + (hi - lo) * share).alias("_v"))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "_v"))).alias("_p")).select(*by, F.col("_p._v").alias("p"))

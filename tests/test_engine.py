@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import gram, metrics
+from panelforge.functions import gram, metrics, ranking
 from panelforge.functions.catalogue import clipped, price_features
 from panelforge.functions.ranking import percentiles, with_rank
 from panelforge.operators import candidates, combine, panel, universe
@@ -352,6 +352,18 @@ def test_ranks_and_percentiles_without_one_sort(spark):
         assert r["p"] == pytest.approx(np.quantile(own, points).tolist())
 
 
+def test_ranks_of_crowded_values_spread(spark):
+    """Half of the values are one, the rest lie within a thousandth of each other: no slice holds more than twice its share of different values."""
+    n = 40_000
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit(0.0)).otherwise(1000 + F.col("id") / n).alias("v"), F.when(F.col("id") % 3 == 0, F.lit("g")).alias("g"))
+    counts = rows.groupBy("v").agg(F.count("*").alias("_n"))
+    sizes = [r["count"] for r in ranking.sliced(counts, "v").groupBy("_slice").count().collect()]
+    assert sum(sizes) == n // 2 + 1 and max(sizes) <= 2 * sum(sizes) / ranking.slices(counts) ** 2
+    found = with_rank(rows, "v").agg(F.sum("rank").alias("r"), F.max("rank").alias("m"), F.max("ties").alias("t"), F.max("total").alias("n")).first()
+    assert (found["r"], found["m"], found["t"], found["n"]) == (n // 2 + sum(range(n // 2 + 1, n + 1)), n, n // 2, n)
+    assert with_rank(rows, "v", ["g"]).where("g is null").count() == sum(i % 3 != 0 for i in range(n))
+
+
 def test_sums_by_day_do_not_depend_on_batches(spark, monkeypatch):
     draw = np.random.default_rng(6)
     x = draw.normal(size=(500, 3))
