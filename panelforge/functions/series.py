@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 class SortedWindow:
@@ -215,7 +216,5 @@ def carried(frame: DataFrame, key: str, order: str, columns: Sequence[tuple[str,
                     out[row] = one.next(x[row])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(m, pa.float64()) for m in made)], names=[*names, *(n for n, _, _ in columns)])
 
-    schema = frame.schema
-    for name, _, _ in columns:
-        schema = schema.add(name, "double")
+    schema = StructType([*frame.schema.fields, *(StructField(name, DoubleType()) for name, _, _ in columns)])
     return frame.sortWithinPartitions(key, order).mapInArrow(run, schema)

@@ -95,14 +95,6 @@ def load_with_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_range(spark, sf_dir, pool=early.unionByName(late)).frame.where("asked").select(DATE, CODE, "vol", "close")
 
 
-@query("SELECT * FROM (VALUES ('absent', NULL), ('tax', 'tax_valid'), ('vol', 'vol_raw')) AS v(feature, physical)")
-def schema_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which column of a file stands for each feature."""
-    path, _ = raw_files(spark, sf_dir)
-    columns = spark.read.parquet(path).columns
-    return spark.createDataFrame([(f, features.physical(f, columns)) for f in ("vol", "tax", "absent")], "feature string, physical string")
-
-
 @query(f"{CALENDAR}, f AS (SELECT date, code, coalesce(last_value(vol IGNORE NULLS) OVER (PARTITION BY code ORDER BY pos ROWS BETWEEN 30 PRECEDING AND CURRENT ROW), vol) AS v1, pos FROM p), b AS (SELECT *, first_value(v1 IGNORE NULLS) OVER (PARTITION BY code ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v2 FROM f) SELECT strftime(date, '%Y%m%d') AS trade_date, code AS ts_code, {s5('coalesce(v2, median(v2) OVER ' + D_ + ', 0)')} AS vol, 'factor_ready_filled' AS folder FROM b")
 def filled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features filled, written beside the raw file, found there by the loader's rule and read back."""
@@ -181,38 +173,6 @@ def expression_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.select(DATE, CODE, r5(combine.static(frame, dict(zip(named, [*wa, *wb], strict=True)))).alias("x"))
 
 
-@query("SELECT * FROM (VALUES ('Abs($close)', 'price', 'size'), ('TsMean($vol,10)', 'volume', 'mean')) AS v(expression, topic, description)")
-def initial_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formulas to begin with, from a list in Python's syntax."""
-    path = f"{fresh_path(spark, 'initial')}/a.txt"
-    write_text(path, "[('Abs($close)', 'price', 'size'),\n ('TsMean($vol,10)', 'volume', 'mean')]")
-    return spark.createDataFrame(pools.read_initial(path), "expression string, topic string, description string")
-
-
-@query(
-    """SELECT * FROM (VALUES ('window', '9'), ('path', 'x'), ('alpha', '0.1'), ('pool', '7'), ('list', '[1, 2, 3]'), ('names', 'a b'), ('problems', '4'), ('mode', '378'),
-    ('range', '20180101 20191231 20200101 20240630'), ('longest', '10'), ('bad mode', 'refused')) AS v(name, value)"""
-)
-def task_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings of a task: a nested file under what was given, lists from text, checks of descriptions, modes and ranges of dates."""
-    path = f"{fresh_path(spark, 'task')}/t.json"
-    write_text(path, json.dumps({"data": {"window": 5, "path": "x"}, "pool": 7}))
-    merged = registry.merge({"window": 9, "path": "d"}, {"window": 1, "path": "d", "alpha": 0.1}, path)
-    rows = {k: str(v) for k, v in merged.items()} | {
-        "list": str(registry.numbers("1, 2,3", int)),
-        "names": " ".join(registry.numbers("a, b", str)),
-        "problems": str(len(registry.problems({"name": "n", "frequency": "weekly"}))),
-        "mode": str(combine.settings("cloud", alpha=0.5)["window"]),
-        "range": " ".join(registry.date_range("C", 2019, 2024)),
-        "longest": str(registry.longest_formula(4)),
-    }
-    try:
-        combine.settings("other")
-    except ValueError:
-        rows["bad mode"] = "refused"
-    return spark.createDataFrame(list(rows.items()), "name string, value string")
-
-
 # The catalogue of features
 
 
@@ -468,13 +428,6 @@ def candidate_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.row_number().over(Window.orderBy(F.desc("score"), "expr")).alias("place"), "expr", "score")  # 50 rows
 
 
-@query("SELECT * FROM (VALUES ('Abs($close)'), ('TsMean(TsStd($vol,5),5)')) AS v(expr)")
-def valid_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that are formulas and keep the rules."""
-    texts = ["Abs($close)", "Abs(1.0)", "Nope($close)", "TsMean(TsStd($vol,5),5)", "TsMean(TsStd(TsMax($vol,5),5),5)", "TsMean($close)", ""]
-    return candidates.valid(spark.createDataFrame([(t,) for t in texts], "expr string"))
-
-
 @query(f"{SCORED}, q AS (SELECT abs(corr(f1, f2)) AS a, abs(corr(f1, f3)) AS b, abs(corr(f2, f3)) AS c FROM s) SELECT 'f1' AS factor UNION ALL SELECT 'f2' FROM q WHERE a <= 0.5 UNION ALL SELECT 'f3' FROM q WHERE b <= 0.5 AND (a > 0.5 OR c <= 0.5)")
 def greedy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors from the best on, without those too close to one taken."""
@@ -483,108 +436,6 @@ def greedy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(list(FACTORS)[i],) for i in taken], "factor string")
 
 
-@query("SELECT * FROM (VALUES ('enumerated', 10), ('random', 40), ('different', 40), ('unknown operator', 1)) AS v(name, n)")
-def candidate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every call of some operators on a feature; random formulas, all different; a search space with an unknown operator."""
-    every = list(candidates.enumerate_calls([Feature("close")], ["Abs", "TsMean", "Add", "TsCorr"], (5, 10, 20, 30)))
-    drawn = candidates.random_trees(["close", "vol"], 40, seed=3)
-    unknown = 0
-    try:
-        candidates.check_search([*SEARCH_OPERATORS, "Nope"])
-    except FormulaError:
-        unknown = 1
-    return spark.createDataFrame([("enumerated", len(every)), ("random", len(drawn)), ("different", len(set(map(str, drawn)))), ("unknown operator", unknown)], "name string, n int")
-
-
-# Formulas as data
-
-
-@query(
-    """SELECT name, text, depth, back, ahead, CAST(dimension AS DOUBLE) AS dimension FROM (VALUES ('TsMean($close,5)', 'TsMean($close,5)', 1, 4, 0, 1.0), ('Ref($close,3)', 'Ref($close,3)', 1, 3, 0, 1.0), ('TsStd(TsDelta($close,2),4)', 'TsStd(TsDelta($close,2),4)', 2, 5, 0, 1.0),
-    ('$close + 1', 'Add($close,1.0)', 0, 0, 0, 1.0), ('1 - $close', 'Sub(1.0,$close)', 0, 0, 0, 1.0), ('$close * $vol / 2', 'Div(Mul($close,$vol),2.0)', 0, 0, 0, 2.0), ('$close ** 2', 'Pow($close,2.0)', 0, 0, 0, 2.0),
-    ('-$close', 'Sub(0.0,$close)', 0, 0, 0, 1.0), ('abs($close)', 'Abs($close)', 0, 0, 0, 1.0), ('lead', 'Ref($close,-2)', 1, 0, 2, 1.0), ('corr', 'TsCorr($close,$vol,6)', 1, 5, 0, 0.0)) AS v(name, text, depth, back, ahead, dimension)"""
-)
-def formula_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical texts, depth of windows, reach and dimension of parsed formulas and of those built with Python's operators."""
-    c, v = Feature("close"), Feature("vol")
-    trees = {t: parse(t) for t in ("TsMean($close,5)", "Ref($close,3)", "TsStd(TsDelta($close,2),4)")}
-    trees |= {"$close + 1": c + 1, "1 - $close": 1 - c, "$close * $vol / 2": c * v / 2, "$close ** 2": c**2, "-$close": -c, "abs($close)": abs(c), "lead": Call("Ref", (c,), -2), "corr": parse("TsCorr($close,$vol,6)")}
-    rows = [(n, str(t), ts_depth(t), *reach(t), float(dimension(t))) for n, t in trees.items()]
-    return spark.createDataFrame(rows, "name string, text string, depth int, back int, ahead int, dimension double")
-
-
-@query(
-    """SELECT * FROM (VALUES ('Abs($close', false), ('Abs($close) $vol', false), ('Abs(5)', false), ('TsMean($close,0)', false), ('TsMean($close,5.0)', false), ('Add($close)', false), ('TsCorr($close,1.0,5)', false),
-    ('Add(1.0,2.0)', false), ('Add($close,5)', false), ('5', false), ('TsMax(TsMax(TsMax($close,2),2),2)', false), ('Add($close,-1.5e0)', true), ('TsCorr($close,$vol,5)', true), (' Rank( $close ) ', true)) AS v(text, good)"""
-)
-def formula_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which texts are formulas."""
-    texts = ["Abs($close", "Abs($close) $vol", "Abs(5)", "TsMean($close,0)", "TsMean($close,5.0)", "Add($close)", "TsCorr($close,1.0,5)", "Add(1.0,2.0)", "Add($close,5)", "5", "TsMax(TsMax(TsMax($close,2),2),2)", "Add($close,-1.5e0)", "TsCorr($close,$vol,5)", " Rank( $close ) "]
-    return spark.createDataFrame([(t, candidates.is_valid(t)) for t in texts], "text string, good boolean")
-
-
-@query(
-    """SELECT * FROM (VALUES ('Add($close,$vol)', 'Add($vol,$close)', 0), ('TsMean($close,5)', 'TsMean($close,10)', 0), ('Ref($close,5)', 'Ref($close,10)', 1), ('Sub($close,$vol)', 'Sub($vol,$close)', 2),
-    ('TsMean($close,5)', 'TsStd($close,5)', 1), ('Abs($close)', '$close', 1), ('Add(Abs($close),$vol)', 'Add($vol,$close)', 1)) AS v(a, b, distance)"""
-)
-def formula_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits between formulas."""
-    pairs = [("Add($close,$vol)", "Add($vol,$close)"), ("TsMean($close,5)", "TsMean($close,10)"), ("Ref($close,5)", "Ref($close,10)"), ("Sub($close,$vol)", "Sub($vol,$close)"), ("TsMean($close,5)", "TsStd($close,5)"), ("Abs($close)", "$close"), ("Add(Abs($close),$vol)", "Add($vol,$close)")]
-    return spark.createDataFrame([(a, b, distance(parse(a), parse(b))) for a, b in pairs], "a string, b string, distance int")
-
-
-@query(
-    """SELECT * FROM (VALUES (0, 'nothing', '$close 1.0', false), (1, '$close', '$close 1.0 Abs 5', true), (2, '$close 5', 'TsMean', false), (3, 'TsMean($close,5)', '$close 1.0 Abs 5', true),
-    (4, 'TsMean($close,5) 2.0', '$close Mul', false), (5, 'Mul(TsMean($close,5),2.0)', '$close 1.0 Abs 5', true)) AS v(step, stack, allowed, done)"""
-)
-def builder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A formula put together token by token: what may come next at each step."""
-    tokens = [Feature("close"), Const(1.0), "Abs", "Mul", 5, "TsMean"]
-    now, rows = Builder(), []
-    for step, token in enumerate([Feature("close"), 5, "TsMean", Const(2.0), "Mul", None]):
-        allowed = " ".join(str(t) for t, ok in zip(tokens, now.choices(tokens), strict=True) if ok)
-        rows.append((step, " ".join(map(str, now.stack)) or "nothing", allowed, now.done))
-        if token is not None:
-            now = now.add(token)
-    return spark.createDataFrame(rows, "step int, stack string, allowed string, done boolean")
-
-
-@query(
-    """SELECT * FROM (VALUES ('unit', 'TsVar($close,5) + $close'), ('reach', 'TsMean($close,20)'), ('ends', 'TsMean($close,30) | Abs($close)')) AS v(name, value)"""
-)
-def refused_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formulas that a check refuses: unlike dimensions, and windows beyond the margins that were loaded; open windows take one of a list."""
-    rows, found = [], parse("Add(TsVar($close,5),$close)")
-    try:
-        dimension(found)
-    except UnitError:
-        rows.append(("unit", "TsVar($close,5) + $close"))
-    try:
-        load_range(spark, sf_dir).evaluate({"v": "TsMean($vol,20)"})
-    except OutOfRange:
-        rows.append(("reach", "TsMean($close,20)"))
-    rows.append(("ends", f"{fill_windows('TsMean($close,%d)', (30,))} | {Builder((Feature('close'),)).add('Abs').tree()}"))
-    return spark.createDataFrame(rows, "name string, value string")
-
-
-@query("SELECT * FROM (VALUES ('TsMean($close,5)', NULL, 0, 2, 'price', 2), ('Abs(TsMean($close,5))', 'TsMean($close,5)', 1, 3, 'price', 1), ('Add(Abs(TsMean($close,5)),$vol)', 'Abs(TsMean($close,5))', 2, 5, 'volume', 1)) AS v(expression, parent, depth, length, topic, times)")
-def lineage_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formulas and what they were made from."""
-    own = Lineage()
-    own.insert("TsMean($close,5)", topic="price")
-    own.insert("TsMean($close,5)")
-    own.insert("Abs(TsMean($close,5))", "TsMean($close,5)", topic="price")
-    own.insert("Add(Abs(TsMean($close,5)),$vol)", "Abs(TsMean($close,5))", topic="volume")
-    return own.to_frame(spark).select("expression", "parent", "depth", "length", "topic", "times")
-
-
-@query("SELECT * FROM (VALUES ('Add(TsMean($close,5),$vol)', 'TsMean($close,5)', 'either'), ('Add(TsMean($close,5),$vol)', '$vol', 'either'), ('TsMean($close,5)', '$close', 'only'), ('TsMean($close,5)', '5', 'window'), ('Sub($close,$vol)', '$close', 'left'), ('Sub($close,$vol)', '$vol', 'right')) AS v(parent, child, kind)")
-def formula_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed edges of formulas."""
-    found = [e for t in ("Add(TsMean($close,5),$vol)", "Sub($close,$vol)") for e in edges(parse(t))]
-    return spark.createDataFrame(found, "parent string, child string, kind string").distinct()
-
-
 # Sinks and stores
 
 STORED = f"""{CALENDAR}, q0 AS (SELECT date, pos, code, {full(5, f"avg(close) OVER {w(5)}", "close")} AS v FROM p),

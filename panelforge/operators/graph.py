@@ -6,10 +6,13 @@ import json
 import random
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.batch import tree
 from ..plans.ir import COMMUTATIVE, Call, Node
 from ..plans.parser import parse
+from ..store import read_text, write_text
 
 NODES = "expression string, parent string, depth int, length int, topic string, description string, ic double, icir double, times int"
 
@@ -49,14 +52,12 @@ class Lineage:
         return spark.createDataFrame([tuple(n[f.split()[0]] for f in NODES.split(", ")) for n in self.nodes.values()], NODES)
 
     def save(self, path: str) -> None:
-        with open(path, "w") as out:
-            json.dump(list(self.nodes.values()), out)
+        write_text(path, json.dumps(list(self.nodes.values())))
 
     @classmethod
     def load(cls, path: str) -> Lineage:
         own = cls()
-        with open(path) as lines:
-            own.nodes = {n["expression"]: n for n in json.load(lines)}
+        own.nodes = {n["expression"]: n for n in json.loads(read_text(path))}
         return own
 
 
@@ -78,3 +79,16 @@ def edges(x: Node) -> Iterator[tuple[str, str, str]]:
         yield from edges(child)
     if x.window is not None:
         yield str(x), str(x.window), "window"
+
+
+def edge_rows(rows: DataFrame, expr: str = "expr") -> DataFrame:
+    """parent, child and kind of the edges of each row's formula; texts that are none give none."""
+    place = rows.columns.index(expr)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = (tree(text) for text in batch.column(place).to_pylist())
+            found = [e for own in trees if not isinstance(own, str) for e in edges(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.string()) for i in range(3)], names=["parent", "child", "kind"])
+
+    return rows.mapInArrow(run, "parent string, child string, kind string")

@@ -640,4 +640,4 @@ def strategy_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.select("portfolio", DATE, CODE, "signal", F.lit(True).alias("buyable"), F.lit(True).alias("sellable"))
 
 
-from . import more_queries, walk_queries  # noqa: E402, F401  register the rest
+from . import formula_queries, more_queries, walk_queries  # noqa: E402, F401  register the rest
