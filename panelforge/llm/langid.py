@@ -5,7 +5,7 @@ permuted by its place; a text is the sum (bundle) of its n-grams, and a language
 texts. A text gets the language of the prototype with the largest cosine.
 
 Letters are lower-cased; all else is one gap. Learning takes rows with text and language; each task sends one vector of
-fixed size per language, and these are summed. A text that is null or has no letter is `und` with score 0, as is every
+fixed size per language, and these are summed in two steps. A text that is null or has no letter is `und` with score 0, as is every
 text if nothing could be learnt. Ties go to the language first in order. Rows are judged one by one, so repeated rows
 get equal results; an empty table gives an empty result. Texts are read whole; one with very many different n-grams is
 bundled in parts. Columns under the result's two names are replaced, others kept.
@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ from .common import batches, schema_of, valid_text
 
 #: Dimensions of a vector, the seed of the letters' vectors, bits of a code point, and vectors of n-grams held at once.
 DIMENSIONS, SEED, BITS, HELD = 1024, 7, 21, 1 << 16
+#: Parts that a language's vectors are summed in first.
+PARTS = 256
 UNKNOWN = "und"
 LOW = (1 << BITS) - 1
 
@@ -107,14 +110,16 @@ def learn(docs: DataFrame, use: Column) -> Prototypes:
             for lang, lists in own.items():
                 grams, counts = np.unique(np.concatenate(lists), return_counts=True)
                 sums[lang] = sums.get(lang, 0) + bundle(grams, counts)
-        for i, (lang, total) in enumerate(sums.items()):
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([i % 16], pa.int32()), pa.array([total.tobytes()])], schema=schema_of(kinds))
+        part = TaskContext.get().partitionId() % PARTS
+        for lang, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([total.tobytes()])], schema=schema_of(kinds))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(v) for v in pdf["vector"]], axis=0)
-        return pd.DataFrame({"lang": pdf["lang"][:1], "part": 0, "vector": [total.tobytes()]})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "part": pdf["part"].iloc[:1], "vector": [total.tobytes()]})
 
-    summed = rows.mapInArrow(per_task, kinds).groupBy("lang").applyInPandas(add, kinds)
+    # part by part, then of all parts: no group has a vector for each task
+    summed = rows.mapInArrow(per_task, kinds).groupBy("lang", "part").applyInPandas(add, kinds).groupBy("lang").applyInPandas(add, kinds)
     found = sorted((r["lang"], np.frombuffer(bytes(r["vector"]))) for r in summed.select("lang", "vector").collect())  # one row a language
     found = [(lang, v) for lang, v in found if v.any()]
     return Prototypes([lang for lang, _ in found], np.array([v / np.linalg.norm(v) for _, v in found]).reshape(len(found), DIMENSIONS))

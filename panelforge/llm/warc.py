@@ -11,7 +11,9 @@ are revisit records that refer to it and carry the HTTP headers alone. Payloads
 
 Null payloads count as empty, null URLs are left out, and a null page_id is never referred to if its payload has another
 page; rows with the same page_id get a record each, and of equal payloads under the largest page_id all are responses.
-An empty table gives no archive and an empty result. Other columns are ignored, whatever their names. A record is held in
+An empty table gives no archive and an empty result. Archives of other
+writers are read as well: their ids are texts (record_id, refers_to_id; page_id is null), header fields may be folded, in any
+case and hold any bytes; payloads are as stored, and a record without a header that can be read is an error. Other columns are ignored, whatever their names. A record is held in
 memory whole, as is a page by Spark; bytes of a page or URL that are no UTF-8 become replacement characters.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,16 +41,33 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 MANIFEST = "file string, size long"
-RECORDS = "page_id long, record_type string, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "page_id long, record_type string, url string, refers_to long, payload_bytes long, payload_digest string, record_id string, refers_to_id string, payload binary"
 
 
 def _id(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def _page(record_id: str) -> int | None:
-    tail = record_id.rstrip(">").rpartition(":")[2]
-    return None if tail == "null" else int(tail)
+def _page(record_id: str | None) -> int | None:
+    """The page of a record id that this writer gave; None for ids of others."""
+    own = re.fullmatch(r"<urn:page:(-?[0-9]+)>", record_id or "")
+    return int(own[1]) if own else None
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before. ValueError for a line that is no field."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise ValueError(f"{line[:40]!r} is no header field")
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
 
 
 def member(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None) -> bytes:
@@ -67,15 +87,17 @@ def member(page_id: int | None, url: str | None, payload: bytes | None, digest:
 def parse(record: bytes) -> tuple:
     """The columns of RECORDS from an inflated member."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    url = fields.get("WARC-Target-URI")
-    url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-    if fields["WARC-Type"] == "revisit":
-        size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
-        return _page(fields["WARC-Record-ID"]), "revisit", url, _page(fields["WARC-Refers-To"]), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), None
-    return _page(fields["WARC-Record-ID"]), fields["WARC-Type"], url, None, len(payload), hashlib.sha1(payload).hexdigest(), payload
+    fields = fields_of(head)
+    block = rest[: int(fields["content-length"])]
+    http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
+    own, other = fields["warc-record-id"], fields.get("warc-refers-to")
+    url = fields.get("warc-target-uri")
+    if own.startswith("<urn:page:"):  # as this writer has them
+        url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    if fields["warc-type"] == "revisit":
+        size = fields_of(http).get("content-length") if http else None
+        return _page(own), "revisit", url, _page(other), None if size is None else int(size), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, own, other, None
+    return _page(own), fields["warc-type"], url, _page(other), len(payload), hashlib.sha1(payload).hexdigest(), own, other, payload
 
 
 def members(file, start: int, end: int, size: int) -> Iterator[bytes]:
@@ -125,11 +147,10 @@ def _starts(file, at: int) -> bool:
             if not data or (len(head) >= len(VERSION) and not head.startswith(VERSION)):
                 return False
             head += inflate.decompress(data)
-        lines = head.partition(b"\r\n\r\n")[0].decode().split("\r\n")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
+        fields = fields_of(head.partition(b"\r\n\r\n")[0])
     except (zlib.error, ValueError):
         return False
-    return head.startswith(VERSION) and {"WARC-Type", "WARC-Record-ID"} <= set(fields) and fields.get("Content-Length", "").isdigit()
+    return head.startswith(VERSION) and {"warc-type", "warc-record-id"} <= set(fields) and fields.get("content-length", "").isdigit()
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:

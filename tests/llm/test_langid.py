@@ -49,6 +49,37 @@ def test_every_letter_has_a_vector_of_its_own():
     assert (langid.bound(langid.grams_of("abc"))[1] == np.roll(a, 2) * np.roll(b, 1) * c).all()
 
 
+def plain_vectors(texts):
+    """Sums of the vectors of all n-grams of texts, one n-gram after the other."""
+    total = np.zeros(langid.DIMENSIONS, int)
+    for text in texts:
+        letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+        letters = f" {' '.join(letters.split())} "
+        for i in range(len(letters) - 2):
+            if letters[i + 1] != " ":
+                a, b, c = (np.random.Generator(np.random.PCG64([langid.SEED, 0 if x == " " else ord(x)])).choice(np.array([-1, 1]), langid.DIMENSIONS) for x in letters[i : i + 3])
+                total += np.roll(a, 2) * np.roll(b, 1) * c
+    return total
+
+
+def test_equals_plain_prototypes_and_cosines(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PARTS", 2)
+    draw = np.random.default_rng(9)
+    letters = {"a": list("abcde É"), "b": list("cdefg 1"), "c": list("xyz-漢 ")}
+    rows = [(i, "".join(draw.choice(letters[lang], 25)), lang) for i, lang in enumerate(draw.choice(list("abc"), 60))]
+    docs = spark.createDataFrame([(i, t, str(lang)) for i, t, lang in rows], "doc_id long, text string, lang string").repartition(5)
+    own = langid.learn(docs, F.col("doc_id") % 4 != 0)
+    want = {lang: plain_vectors([t for i, t, x in rows if x == lang and i % 4]) for lang in "abc"}
+    assert own.languages == list("abc")
+    for lang, vector in zip(own.languages, own.vectors, strict=True):
+        assert np.allclose(vector, want[lang] / np.linalg.norm(want[lang]))
+    found = {r["doc_id"]: r for r in langid.identify(docs, own).collect()}
+    for i, t, _ in rows:
+        v = plain_vectors([t])
+        cosines = [float(v @ want[x] / np.linalg.norm(want[x]) / max(np.linalg.norm(v), 1e-9)) for x in "abc"]
+        assert found[i]["lang_pred"] == ("abc"[int(np.argmax(cosines))] if v.any() else "und") and abs(found[i]["score"] - max(0.0, *cosines)) < 1e-5
+
+
 def test_text_of_very_many_grams(monkeypatch):
     text = " ".join(chr(0x4E00 + i) + chr(0x5000 + 7 * i % 5000) for i in range(3000))
     own = langid.Prototypes(["x", "y"], np.eye(2, langid.DIMENSIONS))

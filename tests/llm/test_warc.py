@@ -82,3 +82,36 @@ def test_bytes_that_are_no_utf8(spark):
     pages = spark.sql("SELECT 1L AS page_id, CAST(X'75FF' AS STRING) AS url, CAST(X'FF41' AS STRING) AS html")
     row = warc.read_archives(warc.write_archives(pages)).first()
     assert bytes(row["payload"]) == "\ufffdA".encode() and row["url"] == "u\ufffd"
+
+
+def foreign():
+    """Records as other writers make them: ids of their own, lower-case names, folded lines, bytes that are no UTF-8, records that aren't HTTP."""
+    body = b"x" * 3000 + b"\xff\xfe"
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n" + body
+    info = b"software: other\r\n"
+    heads = [
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % len(info) + info,
+        b"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID: <urn:uuid:5f2c-1>\r\nWARC-Target-URI: http://a/%41\xff\r\nX-Note: one\r\n\ttwo\r\ncontent-type: application/http; msgtype=response\r\ncontent-length:" + str(len(http)).encode() + b"\r\n\r\n" + http,
+        b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:5f2c-2>\r\nWARC-Refers-To: <urn:uuid:5f2c-1>\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: 0\r\n\r\n",
+    ]
+    return [gzip.compress(h + b"\r\n\r\n") for h in heads] * 20, body
+
+
+def test_archives_of_others(spark, tmp_path):
+    made, body = foreign()
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(made))
+    files = spark.createDataFrame([(str(path), path.stat().st_size)], warc.MANIFEST)
+    for size in (100, 1000, 1 << 20):
+        found = warc.read_archives(files, size).collect()
+        assert len(found) == 60
+        by = {r["record_id"]: r for r in found}
+        page, again, info = by["<urn:uuid:5f2c-1>"], by["<urn:uuid:5f2c-2>"], by["<urn:uuid:0>"]
+        assert bytes(page["payload"]) == body and page["payload_digest"] == hashlib.sha1(body).hexdigest() and page["url"] == "http://a/%41\ufffd" and page["page_id"] is None
+        assert (again["record_type"], again["refers_to_id"], again["payload_digest"], again["payload_bytes"]) == ("revisit", "<urn:uuid:5f2c-1>", "ABC", None)
+        assert info["record_type"] == "warcinfo" and bytes(info["payload"]).startswith(b"software")
+
+
+def test_a_record_that_can_not_be_read_is_an_error():
+    with pytest.raises(ValueError):
+        warc.parse(b"WARC/1.0\r\nWARC-Type: response\r\nno field\r\n\r\n")
