@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import catalogue, metrics
-from .operators import candidates, combine, panel, pool, strategy, universe
+from .operators import candidates, combine, knn, panel, pool, strategy, universe
 from .operators.graph import Lineage, edges, fill_windows
 from .operators.registry import CODE, DATE, POS, SEARCH_OPERATORS
 from .plans.builder import Builder
@@ -19,7 +19,7 @@ from .plans.parser import FormulaError, parse, ts_depth
 from .plans.units import UnitError, dimension
 from .queries import CALENDAR, D_, FACTORS, HALF, NORMAL, PREDICTED, RANK_IC, ROWS, SCORED, _z, full, members, normal_factors, pearson_sql, predictions, query, r5, s5, scored, w, week_panel, week_rows
 from .sources import cache, features, pools, registry, sinks
-from .store import fresh_path, write_text
+from .store import fresh_path, write_text, written
 from .streaming.bars import bars
 
 # Files in the loader's formats
@@ -100,7 +100,7 @@ def filled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features filled, written beside the raw file, found there by the loader's rule and read back."""
     path, _ = raw_files(spark, sf_dir)
     sinks.write_filled(week_panel(spark, sf_dir), ["vol"], path.replace("factor_ready", "factor_ready_filled"))
-    found = features.filled_or_raw(path)
+    found = features.filled_or_raw(spark, f"file://{path}" if path.startswith("/") else path)
     return spark.read.parquet(found).select("trade_date", "ts_code", r5(F.col("vol")).alias("vol"), F.lit(found.split("/")[-2]).alias("folder"))
 
 
@@ -273,9 +273,9 @@ def factor_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prediction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How good the walk-forward predictions are, on all weeks."""
-    frame = normal_factors(spark, sf_dir).persist()
+    frame = written(normal_factors(spark, sf_dir), "normal")
     found = predictions(frame).select(DATE, CODE, r5(F.col("prediction")).alias("x")).join(frame.select(DATE, CODE, "y"), [DATE, CODE])
-    made = metrics.prediction_metrics(found.persist(), "x", "y", "y")
+    made = metrics.prediction_metrics(written(found, "predictions"), "x", "y", "y")
     return made.select(*(r5(F.col(c)).alias(c) for c in made.columns))
 
 
@@ -368,10 +368,20 @@ def consistency_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows nearest to the first one's vector."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    first = rows.orderBy("vec_id").first()["embedding"]
+    first = rows.orderBy("vec_id").limit(1)
     return pool.neighbours(rows, first, 4).select("vec_id", (F.floor(F.col("distance") * 1e4 + HALF) / 1e4).alias("distance"))
 
 
+@query(
+    """WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS d FROM embeddings AS a JOIN embeddings AS b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM p) SELECT id, CAST(k AS INTEGER) AS rank, other, floor(d * 1e4 + 0.50037) / 1e4 AS distance FROM r WHERE k <= 3"""
+)
+def nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest of every row's vector."""
+    found = knn.knn_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("id", "rank", "other", (F.floor(F.col("distance") * 1e4 + HALF) / 1e4).alias("distance"))
+
+
 # Walk-forward options
 
 

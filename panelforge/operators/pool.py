@@ -202,9 +202,12 @@ class LeastSquaresPool:
         return now
 
 
-def neighbours(embeddings: DataFrame, query: Sequence[float], k: int = 3) -> DataFrame:
-    """The k rows with the least Euclidean distance from a vector."""
-    other = F.array(*(F.lit(float(x)) for x in query))
+def neighbours(embeddings: DataFrame, query: DataFrame | Sequence[float], k: int = 3) -> DataFrame:
+    """The k rows with the least Euclidean distance from a vector, given as numbers or as the embedding of a frame's one row (see knn_join() for many)."""
+    if not isinstance(query, DataFrame):
+        query = embeddings.sparkSession.createDataFrame([([float(x) for x in query],)], "embedding array<double>")
+    # one value of a subquery, whatever the length: the plan doesn't grow with it
+    other = query.select(F.col("embedding").cast("array<double>")).scalar()
     square = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), other, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
     return embeddings.withColumn("distance", F.sqrt(square)).orderBy("distance", "vec_id").limit(k)
 

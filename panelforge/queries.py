@@ -18,6 +18,7 @@ from .operators.registry import CODE, DATE, POS
 from .operators.strategy import TopK, simulate
 from .plans.compiler import evaluate
 from .plans.ir import Call, Feature
+from .store import written
 from .streaming.bars import bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -512,7 +513,7 @@ def safe_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CHOSEN} SELECT CAST(pos AS BIGINT) AS pos, factor FROM chosen")
 def adaptive_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The factors chosen for each week by their past rank correlations."""
-    return choose(normal_factors(spark, sf_dir).persist()).select(F.col(POS).cast("long").alias(POS), "factor")
+    return choose(written(normal_factors(spark, sf_dir), "normal")).select(F.col(POS).cast("long").alias(POS), "factor")
 
 
 def _determinant(rows: list[list[str]]) -> str:
@@ -544,7 +545,7 @@ def predictions(frame: DataFrame) -> DataFrame:
 @query(f"{PREDICTED} SELECT date, code, {s5('p')} AS prediction FROM pred")
 def adaptive_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: each week's prediction by ridge regression on its past, of the factors chosen for it, up to the last week."""
-    frame = normal_factors(spark, sf_dir).persist()  # three parts of the plan read it
+    frame = written(normal_factors(spark, sf_dir), "normal")  # three parts of the plan read it
     return predictions(frame).select(DATE, CODE, r5(F.col("prediction")).alias("prediction"))
 
 

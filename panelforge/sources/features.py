@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import os
 from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -15,6 +14,7 @@ from ..operators.panel import MOST_DATES, date_of, densify, dynamic_mask, forwar
 from ..operators.registry import CODE, DATE
 from ..plans.compiler import evaluate
 from ..plans.ir import Node
+from ..store import exists
 
 #: A feature's column is the first of these that exists.
 SUFFIXES = ("_robust", "_valid", "_raw", "")
@@ -34,10 +34,11 @@ def physical(feature: str, columns: Sequence[str]) -> str | None:
     return next((feature + s for s in SUFFIXES if feature + s in columns), None)
 
 
-def filled_or_raw(path: str, folder: str = "factor_ready_filled", exists=os.path.exists) -> str:
-    """The file of the same name in the sibling folder of filled panels, if it is there."""
-    other = os.path.join(os.path.dirname(os.path.dirname(path)), folder, os.path.basename(path))
-    return other if exists(other) else path
+def filled_or_raw(spark: SparkSession, path: str, folder: str = "factor_ready_filled") -> str:
+    """The file of the same name in the sibling folder of filled panels, if it is there, on whatever file system the path names."""
+    above, _, name = path.rstrip("/").rpartition("/")
+    other = f"{above.rpartition('/')[0]}/{folder}/{name}"
+    return other if exists(spark, other) else path
 
 
 def dated(column: str, kind: str) -> Column:

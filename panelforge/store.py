@@ -19,21 +19,43 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or FALLBACK_DIR).rstrip("/")
 
 
+#: Paths given out that are still there.
+_given: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver ends."""
+    """A new path in the shared folder; what is written there goes with release(), or when the driver ends."""
     path = f"{shared_dir(spark)}/panelforge-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _given:
+        atexit.register(_at_end, spark)
+    _given.append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def release(spark: SparkSession) -> int:
+    """Remove all that has been written to fresh paths so far, and say how many there were.
+
+    For sessions that run one query after the other: results that were handed out and aren't read or saved yet rest on such tables."""
+    n = len(_given)
+    while _given:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_given.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
+def _at_end(spark: SparkSession) -> None:
     try:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        release(spark)
     except Exception:  # noqa: BLE001  the JVM may be gone already
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage is cut, and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, label)
