@@ -52,12 +52,12 @@ class Lineage:
         return spark.createDataFrame([tuple(n[f.split()[0]] for f in NODES.split(", ")) for n in self.nodes.values()], NODES)
 
     def save(self, path: str) -> None:
-        write_text(path, json.dumps(list(self.nodes.values())))
+        write_text(str(path), json.dumps(list(self.nodes.values())))
 
     @classmethod
     def load(cls, path: str) -> Lineage:
         own = cls()
-        own.nodes = {n["expression"]: n for n in json.loads(read_text(path))}
+        own.nodes = {n["expression"]: n for n in json.loads(read_text(str(path)))}
         return own
 
 

@@ -207,9 +207,9 @@ def neighbours(embeddings: DataFrame, query: DataFrame | Sequence[float], k: int
     if not isinstance(query, DataFrame):
         query = embeddings.sparkSession.createDataFrame([([float(x) for x in query],)], "embedding array<double>")
     # one value of a subquery, whatever the length: the plan doesn't grow with it
-    other = query.select(F.col("embedding").cast("array<double>")).scalar()
-    square = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), other, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    return embeddings.withColumn("distance", F.sqrt(square)).orderBy("distance", "vec_id").limit(k)
+    rows = embeddings.withColumn("_query", query.select(F.col("embedding").cast("array<double>")).scalar())
+    square = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.col("_query"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    return rows.withColumn("distance", F.sqrt(square)).drop("_query").orderBy("distance", "vec_id").limit(k)
 
 
 def differences(frame: DataFrame, name: str, others: Sequence[str]) -> list[float]:
