@@ -292,6 +292,21 @@ def proxy_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.daily_safe_ic(scored(spark, sf_dir), ["f1"], "y", ranks=False).select(DATE, r5(F.col("ic")).alias("ic"))
 
 
+@query(f"{SCORED}, e AS (SELECT date, code, y, 0.5 * {_z('f1')} - 0.3 * {_z('f2')} + 0.2 * {_z('f3')} AS x0 FROM s), v AS (SELECT date, code, y, {s5('x0')} AS x FROM e), k AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY x) + (count(*) OVER (PARTITION BY date, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0 AS ry FROM v WHERE y IS NOT NULL), d0 AS (SELECT date, {pearson_sql('x', 'y')} AS ic, {pearson_sql('rx', 'ry')} AS ric FROM k GROUP BY date), d AS (SELECT cal.date, coalesce(ic, 0) AS ic, coalesce(ric, 0) AS ric FROM cal LEFT JOIN d0 ON d0.date = cal.date) SELECT date, 'ic' AS name, {s5('ic')} AS value FROM d UNION ALL SELECT date, 'ric', {s5('ric')} FROM d")
+def pool_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily correlations and rank correlations of a weighted sum with the target, each kept as a series and read back."""
+    normal = evaluate(scored(spark, sf_dir), {f: f"ZScore(${f})" for f in FACTORS}, ["y"])
+    whole = normal.select(DATE, CODE, "y", r5(combine.static(normal, {"f1": 0.5, "f2": -0.3, "f3": 0.2})).alias("x"))
+    daily = written(metrics.daily_metrics(whole, ["x"], "y"), "daily")
+    out = None
+    for name in ("ic", "ric"):
+        path = f"{fresh_path(spark, 'series')}/{name}"
+        sinks.write_series(daily, path, name)
+        one = spark.read.parquet(path).select(DATE, F.lit(name).alias("name"), r5(F.col(name)).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"{SCORED}, e AS (SELECT date, code, y, 0.5 * {_z('f1')} - 0.3 * {_z('f2')} + 0.2 * {_z('f3')} AS x0 FROM s), v AS (SELECT date, code, y, {s5('x0')} AS x FROM e), k AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY x) + (count(*) OVER (PARTITION BY date, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0 AS ry FROM v WHERE y IS NOT NULL), d0 AS (SELECT date, {pearson_sql('x', 'y')} AS ic, {pearson_sql('rx', 'ry')} AS ric FROM k GROUP BY date), d AS (SELECT coalesce(ic, 0) AS ic, coalesce(ric, 0) AS ric FROM cal LEFT JOIN d0 ON d0.date = cal.date) SELECT {s5('avg(ic)')} AS ic, {s5('avg(ic) / stddev_samp(ic)')} AS icir, {s5('avg(ric)')} AS ric, {s5('avg(ric) / stddev_samp(ric)')} AS ricir FROM d")
 def pool_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation and rank correlation of a weighted sum with the target, and their ratios."""
@@ -328,6 +343,23 @@ def pool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "a string, b string, ic double, icir double").select("a", "b", r5(F.col("ic")).alias("ic"), r5(F.col("icir")).alias("icir"))
 
 
+@query(
+    f"""{SCORED}, d AS (SELECT date, {pearson_sql("f1", "y")} AS a, {pearson_sql("f2", "y")} AS b, {pearson_sql("f1", "f2")} AS c FROM s GROUP BY date), m AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c, 0.0025 AS h FROM d),
+    pat AS (SELECT m.*, i, j, CASE WHEN i = 0 THEN 0 WHEN j = 0 THEN a - h * i ELSE ((a - h * i) - c * (b - h * j)) / (1 - c * c) END AS u, CASE WHEN j = 0 THEN 0 WHEN i = 0 THEN b - h * j ELSE ((b - h * j) - c * (a - h * i)) / (1 - c * c) END AS v
+      FROM m, (VALUES (-1), (0), (1)) AS x(i), (VALUES (-1), (0), (1)) AS y(j)),
+    kkt AS (SELECT *, u * a + v * b AS gain, u * u + v * v + 2 * c * u * v AS spread, u * u + v * v + 2 * c * u * v - 2 * (u * a + v * b) + 2 * h * (abs(u) + abs(v)) AS loss FROM pat WHERE sign(u) = i AND sign(v) = j),
+    trial AS (SELECT CASE WHEN abs(any_value(a)) > any_value(h) THEN abs(any_value(a)) ELSE 0 END AS one, arg_min(CASE WHEN spread > 0 THEN gain / sqrt(spread) ELSE 0 END, loss) AS two FROM kkt)
+    SELECT 1 AS step, 'f1' AS expr, {s5("one")} AS score, {s5("one")} AS best FROM trial UNION ALL SELECT 2, 'f2', {s5("two")}, {s5("greatest(one, two)")} FROM trial UNION ALL SELECT 3, 'f2', 0.0, {s5("greatest(one, two)")} FROM trial"""
+)
+def pool_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates offered to a pool one after the other, the last for the second time: the weighted sum's correlation after each, and the best so far."""
+    own, found, rows = pool.Pool(capacity=3), pool.score(scored(spark, sf_dir), ["f1", "f2"], "y"), []
+    for step, (name, i) in enumerate((("f1", 0), ("f2", 1), ("f2", 1)), 1):
+        score = own.attempt(name, float(found.ic[i]), [float(found.mutual[i, ["f1", "f2"].index(e)]) for e in own.exprs])
+        rows.append((step, name, score, own.best))
+    return spark.createDataFrame(rows, "step int, expr string, score double, best double").select("step", "expr", r5(F.col("score")).alias("score"), r5(F.col("best")).alias("best"))
+
+
 @query(f"{SCORED}, d AS (SELECT date, {', '.join(f'{pearson_sql(f, "y")} AS {f}_y, {pearson_sql("f1", f)} AS x_{f}' for f in FACTORS)} FROM s GROUP BY date) {' UNION ALL '.join(f"SELECT '{f}' AS factor, CASE WHEN avg(x_{f}) > 0.3 THEN -1.0 ELSE {s5(f'avg({f}_y)')} END AS score FROM d" for f in FACTORS)}")
 def single_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of single factors; -1 for what is too close to one that is excluded, as it is to itself."""

@@ -71,6 +71,19 @@ class Pool:
     ics: list[float] = field(default_factory=list)
     mutual: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: The highest correlation of the weighted sum that a trial has come to.
+    best: float = -1.0
+
+    def attempt(self, expr: str, ic: float, with_pool: Sequence[float]) -> float:
+        """Offer a candidate to add(), and give the weighted sum's correlation afterwards; 0 for one that is turned away for what it is."""
+        known = expr in self.exprs
+        own = np.abs(np.asarray(with_pool, float))
+        if known or not np.isfinite(ic) or (self.least_ic is not None and abs(ic) < self.least_ic) or (len(own) and own.max() > self.most_mutual):
+            return 0.0
+        self.add(expr, ic, with_pool)
+        now = self.ensemble_ic()
+        self.best = max(self.best, now)
+        return now
 
     def add(self, expr: str, ic: float, with_pool: Sequence[float]) -> bool:
         """Take in a candidate with its correlations; whether it is in the pool afterwards."""
