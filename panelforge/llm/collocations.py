@@ -10,7 +10,7 @@ Apriori: the pass for k words emits a phrase only where both phrases of k - 1 wo
 the levels before are broadcast as bitmaps of a size that is bounded by BITS however many there are: where they are too
 many for it, more phrases are emitted in vain, and counts stay right, as every level is counted and cut exactly. Within a
 batch, a phrase is a number made of its first k - 1 words' number and its last word's, so counting is sorting of integers; a batch sends
-a phrase once, and Spark sums up before the shuffle.
+a phrase once, and Spark sums up before the shuffle. Texts are split once, into a table of numbers that all passes read.
 
 A null text is empty and a null language is "und". Texts of any length are read whole; bytes that are no UTF-8 count as
 replacement characters. Repeated rows count each. Ties in score fall to the more frequent, then to the smaller phrase in byte
@@ -32,18 +32,22 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, out_batch, valid_text, written
+from .common import batches, fresh_path, out_batch, valid_text, written
 from .words import FACTORS, hashed, mixed
 
 #: Bits of a level's bitmap: so many for each phrase, within these bounds (at most 32 MB).
 PER_PHRASE, BITS = 16, (1 << 15, 1 << 28)
 #: Bits of a row of bitmap_construct_agg.
 CHUNK = 1 << 15
+#: Bytes of texts that are counted at once.
+UNIT = 2 << 20
 #: Parts that a language's phrases are ranked in first.
 PARTS = 64
-#: ASCII capitals become small, ends of pieces line ends.
-FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d", bytes(range(97, 123)) + b"\n" * 10)
+#: ASCII capitals become small, ends of pieces a byte that no UTF-8 has.
+END = b"\xff"
+FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d", bytes(range(97, 123)) + END * 10)
 COUNTS = "lang string, phrase string, f long"
+ENCODED = "lang string, words binary, ids binary, sizes binary"
 
 
 @dataclass(frozen=True)
@@ -61,48 +65,55 @@ class Bits:
         return ((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def keys_of(lang: str, words: list[np.ndarray]) -> np.ndarray:
-    """The key of phrases in a bitmap, from the hashes of their first words, of their second ones, and so on."""
-    start = np.uint64(xxhash.xxh64_intdigest(lang))
-    return mixed(reduce(lambda x, p: x + mixed(p[1] * FACTORS[p[0]]), enumerate(words), np.full(len(words[0]), start)))
+def word_keys(hashes: np.ndarray, place: int) -> np.ndarray:
+    """What words, by their hashes, add to the key of a phrase in which they stand at a place."""
+    return mixed(hashes * FACTORS[place])
+
+
+def keys_of(lang: str, added: list[np.ndarray]) -> np.ndarray:
+    """The key of phrases in a bitmap, from what their first words add, their second ones, and so on."""
+    return mixed(reduce(np.add, added) + np.uint64(xxhash.xxh64_intdigest(lang)))
 
 
 class Words:
-    """The words of some texts of one language, as numbers."""
-
-    def __init__(self, lang: str, texts: list[bytes]):
-        own: list[bytes] = []
-        sizes = []
-        for piece in b"\n".join(texts).translate(FOLD).split(b"\n"):
-            words = piece.split()  # at blanks and tabs; other white space of ASCII ends pieces
-            own += words
-            sizes.append(len(words))
-        numbers: defaultdict[bytes, int] = defaultdict(lambda: len(numbers))
-        self.lang = lang
-        self.id = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
-        self.words = list(numbers)
+    """The words of some texts of one language: the different ones, the number of each place's word, and the lengths of pieces."""
+
+    def __init__(self, lang: str, words: list[bytes], numbers: np.ndarray, sizes: np.ndarray):
+        self.lang, self.words, self.id, self.sizes = lang, words, numbers, sizes
         #: Words of the piece from here on.
-        ends = np.cumsum(np.array(sizes, np.int64))
-        self.rest = np.repeat(ends, sizes) - np.arange(len(own))
+        self.rest = np.repeat(np.cumsum(sizes, dtype=np.int64), sizes) - np.arange(len(numbers))
+
+    @classmethod
+    def of(cls, lang: str, texts: list[bytes]) -> Words:
+        # ends of pieces become words of their own for a while; blanks and tabs are all the white space that is left
+        own = END.join(texts).translate(FOLD).replace(END, b" " + END + b" ").split()
+        numbers: defaultdict[bytes, int] = defaultdict(lambda: len(numbers))
+        numbers[END]
+        every = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
+        ends = every == 0
+        sizes = np.bincount(np.cumsum(ends)[~ends]) if not ends.all() else np.zeros(0, np.int64)
+        return cls(lang, list(numbers)[1:], every[~ends] - 1, sizes[sizes > 0])
 
     def counted(self) -> tuple[list[bytes], np.ndarray]:
         return self.words, np.bincount(self.id, minlength=len(self.words))
 
     def phrases(self, k: int, levels: list[Bits]) -> tuple[np.ndarray, np.ndarray]:
         """A place of each phrase of k words whose parts of fewer words all are in the bitmaps of levels 1 to k - 1, and how often it occurs."""
+        if not self.words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         hashes = hashed(self.words)
-        at = np.flatnonzero(levels[0].has(keys_of(self.lang, [hashes]))[self.id]) if self.words else np.zeros(0, np.int64)
-        number = self.id[at]
+        added = [word_keys(hashes, i) for i in range(k - 1)]
+        at = np.flatnonzero(levels[0].has(keys_of(self.lang, added[:1]))[self.id])
         for j in range(2, k + 1):
             # places where a phrase of j - 1 words begins and another one right after it, both frequent, in one piece
-            pair = np.flatnonzero((at[1:] == at[:-1] + 1) & (self.rest[at[:-1]] >= j))
-            at, first = at[pair], number[pair]
-            made, place, number, n = np.unique((first << 32) | self.id[at + j - 1], return_index=True, return_inverse=True, return_counts=True)
-            where = at[place]
+            at = at[:-1][(at[1:] == at[:-1] + 1) & (self.rest[at[:-1]] >= j)]
             if j < k:
-                good = levels[j - 1].has(keys_of(self.lang, [hashes[self.id[where + i]] for i in range(j)]))[number]
-                at, number = at[good], number[good]
-        return where, n
+                at = at[levels[j - 1].has(keys_of(self.lang, [added[i][self.id[at + i]] for i in range(j)]))]
+        # a phrase is its first words' number and its last word's
+        number, place, n = self.id[at], np.arange(len(at)), None
+        for j in range(1, k):
+            _, place, number, n = np.unique((number << 32) | self.id[at + j], return_index=True, return_inverse=True, return_counts=True)
+        return at[place], n
 
     def text(self, where: np.ndarray, k: int) -> pa.Array:
         """The k words from each place on, with a blank between."""
@@ -114,27 +125,52 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(valid_text(), F.lit("")).alias("text"))
 
 
-def counts(texts: DataFrame, k: int, levels: list[Broadcast]) -> DataFrame:
-    """lang, phrase and f of phrases of k words; levels are bitmaps of the frequent ones with fewer words."""
+def number_type(words: list[bytes]) -> type:
+    return np.uint16 if len(words) <= 1 << 16 else np.int32
+
+
+def encoded(texts: DataFrame) -> DataFrame:
+    """The words of all texts as numbers, a row for each batch and language; a table, so that texts are split once."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [Bits(np.frombuffer(b.value, np.uint8)) for b in levels]
-        for batch in batches(rows, 4 << 20):
+        for batch in batches(rows, UNIT):
             by_lang: defaultdict[str, list[bytes]] = defaultdict(list)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 by_lang[lang].append(text)
             for lang, own in by_lang.items():
-                words = Words(lang, own)
+                w = Words.of(lang, own)
+                yield out_batch(ENCODED, [[lang], [b" ".join(w.words)], [w.id.astype(number_type(w.words)).tobytes()], [w.sizes.astype(np.int32).tobytes()]])
+
+    # numbers of words compress to some two thirds of their bytes
+    path = fresh_path(texts.sparkSession, "words")
+    made = texts.mapInArrow(run, ENCODED)
+    made.write.option("compression", "zstd").parquet(path)
+    return texts.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def decoded(batch: pa.RecordBatch) -> Iterator[Words]:
+    for lang, words, numbers, sizes in zip(*batch.columns, strict=True):
+        own = words.as_py().split()
+        yield Words(lang.as_py(), own, np.frombuffer(numbers.as_buffer(), number_type(own)).astype(np.int64), np.frombuffer(sizes.as_buffer(), np.int32))
+
+
+def counts(words: DataFrame, k: int, levels: list[Broadcast]) -> DataFrame:
+    """lang, phrase and f of phrases of k words, from encoded(); levels are bitmaps of the frequent ones with fewer words."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [Bits(np.frombuffer(b.value, np.uint8)) for b in levels]
+        for batch in rows:
+            for own in decoded(batch):
                 if k == 1:
-                    phrases, n = words.counted()
+                    phrases, n = own.counted()
                     phrases = pa.array(phrases, pa.binary()).cast(pa.string())
                 else:
-                    where, n = words.phrases(k, bits)
-                    phrases = words.text(where, k)
+                    where, n = own.phrases(k, bits)
+                    phrases = own.text(where, k)
                 if len(n):
-                    yield out_batch(COUNTS, [[lang] * len(n), phrases, n.astype(np.int64)])
+                    yield out_batch(COUNTS, [[own.lang] * len(n), phrases, n.astype(np.int64)])
 
-    return texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return words.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def bitmap(level: DataFrame, k: int) -> bytes:
@@ -148,7 +184,8 @@ def bitmap(level: DataFrame, k: int) -> bytes:
                 by_lang[lang] += phrase.split(b" ")
             for lang, words in by_lang.items():
                 own = hashed(words).reshape(-1, k)
-                yield out_batch("place long", [Bits.places(keys_of(lang, list(own.T)), size).ravel().astype(np.int64) + 1])
+                keys = keys_of(lang, [word_keys(own[:, i], i) for i in range(k)])
+                yield out_batch("place long", [Bits.places(keys, size).ravel().astype(np.int64) + 1])
 
     places = level.select("lang", "phrase").mapInArrow(run, "place long")
     chunks = places.groupBy(F.bitmap_bucket_number("place").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
@@ -160,11 +197,11 @@ def bitmap(level: DataFrame, k: int) -> bytes:
 
 def levels_of(docs: DataFrame, least: int, longest: int) -> list[DataFrame]:
     """Tables of lang, phrase and f: all words, then the frequent phrases of 2 words and so on to `longest`."""
-    texts = texts_of(docs)
-    made, bits = [written(counts(texts, 1, []), "level1")], []
+    words = encoded(texts_of(docs))
+    made, bits = [written(counts(words, 1, []), "level1")], []
     for k in range(2, longest + 1):
         bits.append(docs.sparkSession.sparkContext.broadcast(bitmap(made[-1].where(F.col("f") >= least), k - 1)))
-        made.append(written(counts(texts, k, bits).where(F.col("f") >= least), f"level{k}"))
+        made.append(written(counts(words, k, bits).where(F.col("f") >= least), f"level{k}"))
     for b in bits:
         b.unpersist()
     return made

@@ -66,7 +66,7 @@ def test_a_full_bitmap_changes_no_count():
     """Bitmaps only spare work: with all bits set, every phrase is counted as often as it occurs."""
     texts = [t.encode() for lang, t in some_docs(3) if t][:50]
     full = [C.Bits(np.full(1 << 12, 255, np.uint8))] * 4
-    own = C.Words("en", texts)
+    own = C.Words.of("en", texts)
     for k in range(2, 6):
         where, n = own.phrases(k, full)
         want = Counter()
@@ -80,10 +80,11 @@ def test_a_full_bitmap_changes_no_count():
 def test_bitmap_holds_its_phrases_and_little_else(spark):
     level = spark.createDataFrame([("en", f"w{i} v{i}", 9) for i in range(3000)], "lang string, phrase string, f long")
     bits = C.Bits(np.frombuffer(C.bitmap(level, 2), np.uint8))
-    hashes = [C.hashed([f"{c}{i}".encode() for i in range(3000)]) for c in "wv"]
-    assert bits.has(C.keys_of("en", hashes)).all()
-    other = C.keys_of("en", hashes[::-1])
-    assert bits.has(other).mean() < 0.05 and bits.has(C.keys_of("de", hashes)).mean() < 0.05
+    w, v = (C.hashed([f"{c}{i}".encode() for i in range(3000)]) for c in "wv")
+    added = [C.word_keys(w, 0), C.word_keys(v, 1)]
+    assert bits.has(C.keys_of("en", added)).all()
+    other = C.keys_of("en", [C.word_keys(v, 0), C.word_keys(w, 1)])
+    assert bits.has(other).mean() < 0.05 and bits.has(C.keys_of("de", added)).mean() < 0.05
     assert len(bits.data) * 8 <= C.BITS[1]
 
 
