@@ -16,13 +16,14 @@ def densify(rows: DataFrame, days: DataFrame | None = None, codes: DataFrame | N
 
     days and codes are taken from rows where they aren't given (dates or codes may repeat in them). Each code is repeated
     for the dates of one array, a scalar subquery that fails beyond MOST_DATES entries; nothing runs before the result is
-    asked for.
+    asked for. Rows meet the cells by a merge of sorted rows: Spark takes the cells for as few as the codes that they are made
+    of, and where a filter asks for a value would send them all to the driver to be broadcast.
     """
     dates = (rows if days is None else days).select(DATE).where(F.col(DATE).isNotNull()).agg(F.sort_array(F.collect_set(DATE)).alias("dates"))
     bounded = F.when(F.size("dates") <= MOST_DATES, F.col("dates")).otherwise(F.raise_error(F.lit(f"more than {MOST_DATES} dates")))
     codes = (rows if codes is None else codes).select(CODE).distinct()
     cells = codes.select(CODE, F.posexplode(dates.select(bounded).scalar()).alias(POS, DATE)).select(DATE, (F.col(POS) + 1).alias(POS), CODE)
-    return cells.join(rows, [DATE, CODE], "left")
+    return cells.hint("merge").join(rows, [DATE, CODE], "left")
 
 
 def date_of(x: Column) -> Column:
