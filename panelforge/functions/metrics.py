@@ -5,10 +5,14 @@ A date without pairs counts with 0, so a series has a value for every date of th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..operators.registry import CODE, DATE
 from .gram import mean_correlations
@@ -57,30 +61,80 @@ def daily_ic(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame
 KEYS = [DATE, "factor"]
 
 
-def _pairs(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
-    return long(frame, factors, target).withColumn("pair", both(F.col("x"), F.col("y")))
+def _each_day(frame: DataFrame, factors: Sequence[str], target: str, columns: Sequence[str], measure: Callable[..., tuple]) -> DataFrame:
+    """date, factor and doubles named by columns: measure(x, y, codes) of each factor's pairs of a date.
 
+    Rows stay as wide as they are and are sorted once, by date; a task holds the rows of one date as arrays. Ranks by windows
+    would sort them in every order that is asked for, once for each factor, all in the memory of one task.
+    """
+    factors = list(factors)
+    days = frame.select(DATE, CODE, F.col(target).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(factors)))
+    schema = StructType([frame.schema[DATE], StructField("factor", StringType()), *(StructField(c, DoubleType()) for c in columns)])
 
-def _ordered(*columns) -> Window:
-    """Rows of a date and factor, pairs first; one partitioning serves every rank and the sums by date after them."""
-    return Window.partitionBy(*KEYS).orderBy(F.desc("pair"), *columns)
+    def run(day: pa.Table) -> pa.Table:
+        y = day.column("_y")
+        out = []
+        for i, _ in enumerate(factors):
+            x = day.column(f"_{i}")
+            pair = pc.and_(pc.is_valid(x), pc.is_valid(y)).to_numpy()
+            with np.errstate(all="ignore"):
+                out.append(measure(x.to_numpy()[pair], y.to_numpy()[pair], lambda pair=pair: day.column(CODE).filter(pa.array(pair))))
+        when = pa.concat_arrays([day.column(DATE).chunk(0).slice(0, 1)] * len(factors))
+        return pa.table([when, pa.array(factors, pa.string()), *(pa.array(c, pa.float64()) for c in zip(*out, strict=True))], names=[DATE, "factor", *columns])
+
+    return days.groupBy(DATE).applyInArrow(run, schema)
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
+def _pearson(x: np.ndarray, y: np.ndarray) -> float:
+    """pearson() of arrays."""
+    if not len(x):
+        return 0.0
+    a, b = x.std(), y.std()
+    value = ((x - x.mean()) * (y - y.mean())).mean() / (1.0 if a < 1e-3 or b < 1e-3 else a * b)
+    return 0.0 if np.isnan(value) else float(value)
+
+
+def _clamped_pearson(x: np.ndarray, y: np.ndarray) -> float:
+    """clamped_pearson() of arrays of finite numbers."""
+    if len(x) < 2:
+        return 0.0
+    value = ((x - x.mean()) * (y - y.mean())).sum() / max(x.std() * y.std() * len(x), 1e-8)
+    return float(min(max(value, -1.0), 1.0))
+
+
+def _code_order(codes: pa.ChunkedArray) -> np.ndarray:
+    """The place of each code, one that is missing before the others."""
+    at = np.empty(len(codes), np.int64)
+    at[pc.sort_indices(codes, null_placement="at_start").to_numpy()] = np.arange(len(codes))
+    return at
+
+
+def _best_mean(x: np.ndarray, y: np.ndarray, codes: Callable[[], pa.ChunkedArray], share: float) -> float:
+    """The mean y of the best share by x, one at least; of equal x those of the least codes."""
+    if not len(x):
+        return 0.0
+    k = max(1, int(np.floor(len(x) * share)))
+    if np.isnan(x).any():  # in ranks it is above infinity
+        x = _average_ranks(x)
+    least = np.partition(x, len(x) - k)[len(x) - k]
+    sure, level = np.flatnonzero(x > least), np.flatnonzero(x == least)
+    if len(sure) + len(level) > k:
+        level = level[np.argsort(_code_order(codes().take(pa.array(level))), kind="stable")][: k - len(sure)]
+    return float(y[np.concatenate([sure, level])].mean())
 
 
 def daily_metrics(frame: DataFrame, factors: Sequence[str], target: str, share: float = 0.2) -> DataFrame:
     """date, factor, ic, ric (ranks with ties averaged) and ret (the mean target of the best share, one row at least)."""
-    pairs = _pairs(frame, factors, target)
 
-    def ranked(c: str) -> Column:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "pair", c)) - 1
-        return F.when(F.col("pair"), F.rank().over(_ordered(c)) + ties / 2)
+    def measure(x, y, codes) -> tuple[float, float, float]:
+        return _pearson(x, y), _pearson(_average_ranks(x), _average_ranks(y)), _best_mean(x, y, codes, share)
 
-    n = F.count_if("pair").over(Window.partitionBy(*KEYS))
-    place = F.row_number().over(_ordered(F.desc("x"), CODE))
-    best = F.col("pair") & (place <= F.greatest(F.lit(1), F.floor(n * share)))
-    rows = pairs.select(*KEYS, "x", "y", ranked("x").alias("rx"), ranked("y").alias("ry"), best.alias("best"))
-    x, y, rx, ry = map(F.col, ("x", "y", "rx", "ry"))
-    ret = F.coalesce(F.avg(F.when(F.col("best"), y)), F.lit(0.0))
-    return rows.groupBy(*KEYS).agg(pearson(x, y).alias("ic"), pearson(rx, ry).alias("ric"), ret.alias("ret"))
+    return _each_day(frame, factors, target, ["ic", "ric", "ret"], measure)
 
 
 def daily_rank_ic(frame: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
@@ -95,13 +149,20 @@ def daily_top_return(frame: DataFrame, factors: Sequence[str], target: str, shar
 
 def daily_safe_ic(frame: DataFrame, factors: Sequence[str], target: str, ranks: bool = True) -> DataFrame:
     """date, factor and ic, clamped: of places (ties by code), or of the values themselves in place of ranks."""
-    pairs = _pairs(frame, factors, target)
+    if not ranks:
+        pairs = long(frame, factors, target)
+        return pairs.groupBy(*KEYS).agg(clamped_pearson(F.col("x"), F.col("y")).alias("ic"))
+
+    def places(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x))
+        out[np.lexsort((codes, x))] = np.arange(1.0, len(x) + 1)
+        return out
 
-    def own(c: str) -> Column:
-        return F.when(F.col("pair"), F.row_number().over(_ordered(c, CODE)).cast("double") if ranks else F.col(c))
+    def measure(x, y, codes) -> tuple[float]:
+        order = _code_order(codes())
+        return (_clamped_pearson(places(x, order), places(y, order)),)
 
-    rows = pairs.select(*KEYS, own("x").alias("a"), own("y").alias("b"))
-    return rows.groupBy(*KEYS).agg(clamped_pearson(F.col("a"), F.col("b")).alias("ic"))
+    return _each_day(frame, factors, target, ["ic"], measure)
 
 
 def summary(series: DataFrame, value: str, by: Sequence[str] = (), epsilon: float = 0.0) -> DataFrame:
@@ -127,11 +188,7 @@ def prediction_metrics(frame: DataFrame, prediction: str, target: str, returns:
     the number of dates over `every`), ret_sharpe and ret_mdd. Dates with fewer than two pairs count with 0."""
     ic = daily_safe_ic(frame, [prediction], target, ranks=False).select(DATE, "ic")
     ric = daily_safe_ic(frame, [prediction], target).select(DATE, F.col("ic").alias("ric"))
-    pairs = _pairs(frame, [prediction], returns)
-    n = F.count_if("pair").over(Window.partitionBy(*KEYS))
-    place = F.row_number().over(_ordered(F.desc("x"), CODE))
-    best = F.col("pair") & (n >= 2) & (place <= F.greatest(F.lit(1), F.floor(n * share)))
-    ret = pairs.select(DATE, "y", best.alias("best")).groupBy(DATE).agg(F.coalesce(F.avg(F.when(F.col("best"), F.col("y"))), F.lit(0.0)).alias("ret"))
+    ret = _each_day(frame, [prediction], returns, ["ret"], lambda x, y, codes: (_best_mean(x, y, codes, share) if len(x) >= 2 else 0.0,)).select(DATE, "ret")
     daily = ic.join(ric, DATE).join(ret, DATE)
     ratio = {name: F.avg(name) / (F.stddev_samp(name) + 1e-8) for name in ("ic", "ric")}
     found = daily.agg(

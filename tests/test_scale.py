@@ -1,9 +1,13 @@
 """What large tables would need: plans and sizes of what a task or the driver gets."""
 
 import datetime
+import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from panelforge.functions import metrics
 from panelforge.operators import panel
 from panelforge.plans.compiler import evaluate
 
@@ -23,3 +27,35 @@ def test_cells_of_a_panel_are_not_broadcast(spark):
     plan = plan_of(made)
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert made.count() == 40
+
+
+def test_daily_metrics_sort_a_day_once(spark):
+    """However many factors and ranks; rows of a day come in several batches here, with ties, gaps and equal places by code."""
+    draw = random.Random(3)
+    value = lambda: None if draw.random() < 0.2 else float(draw.randrange(6))
+    rows = [(START + datetime.timedelta(d), f"c{j:02d}", value(), value(), value()) for d in range(4) for j in range(40 * (d > 0) or 1)]
+    rows.append((START + datetime.timedelta(9), "c", None, None, 1.0))
+    frame = spark.createDataFrame(rows, "date date, code string, a double, b double, y double")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        every, safe = metrics.daily_metrics(frame, ["a", "b"], "y"), metrics.daily_safe_ic(frame, ["a", "b"], "y")
+        for df in (every, safe):
+            plan = plan_of(df).split("Initial Plan")[0]
+            assert "Window" not in plan and plan.count("Sort [") == 1
+        places = {(r["date"], r["factor"]): r["ic"] for r in safe.collect()}
+        found = every.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(found) == len(places) == 10
+    whole = pd.DataFrame(rows, columns=["date", "code", "a", "b", "y"])
+    for r in found:
+        f, day = r["factor"], whole[whole["date"] == r["date"]]
+        day = day[day[r["factor"]].notna() & day["y"].notna()]
+        if len(day) < 2:
+            assert places[r["date"], f] == 0
+            continue
+        best = day.sort_values([f, "code"], ascending=[False, True]).head(max(1, int(len(day) * 0.2)))
+        assert r["ic"] == pytest.approx(day[f].corr(day["y"])) and r["ric"] == pytest.approx(day[f].rank().corr(day["y"].rank())) and r["ret"] == pytest.approx(best["y"].mean())
+        rank = lambda c: day.sort_values([c, "code"]).assign(k=range(len(day)))["k"]  # noqa: E731, B023
+        assert places[r["date"], f] == pytest.approx(rank(f).corr(rank("y")))
