@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .ieee import divide
 
@@ -61,24 +64,47 @@ def chip_features() -> dict[str, Column]:
     }
 
 
-def value_features() -> dict[str, Column]:
-    """From pe_ttm, pb, ps_ttm, dv_ttm, total_mv, circ_mv, free_share, total_share, industry and date."""
+#: Columns that are ranked by value_features(), and by what besides the date.
+VALUE_RANKS = {"pe_ttm_rank_ind": ("pe_ttm", "industry"), "pb_rank_ind": ("pb", "industry"), "ps_ttm_rank_ind": ("ps_ttm", "industry"), "dv_ttm_rank_mkt": ("dv_ttm", None), "mv_rank_mkt": ("total_mv", None)}
 
-    def rank(x: str, *by: str) -> Column:
-        part = Window.partitionBy("date", *by)
-        return F.when(F.col(x).isNotNull(), F.rank().over(part.orderBy(F.col(x).asc_nulls_last())) / F.count(x).over(part))
 
-    pe, pb, ps = (rank(x, "industry") for x in ("pe_ttm", "pb", "ps_ttm"))
-    return {
-        "pe_ttm_rank_ind": pe,
-        "pb_rank_ind": pb,
-        "ps_ttm_rank_ind": ps,
-        "dv_ttm_rank_mkt": rank("dv_ttm"),
-        "mv_rank_mkt": rank("total_mv"),
-        "free_float_ratio": divide(F.col("free_share"), F.col("total_share")),
-        "circ_mv_to_total_mv": divide(F.col("circ_mv"), F.col("total_mv")),
-        "valuation_compress_score": -0.4 * pe - 0.4 * pb - 0.2 * ps,
-    }
+def rank_shares(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The rank of each value in its group, of equal ones the first, over the group's number of values; NaN is above all."""
+    order = np.lexsort((x, group))
+    xs, gs, at = x[order], group[order], np.arange(len(x))
+    other = np.ones(len(x), bool)
+    other[1:] = gs[1:] != gs[:-1]
+    new = other.copy()
+    new[1:] |= (xs[1:] != xs[:-1]) & ~(np.isnan(xs[1:]) & np.isnan(xs[:-1]))
+    start, first = (np.maximum.accumulate(np.where(w, at, 0)) for w in (other, new))
+    out = np.empty(len(x))
+    out[order] = (first - start + 1) / np.bincount(group)[gs] if len(x) else 0.0
+    return out
+
+
+def value_features(rows: DataFrame) -> DataFrame:
+    """date, code and features from pe_ttm, pb, ps_ttm, dv_ttm, total_mv, circ_mv, free_share, total_share and industry.
+
+    Rows are sorted once, by date, and a task ranks one date's rows as arrays; windows would sort them for each rank."""
+    plain = {"free_float_ratio": divide(F.col("free_share"), F.col("total_share")), "circ_mv_to_total_mv": divide(F.col("circ_mv"), F.col("total_mv"))}
+    ranked = sorted({x for x, _ in VALUE_RANKS.values()})
+    own = rows.select("date", "code", "industry", *(F.col(x).cast("double").alias(x) for x in ranked), *(c.alias(n) for n, c in plain.items()))
+    kept = ["date", "code", *plain]
+    schema = StructType([*(own.schema[c] for c in kept), *(StructField(n, DoubleType()) for n in VALUE_RANKS)])
+
+    def run(day: pa.Table) -> pa.Table:
+        found = {}
+        groups = {"industry": day.column("industry").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), None: np.zeros(len(day), np.int32)}
+        for name, (x, by) in VALUE_RANKS.items():
+            known = day.column(x).is_valid().to_numpy()
+            share = np.zeros(len(day))
+            share[known] = rank_shares(day.column(x).to_numpy()[known], groups[by][known])
+            found[name] = pa.array(share, pa.float64(), mask=~known)
+        return pa.table([*(day.column(c) for c in kept), *found.values()], names=[*kept, *found])
+
+    made = own.groupBy("date").applyInArrow(run, schema)
+    pe, pb, ps = (F.col(c) for c in ("pe_ttm_rank_ind", "pb_rank_ind", "ps_ttm_rank_ind"))
+    return made.select("date", "code", *VALUE_RANKS, *plain, (-0.4 * pe - 0.4 * pb - 0.2 * ps).alias("valuation_compress_score"))
 
 
 def intraday(bars: DataFrame) -> DataFrame:

@@ -222,7 +222,10 @@ FAMILIES: dict[str, tuple] = {
 
 def _family(name: str, made, sql: dict[str, str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return catalogue_rows(spark, sf_dir).select(DATE, CODE, *(c.alias(n) for n, c in made().items())).select(DATE, CODE, *(r5(F.col(c)).alias(c) for c in sql))
+        rows = catalogue_rows(spark, sf_dir)
+        # what depends on other rows too is a function of the rows
+        features = made(rows) if made is catalogue.value_features else rows.select(DATE, CODE, *(c.alias(n) for n, c in made().items()))
+        return features.select(DATE, CODE, *(r5(F.col(c)).alias(c) for c in sql))
 
     run.__name__, run.__doc__ = name, f"The catalogue's {name.replace('_', ' ')}."
     query(f"{RAW}, q AS (SELECT date, code, {', '.join(f'{x} AS {n}' for n, x in sql.items())} FROM c) SELECT date, code, {', '.join(f'{s5(n)} AS {n}' for n in sql)} FROM q")(run)

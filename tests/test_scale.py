@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import metrics
+from panelforge.functions import catalogue, metrics
 from panelforge.operators import panel
 from panelforge.plans.compiler import evaluate
 
@@ -59,3 +59,22 @@ def test_daily_metrics_sort_a_day_once(spark):
         assert r["ic"] == pytest.approx(day[f].corr(day["y"])) and r["ric"] == pytest.approx(day[f].rank().corr(day["y"].rank())) and r["ret"] == pytest.approx(best["y"].mean())
         rank = lambda c: day.sort_values([c, "code"]).assign(k=range(len(day)))["k"]  # noqa: E731, B023
         assert places[r["date"], f] == pytest.approx(rank(f).corr(rank("y")))
+
+
+def test_value_features_sort_a_day_once(spark):
+    """Ranks by industry and over all, with ties, gaps and a code without industry, from one sort."""
+    draw = random.Random(4)
+    names = ["pe_ttm", "pb", "ps_ttm", "dv_ttm", "total_mv", "circ_mv", "free_share", "total_share"]
+    rows = [(START + datetime.timedelta(d), j, None if j == 3 else j % 4, *(None if draw.random() < 0.2 else float(draw.randrange(9)) for _ in names)) for d in range(3) for j in range(30)]
+    found = catalogue.value_features(spark.createDataFrame(rows, f"date date, code long, industry int, {', '.join(f'{c} double' for c in names)}"))
+    plan = plan_of(found).split("Initial Plan")[0]
+    assert "Window" not in plan and plan.count("Sort [") == 1
+    whole = pd.DataFrame(rows, columns=["date", "code", "industry", *names])
+    want = {}
+    for name, (x, by) in catalogue.VALUE_RANKS.items():
+        groups = whole.groupby(["date", by] if by else ["date"], dropna=False)[x]
+        want[name] = groups.rank(method="min") / groups.transform("count")
+    want = pd.DataFrame({"date": whole["date"], "code": whole["code"], **want}).set_index(["date", "code"])
+    got = found.toPandas().set_index(["date", "code"])[list(catalogue.VALUE_RANKS)]
+    assert len(got) == len(rows)
+    pd.testing.assert_frame_equal(got.sort_index(), want.sort_index(), check_dtype=False)
