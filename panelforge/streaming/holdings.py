@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +15,16 @@ from ..operators.strategy import TopK
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+def near(day: pd.DataFrame, held: dict, rule: TopK) -> pd.DataFrame:
+    """The rows of a date that the rule looks at: of codes that are held, and of the best that may be bought, whether held or not, with all equal ones."""
+    signal = day["signal"].astype(float)
+    can = signal.notna() & day["buyable"].eq(True)
+    best, n = signal[can].to_numpy(), rule.size + rule.swaps + len(held)
+    if len(best) > n:
+        can &= signal >= np.partition(best, len(best) - n)[len(best) - n]
+    return day[can | day["code"].isin(list(held))]
+
+
 class Holdings(StatefulProcessor):
     """Codes with their days held, and the last date, of a portfolio."""
 
@@ -29,10 +40,10 @@ class Holdings(StatefulProcessor):
         known = self.last.get() if self.last.exists() else None
         before = {k[0]: v[0] for k, v in self.held.iterator()}
         held, out, last = before, [], known[0] if known else None
-        own = own[["date", "code", "signal", "buyable", "sellable"]].astype(object)
         for date, day in own.groupby("date", sort=True):
             if last is not None and date <= last:
                 continue  # a date is final once it has been seen
+            day = near(day, held, self.rule).astype(object)
             held, bought = self.rule.after(held, (tuple(None if pd.isna(x) else x for x in r) for r in day[["code", "signal", "buyable", "sellable"]].itertuples(index=False)))
             out += [(key[0], date, c, n, c in bought) for c, n in sorted(held.items())]
             last = date
