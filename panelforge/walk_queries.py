@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .operators import combine
 from .operators.registry import CODE, DATE, POS
@@ -74,44 +77,38 @@ def rank_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULE = Rule(list(FACTORS), "y", WINDOW, SHIFT, 2, 0.01, 0.05, ALPHA)
 
 
-def by_year(rows: DataFrame, label: str) -> DataFrame:
-    """A stream that brings a table's years in order, each whole in a micro-batch: a file each, of which a batch takes the oldest."""
+def by_year(rows: DataFrame, label: str, writer: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Run a stream that brings a table's years in order, each whole in a micro-batch, to its end.
+
+    A year is as many files as tasks write; the stream takes all that are there and goes on from its checkpoint when the next year's are."""
     spark = rows.sparkSession
-    kept, place = fresh_path(spark, f"{label}-years"), fresh_path(spark, label)
-    rows.withColumn("year", F.year(DATE)).repartition("year").write.partitionBy("year").parquet(kept)
+    kept, place, checkpoint = (fresh_path(spark, f"{label}{x}") for x in ("-years", "", "-checkpoint"))
+    rows.withColumn("year", F.year(DATE)).write.partitionBy("year").parquet(kept)
     every = spark.read.parquet(kept)
     for year in sorted(r[0] for r in every.select("year").distinct().collect()):  # a number for each year
-        every.where(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(place)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
-
-
-def finish(stream, spark: SparkSession, label: str):
-    """Start a writer over all that is there, and wait for its end."""
-    stream.option("checkpointLocation", fresh_path(spark, f"{label}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        every.where(F.col("year") == year).drop("year").write.mode("append").parquet(place)
+        stream = spark.readStream.schema(rows.schema).parquet(place)
+        writer(stream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 @query(f"{PREDICTED} SELECT date, code, {s5('p')} AS prediction FROM pred")
 def stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walk-forward regression over a stream that brings a year of weeks at a time."""
-    rows = normal_factors(spark, sf_dir)
-    stream = by_year(rows, "weeks")
     store, out = fresh_path(spark, "walk-state"), fresh_path(spark, "walk-out")
     step = walk_forward(store, RULE, lambda found, number: found.write.mode("overwrite").parquet(f"{out}/batch={number}"), r5)
-    finish(stream.writeStream.foreachBatch(step), spark, "walk")
+    by_year(normal_factors(spark, sf_dir), "weeks", lambda stream: stream.writeStream.foreachBatch(step))
     return spark.read.parquet(out).select(DATE, CODE, r5(F.col("prediction")).alias("prediction"))
 
 
 @query(ORACLE["topk_strategy"])
 def stream_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings of the rule over a stream of signals, the state kept by portfolio."""
-    rows = strategy_signals(spark, sf_dir)
-    stream = by_year(rows, "signals")
     out = fresh_path(spark, "holdings-out")
     before = {k: spark.conf.get(k, None) for k in STORE}
     for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
-        finish(holdings(stream, TopK(10, 2, 3), "long").writeStream.format("parquet").option("path", out).outputMode("append"), spark, "holdings")
+        by_year(strategy_signals(spark, sf_dir), "signals", lambda stream: holdings(stream, TopK(10, 2, 3), "long").writeStream.format("parquet").option("path", out).outputMode("append"))
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

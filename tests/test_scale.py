@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import catalogue, metrics
 from panelforge.operators import panel
+from panelforge.operators.strategy import TopK
 from panelforge.plans.compiler import evaluate
+from panelforge.streaming.holdings import near
+from panelforge.walk_queries import by_year
 
 START = datetime.date(2020, 1, 1)
 
@@ -78,3 +81,34 @@ def test_value_features_sort_a_day_once(spark):
     got = found.toPandas().set_index(["date", "code"])[list(catalogue.VALUE_RANKS)]
     assert len(got) == len(rows)
     pd.testing.assert_frame_equal(got.sort_index(), want.sort_index(), check_dtype=False)
+
+
+def test_a_year_of_a_stream_is_many_files(spark):
+    """Each micro-batch has a year whole, written and read by more than one task."""
+    days = [START + datetime.timedelta(37 * d) for d in range(30)]
+    rows = spark.createDataFrame([(d, c, float(c)) for d in days for c in range(40)], "date date, code int, x double").repartition(8)
+    seen = []
+
+    def step(batch, number):
+        found = batch.select(F.year("date").alias("year"), F.input_file_name().alias("file")).collect()
+        seen.append((number, {r["year"] for r in found}, len(found), len({r["file"] for r in found})))
+
+    by_year(rows, "test-years", lambda stream: stream.writeStream.foreachBatch(step))
+    want = [40 * sum(d.year == y for d in days) for y in (2020, 2021, 2022, 2023)]
+    assert [(n, years, count) for n, years, count, _ in seen] == [(i, {y}, n) for i, (y, n) in enumerate(zip((2020, 2021, 2022, 2023), want, strict=True)) if n]
+    assert all(files > 1 for *_, files in seen)
+
+
+def test_the_rule_looks_at_near_rows_alone():
+    """Holdings of random days, with ties, gaps and codes that can't be traded, are the same from the rows that matter."""
+    draw, rule = random.Random(6), TopK(4, 2, 2)
+    whole, part, most = {}, {}, 0
+    for _ in range(60):
+        flags = lambda: draw.choice([True, True, True, False, None])
+        day = pd.DataFrame([(c, None if draw.random() < 0.1 else float(draw.randrange(300)), flags(), flags()) for c in range(400)], columns=["code", "signal", "buyable", "sellable"])
+        tuples = lambda d: [tuple(None if pd.isna(x) else x for x in r) for r in d.astype(object).itertuples(index=False)]
+        few = near(day, part, rule)
+        most = max(most, len(few))
+        (whole, a), (part, b) = rule.after(whole, tuples(day)), rule.after(part, tuples(few))
+        assert (whole, a) == (part, b)
+    assert most < 40
