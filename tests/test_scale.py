@@ -11,6 +11,7 @@ from panelforge.functions import catalogue, metrics
 from panelforge.operators import panel
 from panelforge.operators.strategy import TopK
 from panelforge.plans.compiler import evaluate
+from panelforge.queries import QUERIES
 from panelforge.streaming.holdings import near
 from panelforge.walk_queries import by_year
 
@@ -112,3 +113,13 @@ def test_the_rule_looks_at_near_rows_alone():
         (whole, a), (part, b) = rule.after(whole, tuples(day)), rule.after(part, tuples(few))
         assert (whole, a) == (part, b)
     assert most < 40
+
+
+ROWWISE = ["abs", "add", "div", "get_greater", "get_less", "greater", "gt", "inv", "less", "log", "lt", "mul", "pow", "slog1p", "sub"]
+
+
+@pytest.mark.parametrize("name", ROWWISE)
+def test_rowwise_queries_broadcast_no_cells(spark, name):
+    """Each query of a formula that needs a row's values alone, as it is registered."""
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan and "SortMergeJoin" in plan
