@@ -60,3 +60,32 @@ def test_few_and_none(spark):
     assert knn.knn_join(frame.limit(1), 3).count() == 0 == knn.knn_join(frame.limit(0), 3).count()
     with pytest.raises(ValueError):
         knn.knn_join(spark.createDataFrame([(1, [0.0], 0), (2, [3.0, 1.0], 0)], SCHEMA)).count()
+
+
+def test_products_leave_few_pairs(monkeypatch):
+    """Two blocks whose rows all are about equally far apart: few distances are worked out from differences, and nothing is lost."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(600, 64))
+    blocks = [knn.Block(0, 0.0, 1.0, np.arange(s, s + 300), x[s : s + 300], np.full(300, np.inf)) for s in (0, 300)]
+    seen, take = [], knn.Block.take
+    monkeypatch.setattr(knn.Block, "take", lambda self, k, row, other, d: (seen.append(len(d)), take(self, k, row, other, d)))
+    for one in blocks:
+        knn.inside(one, 3)
+    del seen[:]
+    knn.meet(*blocks, 3)
+    assert max(seen) < 0.05 * 300 * 300
+    got = {(int(i), int(j), float(d)) for one in blocks for i, j, d in zip(*one.best(3), strict=True)}
+    whole = knn.distances(x, x)
+    np.fill_diagonal(whole, np.inf)
+    assert got == {(i, int(j), float(whole[i, j])) for i in range(600) for j in np.argsort(whole[i])[:3]}
+
+
+@pytest.mark.parametrize(("scale", "offset"), [(1.0, 1e8), (1e-170, 0.0), (1e150, 0.0), (1e152, 1e154)])
+def test_products_lose_nothing_at_odd_lengths(spark, monkeypatch, scale, offset):
+    """Where squares lose all digits, vanish or overflow."""
+    monkeypatch.setattr(knn, "BLOCK", 20)
+    draw = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in draw.normal(size=5) * scale + offset], 0) for i in range(150)]
+    found = knn.knn_join(spark.createDataFrame(rows, SCHEMA), 3).collect()
+    with np.errstate(over="ignore", under="ignore"):
+        assert {(r["id"], r["rank"], r["other"], round(r["distance"], 9)) for r in found} == brute(rows, 3)
