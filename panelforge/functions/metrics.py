@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..operators.registry import CODE, DATE
+from ..store import written
 from .gram import mean_correlations
 from .ieee import clean
 from .ranking import percentiles
@@ -212,8 +213,10 @@ def max_drawdown(series: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
 
 
 def factor_summary(frame: DataFrame, factors: Sequence[str]) -> DataFrame:
-    """For each factor: range, ranges of 99 and 95 % of the values, missing rate and kurtosis (population, not excess)."""
-    rows = frame.select(*factors).unpivot([], list(factors), "factor", "x")
+    """For each factor: range, ranges of 99 and 95 % of the values, missing rate and kurtosis (population, not excess).
+
+    The factors are worked out once, into a table, as two parts of the plan read them."""
+    rows = written(frame.select(*factors), "factors").unpivot([], list(factors), "factor", "x")
     wide = rows.groupBy("factor").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg(F.col("x").isNull().cast("int")).alias("missing_rate"), (F.kurtosis("x") + 3).alias("kurtosis"))
     named = {"lo_99": 0.005, "hi_99": 0.995, "lo_95": 0.025, "hi_95": 0.975}
     points = percentiles(rows, "x", list(named.values()), ["factor"])

@@ -13,6 +13,8 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
+
 #: Slices for each partition of a shuffle, so that tasks get about as much each, and at most.
 PER_TASK, MOST = 8, 10_000
 
@@ -37,10 +39,15 @@ def sliced(counts: DataFrame, value: str) -> DataFrame:
     return placed.withColumn("_slice", F.col("_i") * m + F.size(F.filter(fine, lambda c: c < x))).drop("_s", "_i")
 
 
-def placed_values(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """The columns of by, the different values, how many rows have each (_n), smaller ones (_before), and any (_all)."""
+def counted(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """The columns of by, the different values, and how many rows have each (_n)."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+
+
+def placed_values(counts: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """counts with how many rows have smaller values (_before), and any (_all)."""
     by = list(by)
-    counts = sliced(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), value)
+    counts = sliced(counts, value)
     totals = counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_m"))
     own = Window.partitionBy(*by)
     upto = F.sum("_m").over(own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -59,7 +66,7 @@ def with_rank(rows: DataFrame, value: str, by: Sequence[str] = (), rank: str = "
     Rows without a value are left out; groups without a name are one group.
     """
     by = list(by)
-    places = placed_values(rows, value, by).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])), "_n", "_before", "_all")
+    places = placed_values(counted(rows, value, by), value, by).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])), "_n", "_before", "_all")
     on = F.col(value) == F.col(f"_k{len(by)}")
     for i, c in enumerate(by):
         on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
@@ -68,9 +75,12 @@ def with_rank(rows: DataFrame, value: str, by: Sequence[str] = (), rank: str = "
 
 
 def percentiles(rows: DataFrame, value: str, points: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """The columns of by and p: exact percentiles of the values there, between neighbours in proportion."""
+    """The columns of by and p: exact percentiles of the values there, between neighbours in proportion.
+
+    The values are counted once, into a table: splitters, sizes of slices and places are read from it."""
     by = list(by)
-    places = placed_values(rows.select(*by, F.col(value).cast("double").alias("_x")), "_x", by)
+    counts = written(counted(rows.select(*by, F.col(value).cast("double").alias("_x")), "_x", by), "counts")
+    places = placed_values(counts, "_x", by)
     # places from 0 that are asked for, of which a value keeps those that it covers
     at = F.array(*(F.struct(F.lit(i).alias("i"), (p * (F.col("_all") - 1)).alias("at")) for i, p in enumerate(points)))
     first, last = F.col("_before"), F.col("_before") + F.col("_n") - 1

@@ -123,3 +123,25 @@ def test_rowwise_queries_broadcast_no_cells(spark, name):
     """Each query of a formula that needs a row's values alone, as it is registered."""
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_summary_works_its_factors_out_once(spark):
+    """However many parts the summary has; with ties, a column that is null throughout and gaps."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    draw = random.Random(7)
+    rows = [(None if draw.random() < 0.1 else float(draw.randrange(50)), draw.gauss(0, 1), None) for _ in range(500)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double").mapInArrow(run, "a double, b double, c double")
+    found = {r["factor"]: r for r in metrics.factor_summary(frame, ["a", "b", "c"]).collect()}
+    assert seen.value == 500
+    whole = pd.DataFrame(rows, columns=["a", "b", "c"])
+    for f in ("a", "b"):
+        x = whole[f].dropna()
+        want = [x.min(), x.max(), *(x.quantile(p) for p in (0.005, 0.995, 0.025, 0.975)), whole[f].isna().mean(), ((x - x.mean()) ** 4).mean() / ((x - x.mean()) ** 2).mean() ** 2]
+        assert list(found[f])[1:] == pytest.approx(want)
+    assert list(found["c"])[1:] == [None] * 6 + [1.0, None]
