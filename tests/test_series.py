@@ -4,8 +4,10 @@ import datetime
 import math
 import random
 import time
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelforge.functions import series as S
@@ -96,6 +98,54 @@ def test_time_hardly_grows_with_the_window(name):
     assert long_ < 4 * short + 0.02  # 42 times the window
 
 
+@pytest.mark.parametrize("name", sorted(CARRIED))
+@pytest.mark.parametrize("d", [2, 5, 40, 130])
+@pytest.mark.parametrize("kind", ["ties", "gaps", "wild", "plain"])
+def test_batches_at_once_equal_row_after_row(name, d, kind):
+    """Codes of one row to several windows, over batches of any size, with ties, gaps and infinities."""
+    draw, values, first = random.Random(d), [], []
+    for rows in [1, 3, d - 1, d, d + 1, 90, 200] * 3:
+        for i in range(rows):
+            x = float(draw.randrange(6)) if kind == "ties" else draw.gauss(0, 1)
+            if kind == "gaps" and draw.random() < 0.02:
+                x = None
+            if kind == "wild" and draw.random() < 0.02:
+                x = draw.choice([math.inf, -math.inf])
+            values.append(x)
+            first.append(i == 0)
+    at_once, by_row, i = S.Gathered(partial(CARRIED[name], d)), S.Stepped(partial(CARRIED[name], d)), 0
+    while i < len(values):
+        n = draw.choice([1, 7, 50, 700])
+        part, new = pa.array(values[i : i + n], pa.float64()), np.array(first[i : i + n])
+        got, want = at_once.next(part, new).to_pylist(), by_row.next(part, new).to_pylist()
+        assert len(got) == len(part) and all(map(close, got, want)), (i, got, want)
+        i += n
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_windows_of_a_year_call_nothing_for_a_row(spark, batch):
+    """However many rows: the operators' next(), one call a row, isn't used; beyond BY_ARRAYS it is. Codes are texts, one of them null."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(S.Median):
+        def next(self, x):
+            calls.add(1)
+            return super().next(x)
+
+    rows = [(c, i, None if i == 70 else float(i * i % 11)) for c in ("a", None, "b") for i in range(300)]
+    frame = spark.createDataFrame(rows, "code string, pos int, x double").coalesce(1)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for d, want in ((60, 0), (S.BY_ARRAYS + 1, 900)):
+            found = S.carried(frame, "code", "pos", [("m", "x", partial(Counted, d))]).collect()
+            assert calls.value == want and len(found) == 900
+            own = {c: [x for k, _, x in rows if k == c] for c in ("a", None, "b")}
+            assert all(close(r["m"], plain("TsMed", d, own[r["code"]][: r["pos"] + 1])) for r in found)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_formulas_of_long_windows(spark):
     draw, start = random.Random(3), datetime.date(2020, 1, 1)
     rows = [(start + datetime.timedelta(i), c, None if draw.random() < 0.01 else draw.gauss(0, 1)) for c in ("a", "b", "c") for i in range(90)]
